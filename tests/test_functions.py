@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import math
+import random
+from datetime import date
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from quittance.functions import display, money, text
+
+
+def _apply(spark, column, values, ddl="string"):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {ddl}")
+    return [r[0] for r in rows.orderBy("i").select(column(F.col("v"))).collect()]
+
+
+def test_text_follows_the_one_to_one_rules(spark):
+    assert _apply(spark, text.strip, [" a ", " 　b ", "\tc\n", "  ", None]) == [
+        "a", "b", "\tc\n", "", None,
+    ]
+    assert _apply(spark, text.lower, ["ÀB", "İ", "ΟΔΟΣ", None]) == ["àb", "i", "οδοσ", None]
+    assert _apply(spark, text.upper, ["straße", "ﬁn", "àb"]) == ["STRAẞE", "ﬁN", "ÀB"]
+    assert _apply(spark, text.blank_to_null, ["", "x", None]) == [None, "x", None]
+    assert _apply(spark, text.or_unknown, ["", "x", None]) == ["", "x", "unknown"]
+
+
+def test_text_agrees_with_duckdb_on_all_common_scripts(spark):
+    # Beyond these, the engines know different Unicode versions.
+    letters = [chr(c) for c in range(1, 0x1C80)] + [chr(c) for c in range(0x1E00, 0xA700)]
+    letters += [chr(c) for c in range(0xF900, 0xFFFE)]
+    newer = {"ƛ", "ɤ"}
+    words = [f" x{c}y{c} " for c in letters if c not in newer]
+    listed = pd.DataFrame({"i": range(len(words)), "v": words})
+    with duckdb.connect() as con:
+        con.register("listed", listed)
+        want = con.execute("SELECT trim(v), lower(v), upper(v) FROM listed ORDER BY i").fetchall()
+    v = F.col("v")
+    got = (
+        spark.createDataFrame(listed)
+        .orderBy("i")
+        .select(text.strip(v), text.lower(v), text.upper(v))
+        .collect()
+    )
+    assert [w for w, g, s in zip(words, got, want) if tuple(g) != s] == []
+
+
+def test_numbers(spark):
+    values = ["1.5", " 2 ", "1_000", "1e3", ".5", "-inf", None]
+    assert _apply(spark, text.to_double, values) == [1.5, 2.0, 1000.0, 1000.0, 0.5, -math.inf, None]
+    assert math.isnan(_apply(spark, text.to_double, ["nan"])[0])
+
+
+@pytest.mark.parametrize("bad", ["", "$5", "1,000.5", "1.5d", "2F", "1__0", "_1", "ten"])
+def test_text_that_is_no_number_fails_the_job(spark, bad):
+    with pytest.raises(PySparkException, match="not a number"):
+        _apply(spark, text.to_double, [bad])
+
+
+def test_exact_sum_does_not_depend_on_order(spark):
+    rng = random.Random(5)
+    amounts = [round(rng.uniform(-5e6, 5e6), 2) for _ in range(20_000)]
+    expected = round(math.fsum(amounts), 6)
+    for seed in range(3):
+        random.Random(seed).shuffle(amounts)
+        rows = spark.createDataFrame([(a,) for a in amounts], "v double").repartition(7 + seed)
+        assert rows.agg(money.exact_sum(F.col("v"))).first()[0] == expected
+
+
+@pytest.mark.parametrize(
+    ("amounts", "expected"),
+    [
+        ([0.1] * 10, 1.0),
+        ([0.000001, 0.000002], 0.000003),
+        ([0.0015, 0.003], 0.0045),
+        ([1e16, 1.0, None], 1e16),
+        ([1e300, 1e300], 2e300),
+        ([math.inf, 1.0], math.inf),
+        ([None, None], None),
+        ([], None),
+    ],
+)
+def test_exact_sum_edges(spark, amounts, expected):
+    rows = spark.createDataFrame([(a,) for a in amounts], "v double")
+    assert rows.agg(money.exact_sum(F.col("v"))).first()[0] == expected
+
+
+def test_exact_sum_keeps_nan(spark):
+    rows = spark.createDataFrame([(math.nan,), (1.0,)], "v double")
+    assert math.isnan(rows.agg(money.exact_sum(F.col("v"))).first()[0])
+
+
+def test_display(spark):
+    amounts = [1850.0, -25.5, 0.0, -2250.0, 1234567.891, -0.001]
+    assert _apply(spark, display.currency, amounts, "double") == [
+        "$1,850.00", "-$25.50", "$0.00", "-$2,250.00", "$1,234,567.89", "-$0.00",
+    ]
+    assert _apply(spark, display.short_date, [date(2024, 1, 5)], "date") == ["Jan 5, 2024"]
+    assert _apply(spark, display.or_dash, [None, "x"]) == ["—", "x"]
