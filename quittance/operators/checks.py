@@ -65,11 +65,23 @@ def assertion(model: str, name: str, expression: str, advisory: bool = True) ->
     return Check(model, "", "singular", expression=expression, advisory=advisory, name=name)
 
 
-def _counted(df: DataFrame, key: str | None, checks: list[Check]) -> DataFrame:
+def _report_row(check: Check, failures: Column) -> Column:
+    found = "warn" if check.advisory else "fail"
+    return F.struct(
+        F.lit(check.check_id).alias("check_id"),
+        F.lit(check.model).alias("model"),
+        F.lit(check.column).alias("column_name"),
+        F.lit(check.kind).alias("kind"),
+        failures.cast("bigint").alias("failures"),
+        F.when(failures > 0, found).otherwise("pass").alias("status"),
+    )
+
+
+def _counted(df: DataFrame, key: str | None, checks: Sequence[Check]) -> DataFrame:
     """One report row per check from one aggregation.
 
-    With a ``key`` to be unique, the row-wise failures are added up per key on the way, so the
-    key's grouping is the only shuffle and uses the rows' own partitioning where it fits.
+    With a ``key``, its repeated values are counted on the way: row-wise failures are added up
+    per key first, so the grouping by key is the only shuffle there is.
     """
     row_wise = [(f"f{i}", c) for i, c in enumerate(checks) if c.kind != "unique"]
     across = [(f"f{i}", c) for i, c in enumerate(checks) if c.kind == "unique"]
@@ -86,32 +98,26 @@ def _counted(df: DataFrame, key: str | None, checks: list[Check]) -> DataFrame:
                 *[repeated.alias(f) for f, _ in across],
             )
         )
-    rows = []
-    for f, c in row_wise + across:
-        found = "warn" if c.advisory else "fail"
-        rows.append(
-            F.struct(
-                F.lit(c.check_id).alias("check_id"),
-                F.lit(c.model).alias("model"),
-                F.lit(c.column).alias("column_name"),
-                F.lit(c.kind).alias("kind"),
-                F.col(f).cast("bigint").alias("failures"),
-                F.when(F.col(f) > 0, found).otherwise("pass").alias("status"),
-            )
-        )
+    rows = [_report_row(c, F.col(f)) for f, c in row_wise + across]
     return totals.select(F.inline(F.array(*rows)))
 
 
-def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """The report of all ``checks`` on one relation: one pass, and one more per extra key."""
+def run_checks(df: DataFrame, checks: Sequence[Check], stored: bool = False) -> DataFrame:
+    """The report of all ``checks`` on one relation.
+
+    A computed relation is read once: row-wise failures travel with the key to be unique, whose
+    partitioning the rows often have already. A ``stored`` one is cheaper read again, each time
+    only the columns in question: row-wise checks then need no shuffle, and uniqueness moves
+    nothing but the key.
+    """
     keys = list(dict.fromkeys(c.column for c in checks if c.kind == "unique"))
     row_wise = [c for c in checks if c.kind != "unique"]
-    parts = []
-    for key in keys or [None]:
-        here = [c for c in checks if c.kind == "unique" and c.column == key]
-        parts.append(_counted(df, key, row_wise + here))
-        row_wise = []
-    return reduce(DataFrame.unionAll, parts)
+    passes = [(k, [c for c in checks if c.kind == "unique" and c.column == k]) for k in keys]
+    if row_wise and (stored or not passes):
+        passes.append((None, row_wise))
+    elif row_wise:
+        passes[0] = (keys[0], passes[0][1] + row_wise)
+    return reduce(DataFrame.unionAll, [_counted(df, key, here) for key, here in passes])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

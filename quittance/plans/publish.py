@@ -24,13 +24,9 @@ from pyspark.sql import functions as F
 from quittance.operators.checks import REPORT_DDL, Check, run_checks, status_tally
 from quittance.operators.contract import BREACH, enforce
 from quittance.operators.spread import find_hot_keys
+from quittance.plans import quality
 from quittance.plans.marts import int_invoice_totals, mart_invoice_ledger
-from quittance.plans.quality import (
-    LEDGER_MODELS,
-    STAGING_MODELS,
-    checks_of,
-    declared_checks,
-)
+from quittance.plans.quality import LEDGER_MODELS, STAGING_MODELS, checks_of, declared_checks
 from quittance.plans.staging import STAGING
 from quittance.schemas import CONTRACTS, LATEST_VERSION
 from quittance.sources.csv_files import refresh_table
@@ -160,9 +156,9 @@ def _failed(results: Sequence[Row]) -> bool:
     return any(r["status"] in ("error", "fail") for r in results)
 
 
-def _audit(*relations: tuple[DataFrame, Sequence[Check]]) -> list[Row]:
+def _audit(*relations: tuple[DataFrame, Sequence[Check]], stored: bool = True) -> list[Row]:
     """The results of all checks, in one job; one row per check, however large the data."""
-    reports = [run_checks(df, checks) for df, checks in relations if checks]
+    reports = [run_checks(df, checks, stored) for df, checks in relations if checks]
     return reduce(DataFrame.unionAll, reports).collect() if reports else []
 
 
@@ -183,7 +179,7 @@ def _build_ledger(
     except Exception as e:  # the class depends on how deep in the write the task failed
         if BREACH not in str(e):
             raise
-        found = _audit((totals, intermediate))
+        found = _audit((totals, intermediate), stored=False)
         broken = "skipped" if _failed(found) else "error"
         return [
             _model("int_invoice_totals", "success"),
@@ -285,11 +281,10 @@ def read_ledger(wh: Warehouse, version: str = LATEST_VERSION) -> DataFrame:
 
 def recheck(wh: Warehouse, schema: str, checks: Sequence[Check] | None = None) -> DataFrame:
     """Audit a slot as it is, without building anything."""
-    from quittance.plans.quality import report
-
     staged = {m: wh.table(schema, m) for m in STAGING_MODELS}
     ledger = wh.table(schema, CONTRACTS[LATEST_VERSION].dataset)
-    return report(staged, ledger, declared_checks() if checks is None else checks)
+    checks = declared_checks() if checks is None else checks
+    return quality.report(staged, ledger, checks, stored=True)
 
 
 def register_views(wh: Warehouse, version: str = LATEST_VERSION) -> None:

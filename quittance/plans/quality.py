@@ -102,16 +102,19 @@ def checks_of(checks: Sequence[Check], *models: str) -> list[Check]:
 
 
 def report(
-    staged: dict[str, DataFrame], ledger: DataFrame, checks: Sequence[Check]
+    staged: dict[str, DataFrame],
+    ledger: DataFrame,
+    checks: Sequence[Check],
+    stored: bool = False,
 ) -> DataFrame:
     """One row per check over the staging tables and the ledger.
 
-    The intermediate model and the mart hold the same rows and columns, so one pass serves both.
+    The intermediate model and the mart hold the same rows and columns, so the ledger serves
+    the checks of both.
     """
-    parts = [run_checks(staged[m], checks_of(checks, m)) for m in staged if checks_of(checks, m)]
-    on_ledger = checks_of(checks, *LEDGER_MODELS)
-    if on_ledger:
-        parts.append(run_checks(ledger, on_ledger))
+    relations = [(df, checks_of(checks, m)) for m, df in staged.items()]
+    relations.append((ledger, checks_of(checks, *LEDGER_MODELS)))
+    parts = [run_checks(df, here, stored) for df, here in relations if here]
     return reduce(DataFrame.unionAll, parts)
 
 
