@@ -34,7 +34,7 @@ from quittance.sources.csv_files import refresh_table
 # The build targets and the schema each writes to.
 TARGETS = {"dev": "dev", "blue": "prod_blue", "green": "prod_green"}
 PUBLISHED_TARGETS = ("blue", "green")
-STATE_DDL = "deployment_no BIGINT, active_schema STRING, deployed_at TIMESTAMP, version STRING"
+STATE_DDL = "deployment_no BIGINT, active_schema STRING, deployed_at TIMESTAMP"
 
 
 @dataclass(frozen=True)
@@ -162,20 +162,26 @@ def _audit(*relations: tuple[DataFrame, Sequence[Check]], stored: bool = True) -
     return reduce(DataFrame.unionAll, reports).collect() if reports else []
 
 
+def _store_ledger(wh: Warehouse, schema: str, totals: DataFrame) -> DataFrame:
+    """Write the ledger in every contract version; the latest one is returned."""
+    if len(CONTRACTS) > 1:
+        totals = refresh_table(totals, wh.path(schema, "int_invoice_totals"))
+    for version, contract in CONTRACTS.items():
+        ledger = enforce(mart_invoice_ledger(totals, version), contract)
+        refresh_table(ledger, wh.path(schema, contract.dataset))
+    return wh.table(schema, CONTRACTS[LATEST_VERSION].dataset)
+
+
 def _build_ledger(
-    wh: Warehouse, schema: str, staged: dict[str, DataFrame], checks: Sequence[Check], version: str
+    wh: Warehouse, schema: str, staged: dict[str, DataFrame], checks: Sequence[Check]
 ) -> list[Row]:
-    contract = CONTRACTS[version]
     intermediate, mart = (checks_of(checks, m) for m in LEDGER_MODELS)
     invoices, customers, lines = (staged[m] for m in STAGING_MODELS)
     totals = int_invoice_totals(
         invoices, customers, lines, find_hot_keys(invoices, "customer_id")
     )
     try:
-        ledger = refresh_table(
-            enforce(mart_invoice_ledger(totals, version), contract),
-            wh.path(schema, contract.dataset),
-        )
+        ledger = _store_ledger(wh, schema, totals)
     except Exception as e:  # the class depends on how deep in the write the task failed
         if BREACH not in str(e):
             raise
@@ -203,7 +209,6 @@ def build(
     raw: dict[str, DataFrame],
     target: str | None = None,
     checks: Sequence[Check] | None = None,
-    version: str = LATEST_VERSION,
     deployed_at: datetime | None = None,
     min_rows: int = 0,
 ) -> BuildResult:
@@ -213,7 +218,6 @@ def build(
     after a failed check are skipped, and skips hold back the publish as failures do.
     ``min_rows`` guards against publishing the outcome of an empty load.
     """
-    spark = wh.spark
     target = target or next_slot(latest_deployment(wh)).first()["next_target"]
     schema = TARGETS[target]
     if schema == _active_schema(wh):
@@ -232,25 +236,24 @@ def build(
         results += [_model(m, "skipped") for m in LEDGER_MODELS]
         results += _skipped(checks_of(checks, *LEDGER_MODELS))
     else:
-        results += _build_ledger(wh, schema, staged, checks, version)
+        results += _build_ledger(wh, schema, staged, checks)
 
     report = refresh_table(
-        spark.createDataFrame(results, REPORT_DDL).coalesce(1), wh.path(schema, "check_results")
+        wh.spark.createDataFrame(results, REPORT_DDL).coalesce(1),
+        wh.path(schema, "check_results"),
     )
-    gate = publish_gate(report, target, checks).first()
-    published = gate["publish"]
+    published = publish_gate(report, target, checks).first()["publish"]
     if published and min_rows:
-        published = wh.table(schema, CONTRACTS[version].dataset).count() >= min_rows
+        ledger = wh.table(schema, CONTRACTS[LATEST_VERSION].dataset)
+        published = ledger.count() >= min_rows
     if published:
-        publish(wh, schema, version, deployed_at)
+        publish(wh, schema, deployed_at)
     return BuildResult(target, tuple(results), published)
 
 
-def publish(
-    wh: Warehouse, schema: str, version: str = LATEST_VERSION, deployed_at: datetime | None = None
-) -> None:
-    """Make ``schema`` the live one, as of now unless a time is given."""
-    when = F.lit(deployed_at) if deployed_at else F.current_timestamp()
+def publish(wh: Warehouse, schema: str, deployed_at: datetime | None = None) -> None:
+    """Make ``schema`` the live one, as of now unless a time is given in the session's zone."""
+    when = F.lit(str(deployed_at)) if deployed_at else F.current_timestamp()
     number = F.coalesce(F.max("deployment_no"), F.lit(0)) + 1
     (
         deployments(wh)
@@ -259,7 +262,6 @@ def publish(
             "deployment_no",
             F.lit(schema).alias("active_schema"),
             when.cast("timestamp").alias("deployed_at"),
-            F.lit(version).alias("version"),
         )
         .coalesce(1)
         .write.mode("append")

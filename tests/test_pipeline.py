@@ -10,7 +10,7 @@ from sample import CUSTOMERS, INVOICES, LEDGER, LINES, write_extracts
 
 from quittance.operators.contract import BREACH
 from quittance.plans import export, marts, publish, quality, staging
-from quittance.schemas import MART_V1, raw_schema
+from quittance.schemas import CONTRACTS, MART_V1, Contract, raw_schema
 from quittance.sources import csv_files
 
 
@@ -359,6 +359,20 @@ def test_columns_outside_the_contract_do_not_leak(wh, raw):
     assert publish.read_ledger(wh).columns == list(MART_V1.read_order)
 
 
+def test_an_old_version_stays_readable_beside_a_new_one(wh, raw, monkeypatch):
+    v2 = Contract(
+        version="v2",
+        dataset="mart_invoice_ledger_v2",
+        columns=tuple(c for c in MART_V1.columns if c.name != "customer_email"),
+        read_order=tuple(c for c in MART_V1.read_order if c != "customer_email"),
+    )
+    monkeypatch.setitem(CONTRACTS, "v2", v2)
+    assert publish.build(wh, raw).published
+    assert publish.read_ledger(wh, "v1").columns == list(MART_V1.read_order)
+    assert publish.read_ledger(wh, "v2").columns == list(v2.read_order)
+    assert publish.read_ledger(wh, "v2").count() == len(LEDGER)
+
+
 def test_display(wh, raw):
     publish.build(wh, raw)
     shown = export.ledger_display(publish.read_ledger(wh)).where("invoice_id = 6").first()
