@@ -52,6 +52,9 @@ def main(argv: list[str] | None = None) -> int:
         publish.deployment_status(wh).show(truncate=False)
     elif args.command == "check":
         schema = args.schema or publish.deployment_status(wh).first()["active_schema"]
+        if schema == "unknown":
+            print("nothing is deployed; name a slot with --schema")
+            return 1
         report = publish.recheck(wh, schema)
         report.show(100, truncate=False)
         return int(publish.status_tally(report).first()["total_failures"] > 0)

@@ -34,9 +34,8 @@ raw_line_items AS (
          CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS unit_price
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-_STAGED = (
-    _RAW
-    + """,
+# From here on only raw_invoices, raw_customers and raw_line_items are needed.
+_STAGING = """
 stg_invoices AS MATERIALIZED (
   SELECT invoice_id, customer_id, CAST(amount AS DOUBLE) AS invoice_amount,
          COALESCE(TRIM(LOWER(status)), 'unknown') AS invoice_status,
@@ -60,11 +59,8 @@ stg_invoice_line_items AS MATERIALIZED (
   FROM raw_line_items
   QUALIFY ROW_NUMBER() OVER (PARTITION BY line_item_id, invoice_id
     ORDER BY product_name NULLS LAST, quantity NULLS LAST, unit_price NULLS LAST) = 1)"""
-)
 
-_LEDGER = (
-    _STAGED
-    + """,
+_TOTALS = """
 line_totals AS MATERIALIZED (
   SELECT invoice_id, COUNT(line_item_id) AS line_item_count,
          ROUND(SUM(quantity * unit_price), 6) AS calculated_invoice_total
@@ -81,7 +77,9 @@ ledger AS MATERIALIZED (
   FROM stg_invoices i
   LEFT JOIN stg_customers c ON i.customer_id = c.customer_id
   LEFT JOIN line_totals t ON i.invoice_id = t.invoice_id)"""
-)
+
+_STAGED = f"{_RAW},{_STAGING}"
+_LEDGER = f"{_STAGED},{_TOTALS}"
 
 _SPOILT = (
     _LEDGER
@@ -124,6 +122,9 @@ def _on(ctes: str, select: str) -> str:
 
 _LEDGER_ROWS = _on(_LEDGER, "SELECT * FROM ledger")
 
+# The ledger over raw tables that are already there.
+LEDGER_FROM_RAW = _on(f"{_STAGING},{_TOTALS}", "SELECT * FROM ledger")
+
 
 def _relation(model: str) -> str:
     return "ledger" if model in ("int_invoice_totals", "mart_invoice_ledger") else model

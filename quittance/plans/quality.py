@@ -28,6 +28,7 @@ LEDGER_MODELS = ("int_invoice_totals", "mart_invoice_ledger")
 
 def declared_checks(segments: Sequence[str] = CUSTOMER_SEGMENTS) -> list[Check]:
     """The 46 gating column checks and the 2 row assertions, which are switched off."""
+    # Which property is asked of which column.
     inv, cust, line = STAGING_MODELS
     tot, mart = LEDGER_MODELS
     return [

@@ -86,6 +86,7 @@ def _invoice_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("product_name"),
         _money_text("p_retailprice").alias("unit_price"),
     )
+    # Plain scans meet here, so AQE itself splits the partition of a part that is sold very often.
     return (
         _table(spark, sf_dir, "lineitem")
         .join(part, "l_partkey")
