@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.schemas import INVOICE_STATUSES, Contract
@@ -50,72 +48,66 @@ def schema_drift(df: DataFrame, contract: Contract) -> list[str]:
 def schema_report(df: DataFrame, contract: Contract) -> DataFrame:
     """Each contract column with its actual type, how often it is NULL, and a status."""
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    nulls = df.agg(
-        *[
-            (F.count(F.lit(1)) - F.count(c.name) if c.name in actual else F.lit(None))
-            .cast("bigint")
-            .alias(c.name)
-            for c in contract.columns
-        ]
-    )
-    rows = [
-        F.struct(
-            F.lit(c.name).alias("column_name"),
-            F.lit(c.data_type).alias("declared_type"),
-            F.lit(actual.get(c.name)).cast("string").alias("actual_type"),
-            F.lit(c.required).alias("is_required"),
-            F.col(c.name).alias("null_rows"),
-            F.when(F.lit(actual.get(c.name) != c.data_type), "drift")
-            .when(F.lit(c.required) & (F.col(c.name) > 0), "nulls")
-            .otherwise("ok")
-            .alias("status"),
-        )
+    nulls = [
+        f"count_if({c.name} IS NULL) AS {c.name}"
+        if c.name in actual
+        else f"CAST(NULL AS BIGINT) AS {c.name}"
         for c in contract.columns
     ]
-    return nulls.select(F.inline(F.array(*rows)))
+    rows = []
+    for c in contract.columns:
+        found = f"'{actual[c.name]}'" if c.name in actual else "CAST(NULL AS STRING)"
+        status = f"IF({c.required} AND {c.name} > 0, 'nulls', 'ok')"
+        if actual.get(c.name) != c.data_type:
+            status = "'drift'"
+        rows.append(
+            f"struct('{c.name}' AS column_name, '{c.data_type}' AS declared_type, "
+            f"{found} AS actual_type, {c.required} AS is_required, {c.name} AS null_rows, "
+            f"{status} AS status)"
+        )
+    return df.agg(*map(F.expr, nulls)).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _constraints(contract: Contract) -> list[tuple[str, str, Column]]:
-    """(column, kind, breached) for every declared constraint; NULL passes a check."""
+def _constraints(contract: Contract) -> list[tuple[str, str, str]]:
+    """(column, kind, SQL that is true when breached) per constraint; NULL passes a check."""
     found = []
     for c in contract.columns:
         if c.required:
-            found.append((c.name, "not_null", F.col(c.name).isNull()))
+            found.append((c.name, "not_null", f"{c.name} IS NULL"))
         if c.check:
-            found.append((c.name, "check", F.coalesce(~F.expr(c.check), F.lit(False))))
+            found.append((c.name, "check", f"coalesce(NOT ({c.check}), false)"))
     return found
 
 
 def constraint_report(df: DataFrame, contract: Contract) -> DataFrame:
     """Breaches per constraint, all counted in one pass."""
     constraints = _constraints(contract)
-    counts = df.agg(
-        *[F.count_if(bad).alias(f"{kind}_{name}") for name, kind, bad in constraints]
-    )
-    rows = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            F.lit(kind).alias("constraint_kind"),
-            F.col(f"{kind}_{name}").alias("breaches"),
-        )
+    counts = [F.expr(f"count_if({bad}) AS {kind}_{name}") for name, kind, bad in constraints]
+    rows = ", ".join(
+        f"struct('{name}' AS column_name, '{kind}' AS constraint_kind, "
+        f"{kind}_{name} AS breaches)"
         for name, kind, _ in constraints
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    )
+    return df.agg(*counts).selectExpr(f"inline(array({rows}))")
+
+
+# Rules below are pairs of a code and the SQL that is true for a row breaking the rule.
 
 
-def _any(rules: list[tuple[str, Column]]) -> Column:
-    return reduce(lambda a, b: a | b, [bad for _, bad in rules])
+def _any(rules: list[tuple[str, str]]) -> str:
+    return " OR ".join(f"({bad})" for _, bad in rules)
 
 
-def _codes(rules: list[tuple[str, Column]]) -> Column:
-    return F.concat_ws(",", *[F.when(bad, F.lit(code)) for code, bad in rules])
+def _codes(rules: list[tuple[str, str]]) -> str:
+    each = ", ".join(f"IF({bad}, '{code}', NULL)" for code, bad in rules)
+    return f"concat_ws(',', {each})"
 
 
-def _failing(df: DataFrame, rules: list[tuple[str, Column]], what: str) -> DataFrame:
+def _failing(df: DataFrame, rules: list[tuple[str, str]], what: str) -> DataFrame:
     """``df`` unchanged, but reading a row that breaks a rule fails the job."""
     first = df.columns[0]
-    complain = F.raise_error(F.concat(F.lit(f"{what}: "), _codes(rules)))
-    return df.withColumn(first, F.when(_any(rules), complain).otherwise(F.col(first)))
+    complain = f"raise_error(concat('{what}: ', {_codes(rules)}))"
+    return df.withColumn(first, F.expr(f"IF({_any(rules)}, {complain}, {first})"))
 
 
 def enforce(df: DataFrame, contract: Contract) -> DataFrame:
@@ -130,25 +122,26 @@ def enforce(df: DataFrame, contract: Contract) -> DataFrame:
     return _failing(df.select(*contract.names), rules, f"{BREACH} {contract.dataset}")
 
 
-def _row_rules() -> list[tuple[str, Column]]:
-    rules = [(f"{c}:missing", F.col(c).isNull()) for c in ROW_REQUIRED]
+def _row_rules() -> list[tuple[str, str]]:
+    rules = [(f"{c}:missing", f"{c} IS NULL") for c in ROW_REQUIRED]
     for c in ROW_NOT_NEGATIVE:
         # NaN is no number >= 0, though Spark orders it above every number.
-        below = ~(F.col(c) >= 0) | F.isnan(F.col(c).cast("double"))
-        rules.append((f"{c}:negative", F.coalesce(below, F.lit(False))))
-    outside = ~F.col("invoice_status").isin(INVOICE_STATUSES)
-    rules.append(("invoice_status:not_allowed", F.coalesce(outside, F.lit(False))))
+        below = f"coalesce({c} < 0 OR isnan(CAST({c} AS DOUBLE)), false)"
+        rules.append((f"{c}:negative", below))
+    allowed = ", ".join(f"'{s}'" for s in INVOICE_STATUSES)
+    outside = f"coalesce(invoice_status NOT IN ({allowed}), false)"
+    rules.append(("invoice_status:not_allowed", outside))
     return rules
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.where(~_any(_row_rules()))
+    return df.where(f"NOT ({_any(_row_rules())})")
 
 
 def rejected_rows(df: DataFrame) -> DataFrame:
     """Rows breaking the row contract, with the codes of the broken rules."""
     rules = _row_rules()
-    return df.where(_any(rules)).withColumn("violations", _codes(rules))
+    return df.where(_any(rules)).withColumn("violations", F.expr(_codes(rules)))
 
 
 def require_valid(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ whole or not at all.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -27,7 +28,7 @@ from quittance.operators.spread import find_hot_keys
 from quittance.plans import quality
 from quittance.plans.marts import int_invoice_totals, mart_invoice_ledger
 from quittance.plans.quality import LEDGER_MODELS, STAGING_MODELS, checks_of, declared_checks
-from quittance.plans.staging import STAGING
+from quittance.plans.staging import stage
 from quittance.schemas import CONTRACTS, LATEST_VERSION
 from quittance.sources.csv_files import refresh_table
 
@@ -162,6 +163,24 @@ def _audit(*relations: tuple[DataFrame, Sequence[Check]], stored: bool = True) -
     return reduce(DataFrame.unionAll, reports).collect() if reports else []
 
 
+def _store_staging(
+    wh: Warehouse, schema: str, raw: dict[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Write the staging tables, as independent jobs side by side.
+
+    Their audit and the ledger both read them, and a lost executor costs no recomputation of
+    the deduplication.
+    """
+
+    staged = stage(raw, find_hot_keys(raw["invoice_line_items"], "invoice_id"))
+
+    def store(model: str) -> DataFrame:
+        return refresh_table(staged[model], wh.path(schema, model))
+
+    with ThreadPoolExecutor(len(staged)) as jobs:
+        return dict(zip(staged, jobs.map(store, staged)))
+
+
 def _store_ledger(wh: Warehouse, schema: str, totals: DataFrame) -> DataFrame:
     """Write the ledger in every contract version; the latest one is returned."""
     if len(CONTRACTS) > 1:
@@ -218,18 +237,14 @@ def build(
     after a failed check are skipped, and skips hold back the publish as failures do.
     ``min_rows`` guards against publishing the outcome of an empty load.
     """
-    target = target or next_slot(latest_deployment(wh)).first()["next_target"]
+    state = next_slot(latest_deployment(wh)).first()
+    target = target or state["next_target"]
     schema = TARGETS[target]
-    if schema == _active_schema(wh):
+    if schema == state["active_schema"]:
         raise ValueError(f"{schema} is live; build the idle slot")
     checks = declared_checks() if checks is None else checks
 
-    # Staging is stored once: its audit and the ledger both read it, and a lost executor costs
-    # no recomputation of the deduplication.
-    staged = {
-        m: refresh_table(stage(raw[table]), wh.path(schema, m))
-        for m, (table, stage) in STAGING.items()
-    }
+    staged = _store_staging(wh, schema, raw)
     results = [_model(m, "success") for m in staged]
     results += _audit(*[(df, checks_of(checks, m)) for m, df in staged.items()])
     if _failed(results):

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.functions.text import blank_to_null, lower, or_unknown, strip, to_double, upper
 from quittance.operators.dedup import keep_first
+from quittance.operators.spread import HotKeys
 from quittance.schemas import RAW_KEYS
 
 
-def _one_per_key(raw: DataFrame, table: str) -> DataFrame:
+def _one_per_key(
+    raw: DataFrame, table: str, cluster_by: Sequence[str] | None = None
+) -> DataFrame:
     # Ids are widened before the shuffle: a cast after it would hide from Spark that the rows
     # already lie where the joins on these ids want them.
     ids = {c: F.col(c).cast("bigint") for c in raw.columns if c.endswith("_id")}
-    return keep_first(raw.withColumns(ids), RAW_KEYS[table])
+    return keep_first(raw.withColumns(ids), RAW_KEYS[table], cluster_by)
 
 
 def stg_invoices(raw: DataFrame) -> DataFrame:
@@ -38,8 +43,16 @@ def stg_customers(raw: DataFrame) -> DataFrame:
     )
 
 
-def stg_invoice_line_items(raw: DataFrame) -> DataFrame:
-    return _one_per_key(raw, "invoice_line_items").select(
+def stg_invoice_line_items(raw: DataFrame, hot_invoices: HotKeys | None = None) -> DataFrame:
+    """Clean lines.
+
+    When the lines are known to have no hot invoice, they are shuffled by invoice alone. Their
+    totals and the join with the invoices then need no shuffle of their own. Otherwise they are
+    spread by invoice and line.
+    """
+    even = hot_invoices is not None and not hot_invoices
+    lines = _one_per_key(raw, "invoice_line_items", ["invoice_id"] if even else None)
+    return lines.select(
         "line_item_id",
         "invoice_id",
         blank_to_null(strip(F.col("product_name"))).alias("product_name"),
@@ -48,13 +61,12 @@ def stg_invoice_line_items(raw: DataFrame) -> DataFrame:
     )
 
 
-STAGING = {
-    "stg_invoices": ("invoices", stg_invoices),
-    "stg_customers": ("customers", stg_customers),
-    "stg_invoice_line_items": ("invoice_line_items", stg_invoice_line_items),
-}
-
-
-def stage(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def stage(
+    raw: dict[str, DataFrame], hot_invoices: HotKeys | None = None
+) -> dict[str, DataFrame]:
     """All staging tables, lazily."""
-    return {model: build(raw[table]) for model, (table, build) in STAGING.items()}
+    return {
+        "stg_invoices": stg_invoices(raw["invoices"]),
+        "stg_customers": stg_customers(raw["customers"]),
+        "stg_invoice_line_items": stg_invoice_line_items(raw["invoice_line_items"], hot_invoices),
+    }

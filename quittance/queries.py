@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, time, timedelta
 from functools import reduce
 
@@ -32,19 +33,27 @@ def _query(f: Query) -> Query:
     return f
 
 
-def _staged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return staging.stage(testbed.read_sources(spark, sf_dir))
+def _hot_invoices(spark: SparkSession, sf_dir: str) -> HotKeys:
+    return find_hot_keys(testbed.line_owners(spark, sf_dir), "invoice_id")
 
 
 def _hot_customers(spark: SparkSession, sf_dir: str) -> HotKeys:
-    return find_hot_keys(testbed.read_source(spark, sf_dir, "invoices"), "customer_id")
+    return find_hot_keys(testbed.invoice_owners(spark, sf_dir), "customer_id")
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _staged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return staging.stage(testbed.read_sources(spark, sf_dir), _hot_invoices(spark, sf_dir))
+
+
+def _models(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The staging tables and the ledger over them."""
     staged = _staged(spark, sf_dir)
-    return marts.int_invoice_totals(
-        *(staged[m] for m in quality.STAGING_MODELS), _hot_customers(spark, sf_dir)
-    )
+    tables = [staged[m] for m in quality.STAGING_MODELS]
+    return staged, marts.int_invoice_totals(*tables, _hot_customers(spark, sf_dir))
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _models(spark, sf_dir)[1]
 
 
 def _checks() -> list:
@@ -121,7 +130,7 @@ def stg_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def stg_invoice_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.stg_invoice_line_items(
-        testbed.read_source(spark, sf_dir, "invoice_line_items")
+        testbed.read_source(spark, sf_dir, "invoice_line_items"), _hot_invoices(spark, sf_dir)
     )
 
 
@@ -172,12 +181,12 @@ def mart_invoice_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated keys of the raw tables, which the staging and ledger keys must not have."""
     raw = testbed.read_sources(spark, sf_dir)
-    staged = staging.stage(raw)
+    staged, ledger = _models(spark, sf_dir)
     relations = [(f"raw.{t}", raw[t], RAW_KEYS[t]) for t in raw]
     relations += [
         ("stg_invoices", staged["stg_invoices"], ["invoice_id"]),
         ("stg_customers", staged["stg_customers"], ["customer_id"]),
-        ("mart_invoice_ledger", _ledger(spark, sf_dir), ["invoice_id"]),
+        ("mart_invoice_ledger", ledger, ["invoice_id"]),
     ]
     found = [
         duplicate_keys(df, keys).select(
@@ -194,13 +203,13 @@ def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _row_wise(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Failures per declared check of one kind, on the models and on a spoilt ledger."""
     checks = [c for c in _checks() if c.kind == kind]
-    ledger = _ledger(spark, sf_dir)
+    staged, ledger = _models(spark, sf_dir)
     on_mart = quality.checks_of(checks, "mart_invoice_ledger")
     spoilt = run_checks(testbed.spoil_ledger(ledger), on_mart).withColumn(
         "model", F.lit("spoilt_ledger")
     )
     return (
-        quality.report(_staged(spark, sf_dir), ledger, checks)
+        quality.report(staged, ledger, checks)
         .unionAll(spoilt)
         .select("model", "column_name", "failures", "status")
     )
@@ -219,7 +228,7 @@ def dq_expression_is_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def dq_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values outside the default lists; the benchmark customers have segments of their own."""
-    staged, ledger = _staged(spark, sf_dir), _ledger(spark, sf_dir)
+    staged, ledger = _models(spark, sf_dir)
     instances = [
         ("stg_invoices", staged["stg_invoices"], "invoice_status", INVOICE_STATUSES),
         ("stg_customers", staged["stg_customers"], "customer_segment", CUSTOMER_SEGMENTS),
@@ -263,9 +272,8 @@ def dq_line_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dq_total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unreconciled(
-        testbed.spoil_ledger(_ledger(spark, sf_dir)), stg_invoice_line_items(spark, sf_dir)
-    )
+    staged, ledger = _models(spark, sf_dir)
+    return quality.unreconciled(testbed.spoil_ledger(ledger), staged["stg_invoice_line_items"])
 
 
 @_query
@@ -285,16 +293,14 @@ def dq_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(
-        _staged(spark, sf_dir), _ledger(spark, sf_dir), _checks() + quality.ADVISORY_CHECKS
-    )
+    return quality.report(*_models(spark, sf_dir), _checks() + quality.ADVISORY_CHECKS)
 
 
 @_query
 def dq_status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tally of the default checks, whose segment lists the benchmark customers do not meet."""
     checks = quality.declared_checks() + quality.ADVISORY_CHECKS
-    return status_tally(quality.report(_staged(spark, sf_dir), _ledger(spark, sf_dir), checks))
+    return status_tally(quality.report(*_models(spark, sf_dir), checks))
 
 
 # -- contract -----------------------------------------------------------------------------
@@ -355,16 +361,27 @@ def failed_publish_keeps_previous(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @_query
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate for every target, on passing checks and on the default segment lists."""
-    staged, ledger = _staged(spark, sf_dir), _ledger(spark, sf_dir)
-    rows = []
-    for name, checks in (("own lists", _checks()), ("default lists", quality.declared_checks())):
-        results = csv_files.refresh_table(
-            quality.report(staged, ledger, checks), work_folder(spark, "report")
-        )
-        for target in publish.TARGETS:
-            gate = publish.publish_gate(results, target, checks)
-            rows.append(gate.select(F.lit(name).alias("segments"), "*"))
+    """The gate for every target, on passing checks and on the default segment lists.
+
+    One report holds both: the checks that differ are there a second time under another name.
+    """
+    own, default = _checks(), quality.declared_checks()
+    differing = [c for c, d in zip(own, default) if c != d]
+    renamed = [replace(d, name=f"default_{d.check_id}") for d in default if d not in own]
+    results = csv_files.refresh_table(
+        quality.report(*_models(spark, sf_dir), own + renamed),
+        work_folder(spark, "report"),
+    )
+    with_own = results.where(~F.col("check_id").isin([c.check_id for c in renamed]))
+    with_default = results.where(~F.col("check_id").isin([c.check_id for c in differing]))
+    with_default = with_default.withColumn(
+        "check_id", F.regexp_replace("check_id", "^default_", "")
+    )
+    rows = [
+        publish.publish_gate(found, target, own).select(F.lit(name).alias("segments"), "*")
+        for name, found in (("own lists", with_own), ("default lists", with_default))
+        for target in publish.TARGETS
+    ]
     return reduce(DataFrame.unionAll, rows)
 
 

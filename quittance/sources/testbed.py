@@ -116,6 +116,16 @@ def read_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {table: read_source(spark, sf_dir, table) for table in RAW_DDL}
 
 
+def line_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoice ids of the raw lines, without the join the full lines need."""
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("invoice_id"))
+
+
+def invoice_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer ids of the raw invoices, orphans and copies aside."""
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"))
+
+
 def messy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer text with wide spaces, line breaks and letters whose case mapping is irregular."""
     key = F.col("c_custkey")

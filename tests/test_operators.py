@@ -33,8 +33,9 @@ def test_keep_first_matches_brute_force(spark):
         first.setdefault(row[0], row)
     df = spark.createDataFrame(rows, "k int, a int, b int")
     for parts in (1, 6):
-        got = keep_first(df.repartition(parts), ["k"])
-        assert _rows(got) == sorted(first.values(), key=_nulls_last)
+        for cluster_by in (None, ["k"]):
+            got = keep_first(df.repartition(parts), ["k"], cluster_by)
+            assert _rows(got) == sorted(first.values(), key=_nulls_last)
 
 
 def test_keep_first_prunes_copies_before_the_shuffle(spark):

@@ -8,21 +8,27 @@ import pytest
 from sample import write_extracts
 
 from quittance.operators.checks import run_checks
+from quittance.operators.spread import HotKeys
 from quittance.plans import marts, quality, staging
 from quittance.sources import csv_files
 
 
 @pytest.fixture
-def staged(spark, tmp_path):
+def raw(spark, tmp_path):
     folder = write_extracts(tmp_path / "extracts")
     raw = csv_files.load_raw(spark, folder, str(tmp_path / "raw"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    yield staging.stage(raw)
+    yield raw
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
 
 
+@pytest.fixture
+def staged(raw):
+    return staging.stage(raw)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -35,8 +41,17 @@ def _keys(df):
     return [re.sub(r"#\d+L?|, \d+\)", "", s).replace("hashpartitioning(", "") for s in _shuffles(df)]
 
 
-def test_ledger_shuffles(staged):
-    """Each raw table once, the line totals once, the invoices once more for their customers."""
+def test_ledger_shuffles_without_hot_keys(raw):
+    """Each raw table once, and the invoices once more for their customers."""
+    staged = staging.stage(raw, HotKeys())
+    totals = marts.int_invoice_totals(*(staged[m] for m in quality.STAGING_MODELS))
+    assert sorted(_keys(totals)) == ["customer_id", "customer_id", "invoice_id", "invoice_id"]
+
+
+@pytest.mark.parametrize("hot", [None, HotKeys(parts=((1, 4),)), HotKeys(null_parts=3)])
+def test_ledger_shuffles_with_a_hot_invoice(raw, hot):
+    """Lines are spread by invoice and line, so their totals are shuffled as well."""
+    staged = staging.stage(raw, hot)
     totals = marts.int_invoice_totals(*(staged[m] for m in quality.STAGING_MODELS))
     assert sorted(_keys(totals)) == [
         "customer_id",
