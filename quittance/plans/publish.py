@@ -112,10 +112,10 @@ def publish_gate(results: DataFrame, target: str, expected: Sequence[Check]) ->
     It may when it is a published target, every expected check has a result, and no result is
     an error, a failure or a skip.
     """
-    wanted = F.array(*[F.lit(c.check_id) for c in expected])
+    ids = [c.check_id for c in expected]
+    wanted = F.array(*map(F.lit, ids))
     seen = results.agg(
-        F.collect_set(F.when(F.col("check_id").isin([c.check_id for c in expected]), F.col("check_id")))
-        .alias("ids"),
+        F.collect_set(F.when(F.col("check_id").isin(ids), F.col("check_id"))).alias("ids"),
         F.count_if(F.col("status").isin("error", "fail", "skipped")).alias("total_failures"),
     )
     return seen.select(
@@ -171,7 +171,6 @@ def _store_staging(
     Their audit and the ledger both read them, and a lost executor costs no recomputation of
     the deduplication.
     """
-
     staged = stage(raw, find_hot_keys(raw["invoice_line_items"], "invoice_id"))
 
     def store(model: str) -> DataFrame:

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "quittance") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", memory: str = "8g", app: str = "quittance"
+) -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     partitions = "8" if cpus == "*" else str(cpus)
     return (

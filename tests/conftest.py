@@ -15,6 +15,7 @@ from quittance.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, memory="4g", app="quittance-tests")
     session.sparkContext.setLogLevel("OFF")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 

@@ -134,7 +134,8 @@ def test_optional_columns_may_be_null(spark, tmp_path):
 
 
 def test_constraint_report(spark):
-    df = _ledger(spark, {}, {"invoice_date": None}, {"invoice_amount": -1.0}, {"invoice_amount": None})
+    changes = [{"invoice_date": None}, {"invoice_amount": -1.0}, {"invoice_amount": None}]
+    df = _ledger(spark, {}, *changes)
     found = {
         (r["column_name"], r["constraint_kind"]): r["breaches"]
         for r in K.constraint_report(df, MART_V1).collect()

@@ -147,7 +147,8 @@ CHECKS = [
 
 
 def test_report_counts_violations(relation):
-    got = {r["check_id"]: (r["failures"], r["status"]) for r in C.run_checks(relation, CHECKS).collect()}
+    rows = C.run_checks(relation, CHECKS).collect()
+    got = {r["check_id"]: (r["failures"], r["status"]) for r in rows}
     assert got == {
         "unique_m_id": (2, "fail"),
         "not_null_m_id": (2, "fail"),

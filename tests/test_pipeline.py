@@ -46,7 +46,7 @@ def test_csv_doubled_quotes_and_text_null(spark, tmp_path):
     folder = write_extracts(tmp_path / "extracts", customers=text)
     df = csv_files.read_csv(spark, f"{folder}/customers.csv", raw_schema("customers"))
     row = df.where("customer_id = 16").first()
-    assert (row["customer_name"], row["country"], row["segment"]) == ('The "Old" Mill', "NULL", None)
+    assert tuple(row)[1:4] == ('The "Old" Mill', "NULL", None)
 
 
 @pytest.mark.parametrize(
@@ -125,7 +125,8 @@ def test_null_keys_collapse_and_are_flagged(spark, raw):
     )
     staged = staging.stg_invoices(raw["invoices"].unionByName(extra))
     assert staged.where("invoice_id is null").count() == 1
-    report = quality.run_checks(staged, quality.checks_of(quality.declared_checks(), "stg_invoices"))
+    checks = quality.checks_of(quality.declared_checks(), "stg_invoices")
+    report = quality.run_checks(staged, checks)
     found = {r["check_id"]: r["failures"] for r in report.collect()}
     assert found["not_null_stg_invoices_invoice_id"] == 1
     assert found["unique_stg_invoices_invoice_id"] == 0
@@ -277,9 +278,14 @@ def test_the_gate_wants_every_expected_check(spark, wh, raw):
     assert not gate(rows.where("check_id not like 'unique%'"))["publish"]
     assert gate(rows.where("check_id not like 'unique%'"))["missing_checks"] == 4
     assert not gate(rows.where("false"))["publish"]
-    warned = rows.withColumn("status", F.when(F.col("kind") == "unique", "warn").otherwise("pass"))
-    assert gate(warned)["publish"]
-    skipped = rows.withColumn("status", F.when(F.col("kind") == "unique", "skipped").otherwise("pass"))
+
+    def with_unique(status):
+        return rows.withColumn(
+            "status", F.when(F.col("kind") == "unique", status).otherwise("pass")
+        )
+
+    assert gate(with_unique("warn"))["publish"]
+    skipped = with_unique("skipped")
     assert not gate(skipped)["publish"] and gate(skipped)["total_failures"] == 4
 
 

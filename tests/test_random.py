@@ -21,7 +21,8 @@ def _tables(seed):
     rng = random.Random(seed)
 
     def money():
-        return rng.choice([None, "0", f"{rng.randint(0, 99999) / 100:.2f}", f" {rng.randint(1, 9)}e2 "])
+        cents = f"{rng.randint(0, 99999) / 100:.2f}"
+        return rng.choice([None, "0", cents, f" {rng.randint(1, 9)}e2 "])
 
     def day():
         return rng.choice([None, date(2024, 1, 1) + timedelta(days=rng.randint(0, 400))])
