@@ -38,17 +38,32 @@ def invoice_customer_enrich(
     )
 
 
+def invoice_amounts(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per invoice with its terms, line count, total and discrepancy.
+
+    All that can be said of an invoice without its customer. The line totals arrive partitioned
+    by invoice, as the invoices are.
+    """
+    total = F.coalesce("calculated_invoice_total", F.lit(0.0))
+    return invoices.join(invoice_line_totals(lines), "invoice_id", "left").select(
+        *invoices.columns,
+        F.datediff("invoice_due_date", "invoice_date").cast("bigint").alias("payment_terms_days"),
+        F.coalesce("line_item_count", F.lit(0).cast("bigint")).alias("line_item_count"),
+        total.alias("calculated_invoice_total"),
+        difference(F.col("invoice_amount"), total).alias("amount_discrepancy"),
+    )
+
+
 def int_invoice_totals(
     invoices: DataFrame, customers: DataFrame, lines: DataFrame, hot: HotKeys = HotKeys()
 ) -> DataFrame:
-    """One row per invoice with its customer, terms, line count, total and discrepancy.
+    """The amounts of every invoice with its customer's columns.
 
     Lines are joined first, on the partitioning the invoices already have; only then are the
     rows moved to their customers.
     """
-    with_lines = invoices.join(invoice_line_totals(lines), "invoice_id", "left")
-    total = F.coalesce("calculated_invoice_total", F.lit(0.0))
-    return invoice_customer_enrich(with_lines, customers, hot).select(
+    enriched = invoice_customer_enrich(invoice_amounts(invoices, lines), customers, hot)
+    return enriched.select(
         "invoice_id",
         "customer_id",
         "customer_name",
@@ -59,10 +74,10 @@ def int_invoice_totals(
         "invoice_status",
         "invoice_date",
         "invoice_due_date",
-        F.datediff("invoice_due_date", "invoice_date").cast("bigint").alias("payment_terms_days"),
-        F.coalesce("line_item_count", F.lit(0).cast("bigint")).alias("line_item_count"),
-        total.alias("calculated_invoice_total"),
-        difference(F.col("invoice_amount"), total).alias("amount_discrepancy"),
+        "payment_terms_days",
+        "line_item_count",
+        "calculated_invoice_total",
+        "amount_discrepancy",
     )
 
 

@@ -65,6 +65,17 @@ def test_ledger_shuffles_with_a_hot_invoice(raw, hot):
     assert "NestedLoop" not in _plan(totals)
 
 
+def test_amounts_need_no_customer_shuffle(raw):
+    staged = staging.stage(raw, HotKeys())
+    invoices, _, lines = (staged[m] for m in quality.STAGING_MODELS)
+    amounts = marts.invoice_amounts(invoices, lines)
+    assert _keys(quality.breaking(amounts, quality.AMOUNT_HAS_LINES)) == ["invoice_id"] * 2
+    # The line totals are not needed here at all.
+    assert _keys(quality.breaking(amounts, quality.DUE_AFTER_ISSUE).select("invoice_id")) == [
+        "invoice_id"
+    ]
+
+
 def test_line_totals_are_added_up_before_the_shuffle(staged):
     plan = _plan(marts.invoice_line_totals(staged["stg_invoice_line_items"]))
     final, partial = plan.split("Exchange hashpartitioning(invoice_id", 1)
