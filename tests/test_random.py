@@ -8,7 +8,7 @@ from datetime import date, timedelta
 import duckdb
 import pytest
 
-from quittance.operators.spread import HotKeys
+from quittance.operators.spread import HotKeys, find_hot_keys
 from quittance.oracle import LEDGER_FROM_RAW
 from quittance.plans import marts, quality, staging
 from quittance.schemas import MART_V1, raw_schema
@@ -75,3 +75,26 @@ def test_ledger_equals_sql(spark, seed):
         totals = marts.int_invoice_totals(*(staged[m] for m in quality.STAGING_MODELS), hot)
         got = totals.select(*MART_V1.read_order).collect()
         assert sorted(repr(tuple(r)) for r in got) == want
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "31"])
+def test_ledger_does_not_depend_on_partitioning(spark, partitions):
+    """Also with the hot keys found in the data, of which wide shuffles have some."""
+    tables = _tables(99)
+    raw = {
+        t: spark.createDataFrame(rows, raw_schema(t)).repartition(int(partitions))
+        for t, rows in tables.items()
+    }
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        hot_invoices = find_hot_keys(raw["invoice_line_items"], "invoice_id")
+        hot_customers = find_hot_keys(raw["invoices"], "customer_id")
+        assert bool(hot_invoices) == bool(hot_customers) == (partitions != "1")
+        staged = staging.stage(raw, hot_invoices)
+        tables_in_order = [staged[m] for m in quality.STAGING_MODELS]
+        totals = marts.int_invoice_totals(*tables_in_order, hot_customers)
+        got = totals.select(*MART_V1.read_order).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, _duck_ledger(tables)))
