@@ -14,7 +14,7 @@ from quittance.sources import csv_files
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="quittance")
     parser.add_argument(
-        "command", choices=["load", "dev", "deploy", "status", "check", "export", "clean"]
+        "command", choices=["load", "dev", "deploy", "status", "views", "check", "export", "clean"]
     )
     parser.add_argument("--root", required=True, help="warehouse folder")
     parser.add_argument("--csv", help="folder with the raw extracts (load)")
@@ -48,6 +48,9 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{r['status']:8} {r['check_id']} {r['failures']}")
         print(f"target {result.target}: {'published' if result.published else 'not published'}")
         return int(bool(bad) or (args.command == "deploy" and not result.published))
+    elif args.command == "views":
+        publish.register_views(wh)
+        publish.register_slot(wh, publish.deployment_status(wh).first()["active_schema"])
     elif args.command == "status":
         publish.deployment_status(wh).show(truncate=False)
     elif args.command == "check":

@@ -308,17 +308,39 @@ def register_views(wh: Warehouse, version: str = LATEST_VERSION) -> None:
 
     With a persistent catalog this is run after each publish; the folder remains the truth.
     """
-    spark = wh.spark
     schema = _active_schema(wh)
-    ledger = wh.path(schema, CONTRACTS[version].dataset)
-    spark.sql("CREATE DATABASE IF NOT EXISTS public")
-    spark.sql(
-        f"CREATE OR REPLACE VIEW public.mart_invoice_ledger AS SELECT * FROM parquet.`{ledger}`"
+    if schema is None:
+        raise LookupError("nothing has been published yet")
+    state = wh.path("public", "deployment_state")
+    _replace_view(wh, "public", "mart_invoice_ledger", wh.path(schema, CONTRACTS[version].dataset))
+    _replace_view(
+        wh,
+        "public",
+        "deployment_state",
+        state,
+        "active_schema, deployed_at",
+        "ORDER BY deployed_at DESC, deployment_no DESC LIMIT 1",
     )
-    spark.sql(
-        "CREATE OR REPLACE VIEW public.deployment_state AS SELECT active_schema, deployed_at "
-        f"FROM parquet.`{wh.path('public', 'deployment_state')}` "
-        "ORDER BY deployed_at DESC, deployment_no DESC LIMIT 1"
+
+
+def register_slot(wh: Warehouse, schema: str) -> None:
+    """Give SQL users the models of one slot under its schema name."""
+    for model in STAGING_MODELS:
+        _replace_view(wh, schema, model, wh.path(schema, model))
+    latest = CONTRACTS[LATEST_VERSION]
+    columns = ", ".join(latest.read_order)
+    stored = wh.path(schema, latest.dataset)
+    _replace_view(wh, schema, "int_invoice_totals", stored, columns)
+    for contract in CONTRACTS.values():
+        _replace_view(wh, schema, contract.dataset, wh.path(schema, contract.dataset))
+
+
+def _replace_view(
+    wh: Warehouse, schema: str, name: str, path: str, columns: str = "*", suffix: str = ""
+) -> None:
+    wh.spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    wh.spark.sql(
+        f"CREATE OR REPLACE VIEW {schema}.{name} AS SELECT {columns} FROM parquet.`{path}` {suffix}"
     )
 
 

@@ -170,8 +170,9 @@ def test_advisory_findings(wh, raw):
 
 def test_publish_alternates_slots(wh, raw):
     assert publish.deployment_status(wh).first()["active_schema"] == "unknown"
-    with pytest.raises(LookupError):
-        publish.read_ledger(wh)
+    for read in (publish.read_ledger, publish.register_views):
+        with pytest.raises(LookupError):
+            read(wh)
     seen = []
     for _ in range(3):
         result = publish.build(wh, raw)
@@ -324,6 +325,14 @@ def test_views_and_reset(spark, wh, raw, tmp_path):
     publish.register_views(wh)
     assert spark.table("public.mart_invoice_ledger").count() == len(LEDGER)
     assert spark.table("public.deployment_state").first()["active_schema"] == "prod_blue"
+    publish.register_slot(wh, "prod_blue")
+    matched = spark.sql(
+        "SELECT count(*) FROM prod_blue.int_invoice_totals t "
+        "JOIN prod_blue.stg_invoices i ON t.invoice_id = i.invoice_id "
+        "JOIN prod_blue.mart_invoice_ledger_v1 m ON m.invoice_id = i.invoice_id"
+    )
+    assert matched.first()[0] == len(LEDGER)
+    assert spark.table("prod_blue.stg_invoice_line_items").count() == 8
     publish.reset(wh)
     assert publish.deployment_status(wh).first()["active_schema"] == "unknown"
     assert not (tmp_path / "warehouse" / "prod_blue").exists()
