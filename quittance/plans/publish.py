@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quittance.operators.checks import REPORT_DDL, Check, run_checks, status_tally
 from quittance.operators.contract import BREACH, enforce
-from quittance.operators.spread import find_hot_keys
+from quittance.operators.spread import HotKeys, find_hot_keys
 from quittance.plans import quality
 from quittance.plans.marts import int_invoice_totals, mart_invoice_ledger
 from quittance.plans.quality import LEDGER_MODELS, STAGING_MODELS, checks_of, declared_checks
@@ -164,14 +164,16 @@ def _audit(*relations: tuple[DataFrame, Sequence[Check]], stored: bool = True) -
 
 
 def _store_staging(
-    wh: Warehouse, schema: str, raw: dict[str, DataFrame]
+    wh: Warehouse, schema: str, raw: dict[str, DataFrame], hot_invoices: HotKeys | None
 ) -> dict[str, DataFrame]:
     """Write the staging tables, as independent jobs side by side.
 
     Their audit and the ledger both read them, and a lost executor costs no recomputation of
     the deduplication.
     """
-    staged = stage(raw, find_hot_keys(raw["invoice_line_items"], "invoice_id"))
+    if hot_invoices is None:
+        hot_invoices = find_hot_keys(raw["invoice_line_items"], "invoice_id")
+    staged = stage(raw, hot_invoices)
 
     def store(model: str) -> DataFrame:
         return refresh_table(staged[model], wh.path(schema, model))
@@ -229,12 +231,14 @@ def build(
     checks: Sequence[Check] | None = None,
     deployed_at: datetime | None = None,
     min_rows: int = 0,
+    hot_invoices: HotKeys | None = None,
 ) -> BuildResult:
     """Build, audit and, if the gate opens, publish.
 
     ``target`` defaults to the idle slot; ``dev`` builds and audits without publishing. Models
     after a failed check are skipped, and skips hold back the publish as failures do.
-    ``min_rows`` guards against publishing the outcome of an empty load.
+    ``min_rows`` guards against publishing the outcome of an empty load. ``hot_invoices`` saves
+    looking for them in the raw lines where that can be done cheaper.
     """
     state = next_slot(latest_deployment(wh)).first()
     target = target or state["next_target"]
@@ -243,7 +247,7 @@ def build(
         raise ValueError(f"{schema} is live; build the idle slot")
     checks = declared_checks() if checks is None else checks
 
-    staged = _store_staging(wh, schema, raw)
+    staged = _store_staging(wh, schema, raw, hot_invoices)
     results = [_model(m, "success") for m in staged]
     results += _audit(*[(df, checks_of(checks, m)) for m, df in staged.items()])
     if _failed(results):

@@ -72,10 +72,18 @@ def _warehouse(spark: SparkSession) -> publish.Warehouse:
 
 
 def _deploy(
-    wh: publish.Warehouse, sf_dir: str, deployed_at: datetime | None = None
+    wh: publish.Warehouse,
+    sf_dir: str,
+    raw: dict[str, DataFrame] | None = None,
+    deployed_at: datetime | None = None,
 ) -> publish.BuildResult:
-    raw = testbed.read_sources(wh.spark, sf_dir)
-    return publish.build(wh, raw, checks=_checks(), deployed_at=deployed_at)
+    return publish.build(
+        wh,
+        raw or testbed.read_sources(wh.spark, sf_dir),
+        checks=_checks(),
+        deployed_at=deployed_at,
+        hot_invoices=_hot_invoices(wh.spark, sf_dir),
+    )
 
 
 def _midnight_after_last_invoice(spark: SparkSession, sf_dir: str, days: int) -> datetime:
@@ -367,7 +375,7 @@ def failed_publish_keeps_previous(spark: SparkSession, sf_dir: str) -> DataFrame
     _deploy(wh, sf_dir)
     raw = testbed.read_sources(spark, sf_dir)
     raw["invoices"] = testbed.spoil_invoices(raw["invoices"])
-    publish.build(wh, raw, checks=_checks())
+    _deploy(wh, sf_dir, raw)
     return publish.read_ledger(wh)
 
 
@@ -414,7 +422,7 @@ def next_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_deployment(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh = _warehouse(spark)
     for days in (0, 1):
-        _deploy(wh, sf_dir, _midnight_after_last_invoice(spark, sf_dir, days))
+        _deploy(wh, sf_dir, deployed_at=_midnight_after_last_invoice(spark, sf_dir, days))
     return publish.latest_deployment(wh).select(
         "active_schema", F.col("deployed_at").cast("timestamp_ntz").alias("deployed_at")
     )
@@ -423,7 +431,7 @@ def latest_deployment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def deployment_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh = _warehouse(spark)
-    _deploy(wh, sf_dir, _midnight_after_last_invoice(spark, sf_dir, 0))
+    _deploy(wh, sf_dir, deployed_at=_midnight_after_last_invoice(spark, sf_dir, 0))
     return publish.deployment_state(wh).select(
         "active_schema", F.col("deployed_at").cast("timestamp_ntz").alias("deployed_at")
     )
@@ -432,7 +440,7 @@ def deployment_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def deployment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh = _warehouse(spark)
-    _deploy(wh, sf_dir, _midnight_after_last_invoice(spark, sf_dir, 0))
+    _deploy(wh, sf_dir, deployed_at=_midnight_after_last_invoice(spark, sf_dir, 0))
     return publish.deployment_status(wh)
 
 
