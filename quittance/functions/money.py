@@ -14,13 +14,15 @@ def exact_sum(amount: Column) -> Column:
     """Sum of ``amount`` to a millionth, the same on every run.
 
     Adding doubles in a different order changes the last bits, so a retried task or another
-    partitioning would change published totals. The whole units and the millionths are each
-    summed as whole numbers, which doubles add exactly. Infinite and NaN amounts keep their
-    usual meaning, and the sum is NULL when every amount is.
+    partitioning would change published totals. Whole units and millionths are therefore summed
+    apart, as whole numbers: the units as doubles, exact up to 2**53 and rounded, not failing,
+    beyond; the millionths as integers. Infinite and NaN amounts keep their usual meaning, and
+    the sum is NULL when every amount is.
     """
     whole = F.rint(amount)
     fraction = F.when(F.abs(amount) < _NO_FRACTION_FROM, amount - whole).otherwise(0.0)
-    return F.round(F.sum(whole) + F.sum(F.rint(fraction * _UNIT)) / _UNIT, SCALE)
+    millionths = F.rint(fraction * _UNIT).cast("bigint")
+    return F.round(F.sum(whole) + F.sum(millionths) / _UNIT, SCALE)
 
 
 def difference(a: Column, b: Column) -> Column:
