@@ -132,6 +132,31 @@ def test_null_keys_collapse_and_are_flagged(spark, raw):
     assert found["unique_stg_invoices_invoice_id"] == 0
 
 
+def test_report_counts_lines_with_and_without_an_invoice(spark, raw):
+    extra = spark.createDataFrame(
+        [(1, None, "A", -1, "1"), (None, None, "B", 2, "-1"), (8, 1, "C", -2, None)],
+        raw_schema("invoice_line_items"),
+    )
+    raw = {**raw, "invoice_line_items": raw["invoice_line_items"].unionByName(extra)}
+    staged = staging.stage(raw)
+    amounts = marts.invoice_amounts(staged["stg_invoices"], staged["stg_invoice_line_items"])
+    model = "stg_invoice_line_items"
+    checks = quality.checks_of(quality.declared_checks(), model)
+    expected = {
+        f"not_null_{model}_line_item_id": 1,
+        f"not_null_{model}_invoice_id": 2,
+        f"not_null_{model}_quantity": 0,
+        f"not_null_{model}_unit_price": 1,
+        f"expression_is_true_{model}_quantity": 2,
+        f"expression_is_true_{model}_unit_price": 1,
+    }
+    unique = quality.unique(model, "line_item_id")
+    for wanted, some in ((expected, []), ({**expected, unique.check_id: 1}, [unique])):
+        rows = quality.report(staged, amounts, [*checks, *some]).collect()
+        assert {r["check_id"]: r["failures"] for r in rows} == wanted
+        assert all((r["status"] == "fail") == (r["failures"] > 0) for r in rows)
+
+
 def test_blank_status_stays_blank(spark):
     row = spark.createDataFrame([(1, 1, "1", "  ", None, None)], raw_schema("invoices"))
     assert staging.stg_invoices(row).first()["invoice_status"] == ""
