@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from quittance.oracle import ORACLES
+from quittance.queries import QUERIES
 
 SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test data")
@@ -40,14 +42,16 @@ def _comparable(rows):
 
 
 def test_every_query_has_an_oracle():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLES.items() <= entry_points.oracle_sql().items()
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1500
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = entry_points.queries()[name](spark, str(SF_DIR))
     columns = sorted(df.columns)
