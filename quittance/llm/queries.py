@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quittance.llm import byte_bpe, token_counts, token_files
+from quittance.llm import (
+    byte_bpe,
+    html_blocks,
+    quality_trees,
+    secret_scan,
+    sharding,
+    simhash,
+    spaced_seeds,
+    token_counts,
+    token_files,
+    warc,
+)
 from quittance.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +52,28 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        "layers",
+        "finished",
+    )
+
+
+@_query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def bpe_digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Encoded documents with the count and digest of their ids and of the decoded bytes."""
     return byte_bpe.decode(encoded, tokenizer, as_text=False).withColumns(
@@ -62,7 +95,49 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), n_shards=40)
+
+
 @_query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer, limit=512)
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    records, _ = warc.read_archives(spark, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every aligned overlap of a document with a benchmark item."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return spaced_seeds.overlaps(docs, benchmark).drop("text_hash")
+
+
+#: Labelled rows that the quality trees are fitted to at most.
+TRAINING_ROWS = 20_000
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_trees.Trees:
+    """Trees fitted to the labelled documents of the given tables."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_trees.fit(*quality_trees.labelled_statistics(docs, labels, TRAINING_ROWS))
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.quality_rules(
+        table(spark, sf_dir, "documents"), quality_model(spark, sf_dir)
+    )
+
+
+@_query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(table(spark, sf_dir, "pages"))

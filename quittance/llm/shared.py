@@ -42,6 +42,14 @@ def stored(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[tuple]:
     """Cut a batch into runs of rows whose values in ``column`` add up to about ``most_bytes``.
 
