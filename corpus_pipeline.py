@@ -7,11 +7,10 @@ executor costs tasks, not stages.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quittance.llm import byte_bpe, quality_trees, secret_scan, simhash, spaced_seeds
-from quittance.llm.queries import bpe_digests, quality_model, table
+from quittance.llm import quality_trees, secret_scan, simhash, spaced_seeds
+from quittance.llm.queries import bpe_round_trip, quality_model, table
 from quittance.llm.shared import stored
 
 
@@ -38,12 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with digests of the ids and of the text decoded from them."""
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokenizer = byte_bpe.tokenizer_from_ranks(ranks, public_tokenizers.PATTERN)
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), tokenizer)
-    return bpe_digests(encoded, tokenizer).select(
-        "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"
-    )
+    return bpe_round_trip(docs)
 
 
 STAGES = [

@@ -115,7 +115,7 @@ class ByteTable:
         for shown, i in vocab.items():
             tokens[i] = bytes(byte_of[c] for c in shown)
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        self._starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self._starts = np.cumsum(self.sizes) - self.sizes
         self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -148,39 +148,43 @@ def encode(
     docs: DataFrame,
     tokenizer: str,
     offsets: bool = False,
+    round_trip: bool = False,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
     """``docs`` without the text, with ``ids`` (unsigned 32-bit numbers, little-endian, as binary).
 
-    With ``offsets``, also ``starts`` and ``ends``: arrays of code point positions per token. A
-    missing or empty text has no ids. Rows are neither dropped nor merged; of the other columns
-    those named ``ids``, ``starts`` or ``ends`` give way to the new ones.
+    With ``offsets``, also ``starts`` and ``ends``: arrays of code point positions per token. With
+    ``round_trip``, also ``decoded``: the bytes that the ids decode to, in the same pass. A missing
+    or empty text has no ids. Rows are neither dropped nor merged; of the other columns those named
+    like a new one give way to it.
     """
     ship(docs.sparkSession)
-    made = ["ids", "starts", "ends"] if offsets else ["ids"]
+    made = ["ids", *["starts", "ends"] * offsets, *["decoded"] * round_trip]
     kept = [c for c in docs.columns if c not in (text_column, *made)]
+    last = len(kept)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, table = encoder(tokenizer).encode, byte_table(tokenizer)
         for batch in batches:
-            last = len(kept)
             for first, texts in slices(batch, last):
                 raw = to_ids(texts)
+                ids = [np.frombuffer(r, "<u4") for r in raw]
                 columns = [batch.column(k).slice(first, len(texts)) for k in range(last)]
                 columns.append(pa.array(raw, pa.binary()))
                 if offsets:
                     spans = [
-                        table.offsets(np.frombuffer(r, "<u4"), (t or "").encode())
-                        for r, t in zip(raw, texts, strict=True)
+                        table.offsets(i, (t or "").encode()) for i, t in zip(ids, texts, strict=True)
                     ]
                     for side in (0, 1):
                         columns.append(pa.array([s[side] for s in spans], pa.list_(pa.int64())))
+                if round_trip:
+                    columns.append(pa.array(map(table.decode, ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
 
     schema = docs.select(kept).schema.add("ids", "binary")
-    if offsets:
-        schema = schema.add("starts", "array<bigint>").add("ends", "array<bigint>")
+    for name in made[1:]:
+        schema = schema.add(name, "binary" if name == "decoded" else "array<bigint>")
     return docs.select(*kept, text_column).mapInArrow(encoded, schema)
 
 

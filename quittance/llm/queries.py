@@ -74,25 +74,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bpe_digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Encoded documents with the count and digest of their ids and of the decoded bytes."""
-    return byte_bpe.decode(encoded, tokenizer, as_text=False).withColumns(
-        {
-            "n_tokens": (F.length("ids") / 4).cast("long"),
-            "ids_sha256": F.sha2("ids", 256),
-            "decoded_sha256": F.sha2("decoded", 256),
-        }
+def bpe_round_trip(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids, and digests of the ids and of the bytes they decode to)."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokenizer = byte_bpe.tokenizer_from_ranks(ranks, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(docs.select("doc_id", "text"), tokenizer, round_trip=True)
+    return encoded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
 @_query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokenizer = byte_bpe.tokenizer_from_ranks(ranks, public_tokenizers.PATTERN)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digests(byte_bpe.encode(docs, tokenizer), tokenizer).select(
-        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
-    )
+    return bpe_round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
 
 @_query

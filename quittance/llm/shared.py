@@ -50,7 +50,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[tuple]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[tuple]:
     """Cut a batch into runs of rows whose values in ``column`` add up to about ``most_bytes``.
 
     Yields (first row, values as Python objects). One longer value makes a run of its own.

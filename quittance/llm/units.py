@@ -31,7 +31,7 @@ _ENDS_CLEAN = re.compile(f"{_VISIBLE}$")
 #: Longer units are encoded each time they come up.
 REMEMBERED_CHARS = 40
 #: Units in each of the two generations a worker remembers.
-REMEMBERED_UNITS = 400_000
+REMEMBERED_UNITS = 250_000
 #: Characters handed to the library in one call.
 CALL_CHARS = 1 << 18
 
