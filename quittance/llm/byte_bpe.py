@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from quittance.llm.shared import ship, slices
 from quittance.llm.units import encoder
@@ -184,7 +185,7 @@ def encode(
 
     schema = docs.select(kept).schema.add("ids", "binary")
     for name in made[1:]:
-        schema = schema.add(name, "binary" if name == "decoded" else "array<bigint>")
+        schema = schema.add(name, BinaryType() if name == "decoded" else ArrayType(LongType()))
     return docs.select(*kept, text_column).mapInArrow(encoded, schema)
 
 

@@ -50,9 +50,10 @@ def _running(df: DataFrame, keys: list[str], bucket: Column, order: str, amount:
 def _requests(cells: DataFrame, spare: DataFrame, room: int) -> DataFrame:
     """(grp, shard, target, n): the cells that want to move to a cell with more neighbours.
 
-    A group leads in as many open shards as it needs rows, those where it is largest; its other
-    cells ask for one of these in turn. A shard is open while it holds a document without
-    neighbours, which can make way, or while others ask to leave it.
+    A group leads in as many shards as its documents fill, where it is largest, open shards first;
+    its other cells ask for one of these in turn. A shard is open while it holds a document without
+    neighbours, which can make way; into another, documents can only be swapped. Every move goes to
+    a cell no smaller than the one it leaves, so links kept whole only grow and the rounds end.
     """
     rank = Window.partitionBy("grp").orderBy(F.desc("open"), F.desc("n"), F.xxhash64("grp", "shard"))
     group = Window.partitionBy("grp")
@@ -60,13 +61,13 @@ def _requests(cells: DataFrame, spare: DataFrame, room: int) -> DataFrame:
         cells.join(F.broadcast(spare.select("shard", (F.col("spare") > 0).alias("open"))), "shard")
         .withColumn("place", F.row_number().over(rank) - 1)
         .withColumn("leads", F.ceil(F.sum("n").over(group) / room).cast("int"))
-        .withColumn("lead", F.col("open") & (F.col("place") < F.col("leads")))
+        .withColumn("lead", F.col("place") < F.col("leads"))
     )
     leaders = F.sort_array(F.collect_list(F.when(F.col("lead"), F.struct("place", "shard", "n"))).over(group))
-    nth = F.try_element_at("leaders", F.pmod(F.col("place"), F.size("leaders")).cast("int") + 1)
+    nth = F.element_at("leaders", F.pmod(F.col("place"), F.size("leaders")).cast("int") + 1)
     return (
         ranked.withColumn("leaders", leaders)
-        .where(~F.col("lead") & (F.size("leaders") > 0))
+        .where(~F.col("lead"))
         .withColumn("to", nth)
         .where((F.col("n") < F.col("to.n")) | (F.col("n") == F.col("to.n")) & (F.col("place") > F.col("to.place")))
         .select("grp", "shard", F.col("to.shard").alias("target"), "n")

@@ -225,24 +225,30 @@ def _next_start(data: bytes, at: int) -> int:
 
 def read_file(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes] | Gap]:
     """Records (offset, headers, block) and gaps of one archive, packed or not, in order."""
-    view, at = memoryview(data), 0
+    view, at, gap = memoryview(data), 0, None
     while at < len(data):
         start = at
         try:
+            found = []
             if data[at : at + 3] == MAGIC:
-                content, end = _unpack_member(view, at)
-                inner, found = 0, []
+                content, at = _unpack_member(view, at)
+                inner = 0
                 while inner < len(content):  # one record a member is usual, more are allowed
                     headers, block, inner = parse_record(content, inner)
                     found.append((start, headers, block))
-                yield from found
-                at = end
             else:
                 headers, block, at = parse_record(view, at)
-                yield start, headers, block
+                found.append((start, headers, block))
         except Damaged as e:
             at = _next_start(data, start + 1)
-            yield Gap(start, at, str(e))
+            gap = Gap(gap.start if gap else start, at, gap.reason if gap else str(e))
+            continue
+        if gap:
+            yield gap
+            gap = None
+        yield from found
+    if gap:
+        yield gap
 
 
 def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -263,7 +269,7 @@ def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
                 held, size = [], 0
                 for item in read_file(content.as_py()):
                     held.append(_row(path.as_py(), item))
-                    size += len(held[-1]["payload"] or b"")
+                    size += len(held[-1].get("payload") or b"")
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema=kind)
                         held, size = [], 0

@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import itertools
+import random
+
+import numpy as np
+from edges import documents, no_documents
+
+from quittance.llm import spaced_seeds as s
+from quittance.llm.queries import QUERIES, table
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_one_mask_fits_any_window():
+    """The masks' promise: all choices of differing places are tried."""
+    for misses in itertools.combinations(range(s.WINDOW), s.MISSES):
+        same = ["0" if i in misses else "1" for i in range(s.WINDOW)]
+        assert any(
+            all(same[at + k] == "1" for k, look in enumerate(mask) if look == "1")
+            for mask in s.MASKS
+            for at in range(s.WINDOW - len(mask) + 1)
+        ), misses
+
+
+def test_words():
+    assert s.words("The CAT's (42) hat—ÉTÉ… 中文 x\x00y") == [
+        b"the", b"cat", b"s", b"42", b"hat", "été".encode(), "中".encode(), "文".encode(), b"x", b"y",
+    ]
+    assert s.words(None) == s.words("") == s.words(" .,! ") == []
+
+
+def brute(docs, items):
+    """(document, item, alignment) of every overlap, by comparing every alignment in full."""
+    found = set()
+    hashed = {i: s.word_hashes(t) for i, t in items}
+    for d, t in docs:
+        words = s.word_hashes(t)
+        for i, item in hashed.items():
+            n, least = len(item), min(s.WINDOW, len(item))
+            if n < s.LEAST_WORDS:
+                continue
+            for start in range(-n + 1, len(words)):
+                low, high = max(0, -start), min(n, len(words) - start)
+                if high - low < least:
+                    continue
+                equal = (words[start + low : start + high] == item[low:high]).astype(int)
+                allowed = s.MISSES if n >= s.WINDOW else 0
+                if max(np.convolve(equal, np.ones(least, int), "valid")) >= least - allowed:
+                    found.add((d, i, start))
+    return found
+
+
+def test_substitutions_are_tolerated_and_nothing_else_is_found(spark):
+    random.seed(5)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(i, " ".join(random.choices(vocabulary, k=n))) for i, n in enumerate([30, 13, 14, 60, 7, 5, 4, 12])]
+    items += [(100, None), (101, ""), (3, items[3][1]), (None, items[0][1])]
+    docs = []
+    for d in range(60):
+        words = random.choices(vocabulary, k=random.randint(0, 60))
+        _, text = random.choice(items[:8])
+        planted = text.split()
+        for k in random.sample(range(len(planted)), random.choice([0, 1, 3, len(planted) // 4])):
+            planted[k] = "other"
+        cut = random.choice([0, 0, 5])
+        at = random.randint(0, len(words))
+        docs.append((d, " ".join(words[:at] + planted[cut:] + words[at:])))
+    docs += [(None, items[1][1]), (70, None), (71, ""), (72, items[4][1].upper() + "!"), (72, items[4][1].upper() + "!")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = s.overlaps(documents(spark, docs), bench)
+    got = {(r["doc_id"], r["item_id"], r["doc_start"] - r["item_start"]) for r in found.collect()}
+    expected = brute(docs, items)
+    assert got == expected and len(got) > 30
+    dirty = {d for d, _, _ in expected}
+    kept = s.keep_clean(documents(spark, docs), s.overlaps(documents(spark, docs), bench))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in dirty)
+    assert kept.columns == documents(spark, docs).columns
+
+
+def test_nothing_to_look_for(spark):
+    bench = spark.createDataFrame([(1, "some benchmark text of a few words")], "item_id bigint, text string")
+    assert s.overlaps(no_documents(spark), bench).count() == 0
+    assert s.overlaps(documents(spark), bench.where("false")).count() == 0
+    df = documents(spark)
+    assert s.keep_clean(df, s.overlaps(df, bench.where("false"))).count() == df.count()
+
+
+def test_query(spark):
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, SF_DIR, "documents").collect()]
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF_DIR, "benchmark").collect()]
+    rows = QUERIES["op8_decontamination"](spark, SF_DIR).collect()
+    got = {(r["doc_id"], r["item_id"], r["doc_start"] - r["item_start"]) for r in rows}
+    texts = {d: set(zip(*[s.words(t)[k:] for k in range(5)], strict=False)) for d, t in docs}
+    near = []  # only documents that share five words with an item can hold it
+    for d, t in docs:
+        if any(texts[d] & set(zip(*[s.words(x)[k:] for k in range(5)], strict=False)) for _, x in items):
+            near.append((d, t))
+    assert got == brute(near, items) and got

@@ -1,0 +1,159 @@
+"""Token files, token counts and byte-level BPE against the libraries themselves."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from edges import LONG, TEXTS, documents, no_documents
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from quittance.llm import byte_bpe, token_counts, token_files
+from quittance.llm.queries import QUERIES, table, tokenizer_text
+
+SF_DIR = "/root/testdata/sf0.001"
+WORDS = tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+BYTES = tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+MULTI = byte_bpe.tokenizer_from_ranks(RANKS, public_tokenizers.PATTERN)
+
+
+def library(text):
+    return Tokenizer.from_str(text)
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300)))
+def test_variable_length_coding_round_trip(values):
+    array = np.array(values, np.uint32)
+    control, data = token_files.pack(array)
+    assert len(control) == -(-len(values) // 4)
+    assert len(data) == sum(max(1, -(-v.bit_length() // 8)) for v in values)
+    assert token_files.unpack(control, data, len(values)).tolist() == values
+
+
+def test_a_damaged_block_is_refused():
+    block = token_files.write_block([3, None], [np.array([1, 70_000], np.uint32), np.array([], np.uint32)])
+    ids, lengths, values = token_files.read_block(block)
+    assert (ids, lengths.tolist(), values.tolist()) == ([3, None], [2, 0], [1, 70_000])
+    with pytest.raises(ValueError):
+        token_files.read_block(block[:-1])
+    with pytest.raises(ValueError):
+        token_files.read_block(b"x" + block[1:])
+
+
+def expected_files(rows):
+    encode, start, out = library(WORDS), 0, []
+    coded = [(d, encode.encode(t or "", add_special_tokens=False).ids + [1]) for d, t in rows]
+    for d, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_token_files_of_odd_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 64)
+    token_files.write_token_files(documents(spark), WORDS, str(tmp_path / "t"))
+    found = token_files.read_token_files(spark, str(tmp_path / "t")).collect()
+    got = [(r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(r["ids"])) for r in found]
+    assert sorted(got, key=lambda r: r[1]) == expected_files(TEXTS)
+    ranks = spark.read.parquet(str(tmp_path / "t" / "ranks")).collect()
+    assert [r["n"] for r in sorted(ranks)] == sorted((r["n"] for r in ranks), reverse=True)
+
+
+def test_token_files_of_nothing(spark, tmp_path):
+    token_files.write_token_files(no_documents(spark), WORDS, str(tmp_path / "t"))
+    assert token_files.read_token_files(spark, str(tmp_path / "t")).count() == 0
+
+
+def test_token_file_query(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF_DIR, "documents").collect()]
+    got = [tuple(r) for r in QUERIES["op1_token_files"](spark, SF_DIR).collect()]
+    assert by_id(got) == expected_files(rows)
+
+
+def test_token_counts(spark):
+    encode = library(BYTES)
+    expected = []
+    for d, t in TEXTS:
+        n = len(encode.encode(t or "", add_special_tokens=False).ids)
+        expected.append((d, len((t or "").encode()), n, n > 512))
+    assert len(LONG) > 200_000
+    got = token_counts.token_counts(documents(spark), BYTES)
+    assert by_id(map(tuple, got.collect())) == by_id(expected)
+    assert token_counts.token_counts(no_documents(spark), BYTES).count() == 0
+
+
+def test_token_count_query(spark):
+    encode = library(BYTES)
+    rows = table(spark, SF_DIR, "documents").collect()
+    expected = [len(encode.encode(r["text"], add_special_tokens=False).ids) for r in rows]
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op6_token_counts"](spark, SF_DIR).collect()}
+    assert got == {r["doc_id"]: n for r, n in zip(rows, expected, strict=True)}
+
+
+def tiktoken_ids():
+    ranks = byte_bpe.read_ranks(RANKS)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return own.encode_ordinary
+
+
+def test_byte_bpe_is_tiktoken_on_every_code_point():
+    encode, units = tiktoken_ids(), byte_bpe.encoder(MULTI)
+    points = [c for c in range(0, 0x110000, 1) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0)]
+    texts = [f"a{chr(c)}1 {chr(c)}{chr(c)} b{chr(c)}." for c in points]
+    got = [np.frombuffer(i, "<u4").tolist() for i in units.encode(texts)]
+    assert got == [encode(t) for t in texts]
+
+
+def test_byte_bpe_round_trip_of_odd_rows(spark):
+    encode = tiktoken_ids()
+    coded = byte_bpe.encode(documents(spark), MULTI, offsets=True, round_trip=True)
+    assert coded.columns.count("ids") == 1 and "lang" in coded.columns
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in coded.collect()]
+    assert by_id(got) == by_id([(d, encode(t or ""), (t or "").encode()) for d, t in TEXTS])
+    back = byte_bpe.decode(byte_bpe.encode(documents(spark), MULTI), MULTI)
+    assert by_id((r["doc_id"], r["decoded"]) for r in back.collect()) == by_id((d, t or "") for d, t in TEXTS)
+    assert byte_bpe.encode(no_documents(spark), MULTI, round_trip=True).count() == 0
+
+
+def test_offsets_cover_split_characters():
+    text = "né 🙂 中𓀀!"
+    ids = np.frombuffer(byte_bpe.encoder(MULTI).encode([text])[0], "<u4")
+    starts, ends = byte_bpe.byte_table(MULTI).offsets(ids, text.encode())
+    assert starts[0] == 0 and ends[-1] == len(text)
+    assert all(a <= b for a, b in zip(starts, starts[1:], strict=False))
+    joined = byte_bpe.byte_table(MULTI)
+    for k, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        assert joined.decode(ids[k : k + 1]) in text[s:e].encode()
+    assert joined.decode(ids[:0]) == b""
+
+
+def test_ids_cut_inside_a_character_decode_to_a_replacement(spark):
+    ids = np.frombuffer(byte_bpe.encoder(MULTI).encode(["𓀀"])[0], "<u4")
+    assert len(ids) > 1
+    df = spark.createDataFrame([(ids[:1].tobytes(),), (None,)], "ids binary")
+    assert {r["decoded"] for r in byte_bpe.decode(df, MULTI).collect()} == {"�", ""}
+
+
+def test_byte_bpe_query(spark):
+    encode = tiktoken_ids()
+    rows = table(spark, SF_DIR, "documents").collect()
+    expected = {}
+    for r in rows:
+        ids = encode(r["text"])
+        digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        expected[r["doc_id"]] = (len(ids), digest, hashlib.sha256(r["text"].encode()).hexdigest())
+    got = QUERIES["op4_byte_bpe"](spark, SF_DIR)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == expected

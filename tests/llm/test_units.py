@@ -1,0 +1,40 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from quittance.llm.units import UnitEncoder
+
+BITS = [
+    " ", "  ", "\n", "\r\n", "\t", "a", "É", "é", "'s", "'", "1", "<|endoftext|>", ".", ",", "　",
+    "\xa0", "́", "中", "Σ", "İ", "​", "ſ", "\x1c", "\x85", "한", " the", "🙂", "ﬁ", "᠎", "Word",
+]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_give_the_ids_of_the_whole_text(name):
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        text = f.read()
+    library, units = Tokenizer.from_str(text), UnitEncoder(text)
+    random.seed(7)
+    texts = ["".join(random.choices(BITS, k=random.randint(0, 20))) for _ in range(5000)]
+    texts += ["Le chat. La\nfin, des mots! " * 50, "x" * 10_000, "mot " * 5000, ""]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in units.encode(texts)]
+    assert got == expected
+    assert units.count(texts) == list(map(len, expected))
+    assert units.encode([None]) == [b""]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    texts = [f"one{i} two{i % 7} three{i % 50}, four{i * i}." for i in range(300)]
+    expected = UnitEncoder(text).encode(texts)
+    monkeypatch.setattr("quittance.llm.units.REMEMBERED_UNITS", 10)
+    small = UnitEncoder(text)
+    assert [small.encode([t])[0] for t in texts] == expected
