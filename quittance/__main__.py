@@ -14,11 +14,16 @@ from quittance.sources import csv_files
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="quittance")
     parser.add_argument(
-        "command", choices=["load", "dev", "deploy", "status", "views", "check", "export", "clean"]
+        "command",
+        choices="load dev deploy status views check export prune clean".split(),
     )
     parser.add_argument("--root", required=True, help="warehouse folder")
     parser.add_argument("--csv", help="folder with the raw extracts (load)")
     parser.add_argument("--wide-ids", action="store_true", help="64-bit ids in the extracts (load)")
+    parser.add_argument(
+        "--line-breaks", action="store_true", help="accept line breaks within quotes (load)"
+    )
+    parser.add_argument("--keep", type=int, default=2, help="versions to keep (prune)")
     parser.add_argument("--schema", help="slot to audit, by default the live one (check)")
     parser.add_argument("--out", help="folder to write to (export)")
     parser.add_argument("--ordered", action="store_true", help="sort by invoice (export)")
@@ -37,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     wh = publish.Warehouse(spark, args.root)
     raw_folder = f"{args.root.rstrip('/')}/raw"
     if args.command == "load":
-        raw = csv_files.load_raw(spark, args.csv, raw_folder, args.wide_ids)
+        raw = csv_files.load_raw(spark, args.csv, raw_folder, args.wide_ids, args.line_breaks)
         csv_files.load_manifest(raw).show(truncate=False)
     elif args.command in ("dev", "deploy"):
         raw = csv_files.read_raw(spark, raw_folder)
@@ -46,6 +51,8 @@ def main(argv: list[str] | None = None) -> int:
         bad = [r for r in result.results if r["status"] in ("error", "fail", "skipped")]
         for r in bad:
             print(f"{r['status']:8} {r['check_id']} {r['failures']}")
+        if result.published:
+            publish.register_views(wh)
         print(f"target {result.target}: {'published' if result.published else 'not published'}")
         return int(bool(bad) or (args.command == "deploy" and not result.published))
     elif args.command == "views":
@@ -59,10 +66,14 @@ def main(argv: list[str] | None = None) -> int:
             print("nothing is deployed; name a slot with --schema")
             return 1
         report = publish.recheck(wh, schema)
-        report.show(100, truncate=False)
+        for r in report.orderBy("check_id").collect():  # a row per check
+            print(f"{r['status']:8} {r['check_id']} {r['failures']}")
         return int(publish.status_tally(report).first()["total_failures"] > 0)
     elif args.command == "export":
         export.export_json(wh, args.out, ordered=args.ordered).show()
+    elif args.command == "prune":
+        publish.prune(wh, args.keep)
+        csv_files.prune(spark, raw_folder, args.keep)
     else:
         publish.reset(wh)
     return 0

@@ -1,4 +1,4 @@
-"""Sums of DOUBLE amounts that do not depend on the order of addition."""
+"""Sums of amounts that neither lose small ones nor depend on the order of addition."""
 
 from __future__ import annotations
 
@@ -6,23 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 6
-_UNIT = float(10**SCALE)
-_NO_FRACTION_FROM = float(2**52)
+#: Amounts from here on are added as DOUBLE: a double of that size steps by more than 10**4.
+_LARGEST = 1e20
 
 
-def exact_sum(amount: Column) -> Column:
-    """Sum of ``amount`` to a millionth, the same on every run.
+def exact_sum(amount: Column, times: Column | None = None) -> Column:
+    """Sum of ``amount``, or of ``times`` (whole numbers) its value, rounded once to a millionth.
 
-    Adding doubles in a different order changes the last bits, so a retried task or another
-    partitioning would change published totals. Whole units and millionths are therefore summed
-    apart, as whole numbers: the units as doubles, exact up to 2**53 and rounded, not failing,
-    beyond; the millionths as integers. Infinite and NaN amounts keep their usual meaning, and
-    the sum is NULL when every amount is.
+    A DOUBLE counts as the decimal number it is written as, to 18 places. Whole parts and
+    fractions are added apart, as decimals that no sum of ten billion rows overflows, so nothing
+    is rounded before the end, when half a millionth is rounded up, and a retried task or another
+    partitioning changes nothing. Infinite and NaN amounts and those beyond 10**20 keep the
+    meaning they have as DOUBLE. The sum is NULL when every amount is.
     """
-    whole = F.rint(amount)
-    fraction = F.when(F.abs(amount) < _NO_FRACTION_FROM, amount - whole).otherwise(0.0)
-    millionths = F.rint(fraction * _UNIT).cast("bigint")
-    return F.round(F.sum(whole) + F.sum(millionths) / _UNIT, SCALE)
+    times = F.lit(1) if times is None else times
+    small = F.abs(amount) < _LARGEST
+    value = F.when(small, amount).cast("decimal(38,18)")
+    whole = F.floor(value).cast("decimal(21,0)")
+    fraction = (value - whole).cast("decimal(19,18)")
+    count = times.cast("decimal(10,0)")
+    total = F.sum(count * whole).cast("decimal(31,0)") + F.sum(count * fraction)
+    # Decimals of these types are added in full and rounded to the scale that is left, six places.
+    exact = F.round(total, SCALE).cast("double")
+    rest = F.sum(F.when(~small, amount * times))
+    return F.when(rest.isNull(), exact).otherwise(rest + F.coalesce(exact, F.lit(0.0)))
 
 
 def difference(a: Column, b: Column) -> Column:

@@ -61,12 +61,13 @@ def or_unknown(c: Column) -> Column:
 def to_double(c: Column) -> Column:
     """Text to DOUBLE. Text that is no number fails the job instead of becoming NULL.
 
-    Underscores between digits are accepted; Spark's own ``1.5d`` / ``1.5f`` suffixes are not.
+    Underscores between digits are accepted; what Spark takes beyond that, ``1.5d``, ``1.5f`` and
+    hexadecimal floats such as ``0x1p3``, is not.
     """
     digits = F.when(
         F.contains(c, F.lit("_")), F.regexp_replace(c, r"(?<=[0-9])_(?=[0-9])", "")
     ).otherwise(c)
     complain = F.raise_error(F.concat(F.lit("not a number: "), c))
-    return F.when(c.rlike(r"[0-9.][dDfF]\s*$"), complain).otherwise(
+    return F.when(c.rlike(r"[0-9.][dDfF]\s*$|[xX]"), complain).otherwise(
         F.coalesce(digits.try_cast("double"), F.when(c.isNotNull(), complain))
     )

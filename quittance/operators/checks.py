@@ -107,13 +107,42 @@ def _counted(df: DataFrame, key: str | None, checks: Sequence[Check]) -> DataFra
     return totals.selectExpr(f"inline(array({rows}))")
 
 
-def run_checks(df: DataFrame, checks: Sequence[Check], stored: bool = False) -> DataFrame:
+def _narrow(df: DataFrame, key: str, checks: Sequence[Check]) -> DataFrame:
+    """One report row per check, reading ``df`` once and moving little but the key.
+
+    Every row becomes its key and, for each check it fails, the number of that check. Both are
+    counted on every task first, so what moves is a row per key and one per task and failed check.
+    """
+    tagged = [f"IF({key} IS NOT NULL, struct(-1 AS tag, {key} AS key), NULL)"]
+    row_wise = [c for c in checks if c.kind != "unique"]
+    for i, c in enumerate(row_wise):
+        tagged.append(f"IF({c.fails()}, struct({i} AS tag, IF(false, {key}, NULL) AS key), NULL)")
+    counted = (
+        df.selectExpr(f"inline(array_compact(array({', '.join(tagged)})))")
+        .groupBy("tag", "key")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    totals = counted.agg(
+        F.expr("count_if(tag = -1 AND n > 1) AS repeated"),
+        *[
+            F.expr(f"coalesce(sum(n) FILTER (WHERE tag = {i}), 0) AS f{i}")
+            for i in range(len(row_wise))
+        ],
+    )
+    rows = [_report_row(c, f"f{i}") for i, c in enumerate(row_wise)]
+    rows += [_report_row(c, "repeated") for c in checks if c.kind == "unique"]
+    return totals.selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def run_checks(
+    df: DataFrame, checks: Sequence[Check], stored: bool = False, clustered: bool = True
+) -> DataFrame:
     """The report of all ``checks`` on one relation.
 
-    A computed relation is read once: row-wise failures travel with the key to be unique, whose
-    partitioning the rows often have already. A ``stored`` one is cheaper read again, each time
-    only the columns in question: row-wise checks then need no shuffle, and uniqueness moves
-    nothing but the key.
+    A computed relation is read once. Where its rows already lie by the key to be unique
+    (``clustered``), row-wise failures are added up per key without a shuffle; elsewhere only the
+    key moves. A ``stored`` relation is cheaper read again, each time only the columns in question:
+    row-wise checks then need no shuffle either.
     """
     keys = list(dict.fromkeys(c.column for c in checks if c.kind == "unique"))
     row_wise = [c for c in checks if c.kind != "unique"]
@@ -122,7 +151,11 @@ def run_checks(df: DataFrame, checks: Sequence[Check], stored: bool = False) ->
         passes.append((None, row_wise))
     elif row_wise:
         passes[0] = (keys[0], passes[0][1] + row_wise)
-    return reduce(DataFrame.unionAll, [_counted(df, key, here) for key, here in passes])
+    if passes and passes[0][0] and not stored and not clustered:
+        parts = [_narrow(df, *passes[0])]
+    else:
+        parts = [_counted(df, *passes[0])]
+    return reduce(DataFrame.unionAll, parts + [_counted(df, *p) for p in passes[1:]])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,11 +169,20 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def values_outside(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Values that are not accepted, with the number of rows holding each."""
+def values_outside(df: DataFrame, accepted: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+    """(model, column_name, value, n_records): values that are not accepted, all in one pass.
+
+    ``accepted`` holds a model's name, a column of ``df`` and its accepted values, each. Only values
+    outside leave a row, and they are counted on every task first.
+    """
+    found = [
+        f"IF({column} NOT IN ({', '.join(map(quoted, values))}), "
+        f"struct({quoted(model)} AS model, {quoted(column)} AS column_name, {column} AS value), NULL)"
+        for model, column, values in accepted
+    ]
     return (
-        df.where(~F.col(column).isin(*values))
-        .groupBy(F.col(column).alias("value"))
+        df.selectExpr(f"inline(array_compact(array({', '.join(found)})))")
+        .groupBy("model", "column_name", "value")
         .agg(F.count(F.lit(1)).alias("n_records"))
     )
 

@@ -5,23 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quittance.schemas import INVOICE_STATUSES, Contract
-
-# What a reader may rely on in each ledger row. The customer fields may be NULL
-# and a discrepancy may be negative.
-ROW_REQUIRED = [
-    "invoice_id",
-    "line_item_count",
-    "payment_terms_days",
-    "invoice_amount",
-    "calculated_invoice_total",
-    "amount_discrepancy",
-    "invoice_date",
-    "invoice_due_date",
-    "invoice_status",
-]
-ROW_NOT_NEGATIVE = ["line_item_count", "invoice_amount", "calculated_invoice_total"]
-
+from quittance.schemas import MART_V1, Contract
 
 BREACH = "contract breach in"
 
@@ -119,31 +103,39 @@ def enforce(df: DataFrame, contract: Contract) -> DataFrame:
     if drift:
         raise ContractDrift("; ".join(drift))
     rules = [(f"{name}:{kind}", bad) for name, kind, bad in _constraints(contract)]
-    return _failing(df.select(*contract.names), rules, f"{BREACH} {contract.dataset}")
+    rows = df.select(*contract.names)
+    return _failing(rows, rules, f"{BREACH} {contract.dataset}") if rules else rows
+
+
+def breaches(df: DataFrame, contract: Contract) -> bool:
+    """Whether a constraint does not hold on ``df``."""
+    return not constraint_report(df, contract).where("breaches > 0").isEmpty()
 
 
-def _row_rules() -> list[tuple[str, str]]:
-    rules = [(f"{c}:missing", f"{c} IS NULL") for c in ROW_REQUIRED]
-    for c in ROW_NOT_NEGATIVE:
+def _row_rules(contract: Contract) -> list[tuple[str, str]]:
+    rules = [(f"{c}:missing", f"{c} IS NULL") for c in contract.row_required]
+    for c in contract.row_not_negative:
         # NaN is no number >= 0, though Spark orders it above every number.
         below = f"coalesce({c} < 0 OR isnan(CAST({c} AS DOUBLE)), false)"
         rules.append((f"{c}:negative", below))
-    allowed = ", ".join(f"'{s}'" for s in INVOICE_STATUSES)
-    outside = f"coalesce(invoice_status NOT IN ({allowed}), false)"
-    rules.append(("invoice_status:not_allowed", outside))
+    for c, values in contract.row_allowed:
+        allowed = ", ".join(f"'{v}'" for v in values)
+        rules.append((f"{c}:not_allowed", f"coalesce({c} NOT IN ({allowed}), false)"))
     return rules
 
 
-def valid_rows(df: DataFrame) -> DataFrame:
-    return df.where(f"NOT ({_any(_row_rules())})")
+def valid_rows(df: DataFrame, contract: Contract = MART_V1) -> DataFrame:
+    rules = _row_rules(contract)
+    return df.where(f"NOT ({_any(rules)})") if rules else df
 
 
-def rejected_rows(df: DataFrame) -> DataFrame:
+def rejected_rows(df: DataFrame, contract: Contract = MART_V1) -> DataFrame:
     """Rows breaking the row contract, with the codes of the broken rules."""
-    rules = _row_rules()
+    rules = _row_rules(contract) or [("", "false")]
     return df.where(_any(rules)).withColumn("violations", F.expr(_codes(rules)))
 
 
-def require_valid(df: DataFrame) -> DataFrame:
+def require_valid(df: DataFrame, contract: Contract = MART_V1) -> DataFrame:
     """``df`` unchanged; one bad row fails the whole read."""
-    return _failing(df, _row_rules(), f"{BREACH} the row contract")
+    rules = _row_rules(contract)
+    return _failing(df, rules, f"{BREACH} the row contract") if rules else df

@@ -27,23 +27,18 @@ class HotKeys:
 
 
 def find_hot_keys(df: DataFrame, key: str, width: int | None = None) -> HotKeys:
-    """Find the hot values of ``key`` in one pass without a shuffle by key.
+    """The values of ``key`` with more than ``2 / width`` of the rows, and how to cut them up.
 
-    Every task emits one frequent-items sketch whose size depends on ``width`` alone, so the
-    driver receives a bounded list however many rows or keys there are. The list only steers
-    how rows are spread; a key missed or added changes no result.
+    Rows are counted per key, on every task first: a hot key then is one row per task, and only
+    keys and counts move. Fewer than ``width / 2`` keys pass the filter and reach the driver. They
+    only steer how rows are spread; none of them changes a result.
     """
     width = width or shuffle_width(df.sparkSession)
-    most = width // 2 + 1
-    tracked = min(1 << max(10, math.ceil(math.log2(8 * width))), 1_000_000)
-    row = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.expr(f"approx_top_k(`{key}`, {most}, {tracked})").alias("top"),
-    ).first()
+    total = df.count()
+    counted = df.groupBy(F.col(key).alias("item")).agg(F.count(F.lit(1)).alias("rows"))
     hot = [
-        (item["item"], math.ceil(item["count"] * width / row["total"]))
-        for item in row["top"] or []
-        if item["count"] * width > 2 * row["total"]
+        (r["item"], math.ceil(r["rows"] * width / total))
+        for r in counted.where(F.col("rows") * width > 2 * total).orderBy("item").collect()
     ]
     return HotKeys(
         parts=tuple((k, n) for k, n in hot if k is not None),

@@ -2,9 +2,130 @@
 
 from __future__ import annotations
 
-from quittance.plans.quality import ADVISORY_CHECKS, declared_checks
-from quittance.schemas import MART_V1
-from quittance.sources.testbed import SEGMENTS
+from typing import NamedTuple
+
+
+class _Check(NamedTuple):
+    """A check as the data owner states it; ``bad`` is SQL that is true for a failing row."""
+
+    check_id: str
+    model: str
+    column: str
+    kind: str
+    bad: str
+    found: str = "fail"
+
+
+_STATUSES = "'paid', 'overdue', 'pending', 'unknown'"
+_SEGMENTS = "'smb', 'enterprise', 'startup', 'unknown'"
+_OWN_SEGMENTS = "'automobile', 'building', 'furniture', 'household', 'machinery', 'unknown'"
+
+
+def _checks(segments: str) -> list[_Check]:
+    """The 46 column checks and the 2 assertions that are switched off."""
+    listed = [
+        ("unique", "stg_invoices", "invoice_id"),
+        ("not_null", "stg_invoices", "invoice_id"),
+        ("not_null", "stg_invoices", "customer_id"),
+        ("not_null", "stg_invoices", "invoice_date"),
+        ("not_null", "stg_invoices", "invoice_due_date"),
+        ("not_null", "stg_invoices", "invoice_amount"),
+        ("not_null", "stg_invoices", "invoice_status"),
+        ("expression_is_true", "stg_invoices", "invoice_amount"),
+        ("accepted_values", "stg_invoices", "invoice_status"),
+        ("unique", "stg_customers", "customer_id"),
+        ("not_null", "stg_customers", "customer_id"),
+        ("not_null", "stg_customers", "customer_segment"),
+        ("accepted_values", "stg_customers", "customer_segment"),
+        ("not_null", "stg_invoice_line_items", "line_item_id"),
+        ("not_null", "stg_invoice_line_items", "invoice_id"),
+        ("not_null", "stg_invoice_line_items", "quantity"),
+        ("not_null", "stg_invoice_line_items", "unit_price"),
+        ("expression_is_true", "stg_invoice_line_items", "quantity"),
+        ("expression_is_true", "stg_invoice_line_items", "unit_price"),
+        ("unique", "int_invoice_totals", "invoice_id"),
+        ("not_null", "int_invoice_totals", "invoice_id"),
+        ("not_null", "int_invoice_totals", "invoice_amount"),
+        ("not_null", "int_invoice_totals", "invoice_date"),
+        ("not_null", "int_invoice_totals", "invoice_due_date"),
+        ("not_null", "int_invoice_totals", "payment_terms_days"),
+        ("not_null", "int_invoice_totals", "line_item_count"),
+        ("not_null", "int_invoice_totals", "calculated_invoice_total"),
+        ("not_null", "int_invoice_totals", "amount_discrepancy"),
+        ("expression_is_true", "int_invoice_totals", "invoice_amount"),
+        ("expression_is_true", "int_invoice_totals", "line_item_count"),
+        ("expression_is_true", "int_invoice_totals", "calculated_invoice_total"),
+        ("accepted_values", "int_invoice_totals", "customer_segment"),
+        ("accepted_values", "int_invoice_totals", "invoice_status"),
+        ("unique", "mart_invoice_ledger", "invoice_id"),
+        ("not_null", "mart_invoice_ledger", "invoice_id"),
+        ("not_null", "mart_invoice_ledger", "invoice_amount"),
+        ("not_null", "mart_invoice_ledger", "calculated_invoice_total"),
+        ("not_null", "mart_invoice_ledger", "amount_discrepancy"),
+        ("not_null", "mart_invoice_ledger", "invoice_date"),
+        ("not_null", "mart_invoice_ledger", "invoice_due_date"),
+        ("not_null", "mart_invoice_ledger", "invoice_status"),
+        ("not_null", "mart_invoice_ledger", "line_item_count"),
+        ("not_null", "mart_invoice_ledger", "payment_terms_days"),
+        ("expression_is_true", "mart_invoice_ledger", "invoice_amount"),
+        ("expression_is_true", "mart_invoice_ledger", "line_item_count"),
+        ("accepted_values", "mart_invoice_ledger", "invoice_status"),
+    ]
+    values = {"invoice_status": _STATUSES, "customer_segment": segments}
+    bad = {
+        "unique": "",
+        "not_null": "{c} IS NULL",
+        "expression_is_true": "NOT ({c} >= 0)",
+        "accepted_values": "{c} NOT IN ({v})",
+    }
+    found = [
+        _Check(f"{kind}_{model}_{c}", model, c, kind, bad[kind].format(c=c, v=values.get(c, "")))
+        for kind, model, c in listed
+    ]
+    off = ("assert_all_invoices_have_customers", "assert_no_line_items_have_zero_total")
+    return found + [_Check(n, "mart_invoice_ledger", "", "singular", "false") for n in off]
+
+
+_ADVISORY = [
+    _Check("invoice_has_customer", "mart_invoice_ledger", "", "singular", "customer_name IS NULL", "warn"),
+    _Check(
+        "amount_has_lines",
+        "mart_invoice_ledger",
+        "",
+        "singular",
+        "line_item_count = 0 AND invoice_amount <> 0",
+        "warn",
+    ),
+    _Check(
+        "no_lines_no_total",
+        "mart_invoice_ledger",
+        "",
+        "singular",
+        "line_item_count = 0 AND calculated_invoice_total <> 0",
+        "warn",
+    ),
+    _Check(
+        "due_after_issue", "mart_invoice_ledger", "", "singular", "invoice_due_date < invoice_date", "warn"
+    ),
+]
+
+# Name, type and whether it must be there, in stored order.
+_CONTRACT = [
+    ("invoice_id", "bigint", True),
+    ("invoice_amount", "double", True),
+    ("calculated_invoice_total", "double", True),
+    ("amount_discrepancy", "double", True),
+    ("invoice_date", "date", True),
+    ("invoice_due_date", "date", True),
+    ("invoice_status", "string", True),
+    ("customer_id", "bigint", False),
+    ("customer_name", "string", False),
+    ("customer_email", "string", False),
+    ("customer_country", "string", False),
+    ("customer_segment", "string", False),
+    ("line_item_count", "bigint", True),
+    ("payment_terms_days", "bigint", False),
+]
 
 _RAW = """
 invoice_rows AS (
@@ -63,7 +184,8 @@ stg_invoice_line_items AS MATERIALIZED (
 _TOTALS = """
 line_totals AS MATERIALIZED (
   SELECT invoice_id, COUNT(line_item_id) AS line_item_count,
-         ROUND(SUM(quantity * unit_price), 6) AS calculated_invoice_total
+         CAST(ROUND(SUM(quantity * CAST(unit_price AS DECIMAL(28,9))), 6) AS DOUBLE)
+           AS calculated_invoice_total
   FROM stg_invoice_line_items GROUP BY invoice_id),
 ledger AS MATERIALIZED (
   SELECT i.invoice_id, i.customer_id, c.customer_name, c.customer_country, c.customer_segment,
@@ -130,7 +252,7 @@ def _relation(model: str) -> str:
     return "ledger" if model in ("int_invoice_totals", "mart_invoice_ledger") else model
 
 
-def _failures(check, relation: str) -> str:
+def _failures(check: _Check, relation: str) -> str:
     """A scalar query counting the failures of one check."""
     c = check.column
     if check.kind == "unique":
@@ -138,26 +260,16 @@ def _failures(check, relation: str) -> str:
             f"(SELECT COUNT(*) FROM (SELECT {c} FROM {relation} WHERE {c} IS NOT NULL "
             f"GROUP BY {c} HAVING COUNT(*) > 1))"
         )
-    if check.kind == "not_null":
-        bad = f"{c} IS NULL"
-    elif check.kind == "accepted_values":
-        listed = ", ".join(f"'{v}'" for v in check.values)
-        bad = f"{c} NOT IN ({listed})"
-    else:
-        bad = f"NOT ({check.expression})"
-    return f"(SELECT COUNT(*) FROM {relation} WHERE {bad})"
+    return f"(SELECT COUNT(*) FROM {relation} WHERE {check.bad})"
 
 
-def _report(checks) -> str:
-    rows = []
-    for c in checks:
-        found = "warn" if c.advisory else "fail"
-        rows.append(
-            f"SELECT '{c.check_id}' AS check_id, '{c.model}' AS model, "
-            f"'{c.column}' AS column_name, '{c.kind}' AS kind, "
-            f"{_failures(c, _relation(c.model))} AS failures, '{found}' AS found"
-        )
-    union = "\nUNION ALL ".join(rows)
+def _report(checks: list[_Check]) -> str:
+    union = "\nUNION ALL ".join(
+        f"SELECT '{c.check_id}' AS check_id, '{c.model}' AS model, "
+        f"'{c.column}' AS column_name, '{c.kind}' AS kind, "
+        f"{_failures(c, _relation(c.model))} AS failures, '{c.found}' AS found"
+        for c in checks
+    )
     return (
         "SELECT check_id, model, column_name, kind, failures, "
         f"CASE WHEN failures > 0 THEN found ELSE 'pass' END AS status FROM ({union})"
@@ -165,7 +277,7 @@ def _report(checks) -> str:
 
 
 def _row_wise(kind: str) -> str:
-    checks = [c for c in declared_checks(SEGMENTS) if c.kind == kind]
+    checks = [c for c in _checks(_OWN_SEGMENTS) if c.kind == kind]
     rows = [(c, c.model, _relation(c.model)) for c in checks]
     rows += [(c, "spoilt_ledger", "spoilt") for c in checks if c.model == "mart_invoice_ledger"]
     union = "\nUNION ALL ".join(
@@ -182,11 +294,8 @@ def _row_wise(kind: str) -> str:
 
 def _gate() -> str:
     parts = []
-    for name, checks in (
-        ("own lists", declared_checks(SEGMENTS)),
-        ("default lists", declared_checks()),
-    ):
-        failing = f"(SELECT COUNT(*) FROM ({_report(checks)}) WHERE status = 'fail')"
+    for name, segments in (("own lists", _OWN_SEGMENTS), ("default lists", _SEGMENTS)):
+        failing = f"(SELECT COUNT(*) FROM ({_report(_checks(segments))}) WHERE status = 'fail')"
         parts.append(
             f"SELECT '{name}' AS segments, target, total_failures, CAST(0 AS BIGINT) AS "
             "missing_checks, target <> 'dev' AND total_failures = 0 AS publish "
@@ -197,31 +306,19 @@ def _gate() -> str:
 
 
 def _schema_report() -> str:
-    types = {"string": "string", "double": "double", "date": "date", "bigint": "bigint"}
     rows = []
-    for c in MART_V1.columns:
-        t = types[c.data_type]
-        status = "CASE WHEN null_rows > 0 THEN 'nulls' ELSE 'ok' END" if c.required else "'ok'"
+    for name, kind, required in _CONTRACT:
+        status = "CASE WHEN null_rows > 0 THEN 'nulls' ELSE 'ok' END" if required else "'ok'"
         rows.append(
-            f"SELECT '{c.name}' AS column_name, '{t}' AS declared_type, '{t}' AS actual_type, "
-            f"{str(c.required).lower()} AS is_required, null_rows, {status} AS status "
-            f"FROM (SELECT COUNT(*) - COUNT({c.name}) AS null_rows FROM ledger)"
+            f"SELECT '{name}' AS column_name, '{kind}' AS declared_type, '{kind}' AS actual_type, "
+            f"{str(required).lower()} AS is_required, null_rows, {status} AS status "
+            f"FROM (SELECT COUNT(*) - COUNT({name}) AS null_rows FROM ledger)"
         )
     return _on(_LEDGER, "\nUNION ALL ".join(rows))
 
 
 def _constraints() -> str:
-    required = [
-        "invoice_id",
-        "invoice_amount",
-        "calculated_invoice_total",
-        "amount_discrepancy",
-        "invoice_date",
-        "invoice_due_date",
-        "invoice_status",
-        "line_item_count",
-    ]
-    rows = [(c, "not_null", f"{c} IS NULL") for c in required]
+    rows = [(c, "not_null", f"{c} IS NULL") for c, _, required in _CONTRACT if required]
     rows += [(c, "check", f"{c} < 0") for c in ("invoice_amount", "line_item_count")]
     return _on(
         _SPOILT,
@@ -248,8 +345,6 @@ def _outside(model: str, relation: str, column: str, values: str) -> str:
     )
 
 
-_STATUS_LIST = "'paid', 'overdue', 'pending', 'unknown'"
-_SEGMENT_LIST = "'smb', 'enterprise', 'startup', 'unknown'"
 
 
 def _money(c: str) -> str:
@@ -289,6 +384,36 @@ SELECT customer_id, NULLIF(TRIM(padded), '') AS name,
        COALESCE(TRIM(LOWER(padded)), 'unknown') AS status
 FROM messy"""
 
+# Prices in billionths are whole numbers; half a millionth is rounded up once, in the total.
+_SMALL_PRICES = """
+lines AS (
+  SELECT line_item_id, invoice_id, quantity,
+         CAST(CAST(unit_price AS DECIMAL(18,2)) * 100 AS HUGEINT) AS billionths
+  FROM raw_line_items
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY line_item_id, invoice_id
+    ORDER BY product_name NULLS LAST, quantity NULLS LAST,
+             CAST(unit_price AS DECIMAL(18,2)) NULLS LAST) = 1)
+SELECT invoice_id, COUNT(line_item_id) AS line_item_count,
+       CAST((SUM(quantity * billionths) + 500) // 1000 AS DOUBLE) / 1000000
+         AS calculated_invoice_total
+FROM lines GROUP BY invoice_id"""
+
+_SKEWED = (
+    _RAW.replace("raw_invoices AS", "plain_invoices AS").replace("raw_line_items AS", "plain_lines AS")
+    + """,
+raw_invoices AS (
+  SELECT * REPLACE (CASE WHEN invoice_id % 3 = 0 THEN 7 ELSE customer_id END AS customer_id)
+  FROM plain_invoices),
+raw_line_items AS (
+  SELECT CASE invoice_id % 3 WHEN 0 THEN invoice_id * 10 + line_item_id WHEN 1 THEN 1
+              ELSE line_item_id END AS line_item_id,
+         CASE invoice_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE invoice_id END AS invoice_id,
+         CASE invoice_id % 3 WHEN 1 THEN 'copy' ELSE product_name END AS product_name,
+         CASE invoice_id % 3 WHEN 1 THEN 2 ELSE quantity END AS quantity,
+         CASE invoice_id % 3 WHEN 1 THEN '1.25' ELSE unit_price END AS unit_price
+  FROM plain_lines)"""
+)
+
 _LAST_INVOICE = "(SELECT CAST(MAX(CAST(o_orderdate AS DATE)) AS TIMESTAMP) FROM orders)"
 
 ORACLES: dict[str, str] = {
@@ -312,6 +437,8 @@ ORACLES: dict[str, str] = {
         _STAGED, "SELECT *, quantity * unit_price AS line_total FROM stg_invoice_line_items"
     ),
     "invoice_line_totals": _on(_LEDGER, "SELECT * FROM line_totals"),
+    "invoice_line_totals_small_prices": f"WITH {_RAW.strip()},{_SMALL_PRICES}",
+    "ledger_skewed": _on(f"{_SKEWED},{_STAGING},{_TOTALS}", "SELECT * FROM ledger"),
     "invoice_customer_enrich": _on(
         _STAGED,
         "SELECT i.*, c.* EXCLUDE (customer_id) FROM stg_invoices i "
@@ -340,11 +467,11 @@ ORACLES: dict[str, str] = {
         _LEDGER,
         "\nUNION ALL ".join(
             [
-                _outside("stg_invoices", "stg_invoices", "invoice_status", _STATUS_LIST),
-                _outside("stg_customers", "stg_customers", "customer_segment", _SEGMENT_LIST),
-                _outside("int_invoice_totals", "ledger", "customer_segment", _SEGMENT_LIST),
-                _outside("int_invoice_totals", "ledger", "invoice_status", _STATUS_LIST),
-                _outside("mart_invoice_ledger", "ledger", "invoice_status", _STATUS_LIST),
+                _outside("stg_invoices", "stg_invoices", "invoice_status", _STATUSES),
+                _outside("stg_customers", "stg_customers", "customer_segment", _SEGMENTS),
+                _outside("int_invoice_totals", "ledger", "customer_segment", _SEGMENTS),
+                _outside("int_invoice_totals", "ledger", "invoice_status", _STATUSES),
+                _outside("mart_invoice_ledger", "ledger", "invoice_status", _STATUSES),
             ]
         ),
     ),
@@ -388,14 +515,14 @@ ORACLES: dict[str, str] = {
         "SELECT invoice_id, invoice_date, invoice_due_date FROM ledger "
         "WHERE invoice_due_date < invoice_date",
     ),
-    "dq_report": _on(_LEDGER, _report(declared_checks(SEGMENTS) + ADVISORY_CHECKS)),
+    "dq_report": _on(_LEDGER, _report(_checks(_OWN_SEGMENTS) + _ADVISORY)),
     "dq_status_tally": _on(
         _LEDGER,
         "SELECT COUNT(*) FILTER (status = 'error') AS error_count, "
         "COUNT(*) FILTER (status = 'fail') AS failure_count, "
         "COUNT(*) FILTER (status = 'skipped') AS skip_count, "
         "COUNT(*) FILTER (status IN ('error', 'fail', 'skipped')) AS total_failures "
-        f"FROM ({_report(declared_checks() + ADVISORY_CHECKS)})",
+        f"FROM ({_report(_checks(_SEGMENTS) + _ADVISORY)})",
     ),
     "contract_schema_report": _schema_report(),
     "contract_constraints": _constraints(),
@@ -408,13 +535,21 @@ ORACLES: dict[str, str] = {
     "publish_then_read": _LEDGER_ROWS,
     "ledger_read_v1": _LEDGER_ROWS,
     "failed_publish_keeps_previous": _LEDGER_ROWS,
+    "public_view_after_failed_build": _LEDGER_ROWS,
+    "recheck_stored_slot": _on(_LEDGER, _report(_checks(_OWN_SEGMENTS) + _ADVISORY)),
+    "ledger_two_versions": _on(
+        _LEDGER,
+        "SELECT *, invoice_amount AS billed_amount, "
+        "COALESCE(customer_name, '?') || ' / ' || COALESCE(customer_country, '?') AS customer_label, "
+        f"invoice_status = 'overdue' AS is_overdue FROM ledger WHERE {_VIOLATIONS} = ''",
+    ),
     "publish_gate": _gate(),
     "next_slot": (
         "SELECT CAST(NULL AS VARCHAR) AS active_schema, 'blue' AS next_target, 0 AS deployed "
         "UNION ALL SELECT 'prod_blue', 'green', 1 UNION ALL SELECT 'prod_green', 'blue', 2"
     ),
     "latest_deployment": (
-        f"SELECT 'prod_green' AS active_schema, {_LAST_INVOICE} + INTERVAL 1 DAY AS deployed_at"
+        f"SELECT 'prod_green' AS active_schema, {_LAST_INVOICE} - INTERVAL 1 DAY AS deployed_at"
     ),
     "deployment_state": f"SELECT 'prod_blue' AS active_schema, {_LAST_INVOICE} AS deployed_at",
     "deployment_status": (
@@ -430,5 +565,6 @@ ORACLES: dict[str, str] = {
         _LEDGER, "SELECT COUNT(*) AS count, 'v1' AS version FROM ledger"
     ),
     "ledger_export_rows": _LEDGER_ROWS,
+    "failed_export_keeps_previous": _LEDGER_ROWS,
     "ledger_display": _on(_LEDGER, _DISPLAY),
 }

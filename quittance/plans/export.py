@@ -2,39 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quittance.functions.display import currency, or_dash, short_date
 from quittance.operators.contract import require_valid
 from quittance.plans.publish import Warehouse, read_ledger
 from quittance.schemas import LATEST_VERSION
+from quittance.sources import files
 
 
 def export_json(
     wh: Warehouse, out: str, version: str = LATEST_VERSION, ordered: bool = False
 ) -> DataFrame:
-    """Write the live ledger as JSON lines under ``<out>/data`` and return its manifest.
+    """Write the live ledger as JSON lines under ``out`` and return its manifest.
 
-    A row that breaks the row contract fails the export. The manifest, also written to
-    ``<out>/manifest``, holds the row count and the contract version; NULLs are written out so
-    that every row has every field. ``ordered`` sorts by invoice, at the price of a shuffle.
+    The rows go to a folder of their own. ``<out>/manifest.json`` is replaced last, in one step: it
+    holds the row count, the contract version and the folder's name. A row that breaks the row
+    contract fails the export, and what was exported before stays. NULLs are written out so that
+    every row has every field. ``ordered`` sorts by invoice, at the price of a shuffle.
     """
+    spark, folder = wh.spark, f"rows-{uuid.uuid4().hex}"
     ledger = read_ledger(wh, version)
-    rows = require_valid(ledger)
+    rows = require_valid(ledger, wh.contracts[version])
     if ordered:
         rows = rows.orderBy("invoice_id")
-    rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/data")
+    try:
+        rows.write.option("ignoreNullFields", False).json(f"{out}/{folder}")
+    except Exception:
+        files.delete(spark, f"{out}/{folder}")
+        raise
     # All rows passed, so the count is the stored one, which Parquet keeps in its footers.
-    manifest = ledger.agg(F.count(F.lit(1)).alias("count")).withColumn("version", F.lit(version))
-    manifest.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
-    return wh.spark.read.schema("count BIGINT, version STRING").json(f"{out}/manifest")
+    manifest = {"count": ledger.count(), "version": version, "rows": folder}
+    files.replace_text(spark, f"{out}/manifest.json", json.dumps(manifest))
+    return read_manifest(spark, out)
+
+
+def read_manifest(spark: SparkSession, out: str) -> DataFrame:
+    schema = "count BIGINT, version STRING"
+    return spark.read.schema(schema).json(f"{out}/manifest.json")
+
+
+def rows_folder(spark: SparkSession, out: str) -> str:
+    """The folder with the rows of the last export that succeeded."""
+    manifest = files.read_text(spark, f"{out}/manifest.json")
+    if manifest is None:
+        raise LookupError(f"nothing has been exported to {out}")
+    return f"{out}/{json.loads(manifest)['rows']}"
 
 
 def read_export(wh: Warehouse, out: str, version: str = LATEST_VERSION) -> DataFrame:
     """The exported rows, typed as in the contract."""
     schema = read_ledger(wh, version).schema
-    return wh.spark.read.schema(schema).option("mode", "FAILFAST").json(f"{out}/data")
+    folder = rows_folder(wh.spark, out)
+    return wh.spark.read.schema(schema).option("mode", "FAILFAST").json(folder)
+
+
+def prune_exports(spark: SparkSession, out: str) -> None:
+    """Delete the rows of all exports but the last."""
+    present = rows_folder(spark, out).rsplit("/", 1)[1]
+    for name in files.names_in(spark, out):
+        if name.startswith("rows-") and name != present:
+            files.delete(spark, f"{out}/{name}")
 
 
 def ledger_display(ledger: DataFrame) -> DataFrame:

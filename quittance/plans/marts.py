@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quittance.functions.money import difference, exact_sum
 from quittance.operators.spread import HotKeys, left_join
-from quittance.schemas import CONTRACTS, LATEST_VERSION
+from quittance.schemas import MART_V1, Contract
 
 LINE_AMOUNT = "quantity * unit_price"
 
@@ -25,7 +25,7 @@ def invoice_line_totals(lines: DataFrame) -> DataFrame:
     """
     return lines.groupBy("invoice_id").agg(
         F.count("line_item_id").alias("line_item_count"),
-        exact_sum(F.expr(LINE_AMOUNT)).alias("calculated_invoice_total"),
+        exact_sum(F.col("unit_price"), F.col("quantity")).alias("calculated_invoice_total"),
     )
 
 
@@ -81,6 +81,6 @@ def int_invoice_totals(
     )
 
 
-def mart_invoice_ledger(totals: DataFrame, version: str = LATEST_VERSION) -> DataFrame:
-    """The ledger in the column order its contract stores."""
-    return totals.select(*CONTRACTS[version].names)
+def mart_invoice_ledger(totals: DataFrame, contract: Contract = MART_V1) -> DataFrame:
+    """The ledger as one version of its contract stores it: renamed, derived, in its order."""
+    return totals.select(*[F.expr(c.source or c.name).alias(c.name) for c in contract.columns])

@@ -1,53 +1,101 @@
-"""Gated publish: write the idle slot, audit what was written, then point readers at it.
+"""Gated publish: write a build, audit what was written, then point readers at it.
 
 Layout under one root folder:
 
-    <root>/<schema>/<model>        tables of a slot (schemas dev, prod_blue, prod_green)
-    <root>/<schema>/check_results  what the audit of that slot found
-    <root>/public/deployment_state one row per deployment; the last one is live
+    <root>/<schema>/<build>/<model>         the tables of a build (schemas dev, prod_blue, prod_green)
+    <root>/<schema>/<build>/check_results   what its audit found
+    <root>/public/deployment_state          one row per deployment; the highest number is live
+    <root>/public/numbers/<n>               taken deployment numbers
 
-A deployment becomes live by appending one file to the state table, which readers see either
-whole or not at all.
+Every build has a folder of its own, which nothing writes to again: whoever reads a build keeps
+its files, and rows that the gate refused stand where no reader looks. A deployment becomes live by
+adding one file to the state table, which readers see either whole or not at all; the views of
+SQL users move with it. Old builds go when ``prune`` is called.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quittance.operators.checks import REPORT_DDL, Check, run_checks, status_tally
-from quittance.operators.contract import BREACH, enforce
+from quittance.operators.contract import ContractDrift, breaches, enforce
 from quittance.operators.spread import HotKeys, find_hot_keys
 from quittance.plans import quality
 from quittance.plans.marts import int_invoice_totals, mart_invoice_ledger
 from quittance.plans.quality import LEDGER_MODELS, STAGING_MODELS, checks_of, declared_checks
 from quittance.plans.staging import stage
-from quittance.schemas import CONTRACTS, LATEST_VERSION
-from quittance.sources.csv_files import refresh_table
+from quittance.schemas import CONTRACTS, LATEST_VERSION, Contract
+from quittance.sources import files
+from quittance.sources.csv_files import store_table
 
 # The build targets and the schema each writes to.
 TARGETS = {"dev": "dev", "blue": "prod_blue", "green": "prod_green"}
 PUBLISHED_TARGETS = ("blue", "green")
-STATE_DDL = "deployment_no BIGINT, active_schema STRING, deployed_at TIMESTAMP"
+STATE_DDL = "deployment_no BIGINT, active_schema STRING, build STRING, deployed_at TIMESTAMP"
+#: The table property that tells which warehouse a view belongs to.
+OWNER = "quittance.root"
 
 
 @dataclass(frozen=True)
 class Warehouse:
+    """A root folder and the contract versions that its builds are written in."""
+
     spark: SparkSession
     root: str
+    contracts: Mapping[str, Contract] = field(default_factory=lambda: CONTRACTS)
+
+    def path(self, schema: str, *names: str) -> str:
+        return "/".join([self.root.rstrip("/"), schema, *names])
+
+    def builds(self, schema: str) -> list[str]:
+        """The names of a slot's builds, oldest first."""
+        return [n for n in files.names_in(self.spark, self.path(schema)) if n.startswith("build-")]
 
-    def path(self, schema: str, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{schema}/{table}"
+    def new_build(self, schema: str) -> Build:
+        """A build that nothing has been written to; no other one has its name."""
+        last = self.builds(schema)[-1:] or ["build-0-"]
+        number = int(last[0].split("-")[1]) + 1
+        return Build(self, schema, f"build-{number:09d}-{uuid.uuid4().hex[:8]}")
+
+    def last_build(self, schema: str) -> Build:
+        """The newest build of a slot."""
+        names = self.builds(schema)
+        if not names:
+            raise LookupError(f"{schema} has not been built")
+        return Build(self, schema, names[-1])
 
     def table(self, schema: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(schema, table))
+        """A table of the newest build of a slot."""
+        return self.last_build(schema).table(table)
+
+
+@dataclass(frozen=True)
+class Build:
+    """The tables of one run, written once."""
+
+    wh: Warehouse
+    schema: str
+    name: str
+
+    def path(self, table: str) -> str:
+        return self.wh.path(self.schema, self.name, table)
+
+    def table(self, table: str) -> DataFrame:
+        return self.wh.spark.read.parquet(self.path(table))
+
+    def store(self, df: DataFrame, table: str) -> DataFrame:
+        return store_table(df, self.path(table))
 
 
 @dataclass(frozen=True)
@@ -71,8 +119,8 @@ def deployments(wh: Warehouse) -> DataFrame:
 
 
 def latest_deployment(wh: Warehouse) -> DataFrame:
-    """The live deployment: one row, or none before the first."""
-    return deployments(wh).orderBy(F.desc("deployed_at"), F.desc("deployment_no")).limit(1)
+    """The live deployment, the last one published: one row, or none before the first."""
+    return deployments(wh).orderBy(F.desc("deployment_no")).limit(1)
 
 
 def deployment_state(wh: Warehouse) -> DataFrame:
@@ -87,20 +135,29 @@ def next_slot(state: DataFrame) -> DataFrame:
 
 
 def deployment_status(wh: Warehouse) -> DataFrame:
-    """One row with the live schema and its time; 'unknown' when nothing is deployed."""
-    return (
-        latest_deployment(wh)
-        .agg(
-            F.coalesce(F.max("active_schema"), F.lit("unknown")).alias("active_schema"),
-            F.max("deployed_at").cast("string").alias("deployed_at"),
-        )
-        .select(F.lit("healthy").alias("status"), "active_schema", "deployed_at")
-    )
+    """One row with the live schema and its time.
 
+    The schema is 'unknown' when nothing is deployed, and when the state cannot be read.
+    """
+    try:
+        row = deployment_state(wh).withColumn("deployed_at", F.col("deployed_at").cast("string")).first()
+    except (PySparkException, Py4JJavaError):
+        row = None
+    schema, deployed_at = tuple(row) if row else ("unknown", None)
+    ddl = "status STRING, active_schema STRING, deployed_at STRING"
+    return wh.spark.createDataFrame([("healthy", schema, deployed_at)], ddl)
 
-def _active_schema(wh: Warehouse) -> str | None:
+
+def live_build(wh: Warehouse) -> Build | None:
     row = latest_deployment(wh).first()
-    return row["active_schema"] if row else None
+    return Build(wh, row["active_schema"], row["build"]) if row else None
+
+
+def _must_be_live(wh: Warehouse) -> Build:
+    build = live_build(wh)
+    if build is None:
+        raise LookupError("nothing has been published yet")
+    return build
 
 
 # -- gate ---------------------------------------------------------------------------------
@@ -164,7 +221,7 @@ def _audit(*relations: tuple[DataFrame, Sequence[Check]], stored: bool = True) -
 
 
 def _store_staging(
-    wh: Warehouse, schema: str, raw: dict[str, DataFrame], hot_invoices: HotKeys | None
+    build: Build, raw: dict[str, DataFrame], hot_invoices: HotKeys | None
 ) -> dict[str, DataFrame]:
     """Write the staging tables, as independent jobs side by side.
 
@@ -176,24 +233,30 @@ def _store_staging(
     staged = stage(raw, hot_invoices)
 
     def store(model: str) -> DataFrame:
-        return refresh_table(staged[model], wh.path(schema, model))
+        return build.store(staged[model], model)
 
+    # The jobs keep the caller's job group and scheduler pool.
     with ThreadPoolExecutor(len(staged)) as jobs:
-        return dict(zip(staged, jobs.map(store, staged)))
+        return dict(zip(staged, jobs.map(inheritable_thread_target(build.wh.spark)(store), staged)))
 
 
-def _store_ledger(wh: Warehouse, schema: str, totals: DataFrame) -> DataFrame:
-    """Write the ledger in every contract version; the latest one is returned."""
-    if len(CONTRACTS) > 1:
-        totals = refresh_table(totals, wh.path(schema, "int_invoice_totals"))
-    for version, contract in CONTRACTS.items():
-        ledger = enforce(mart_invoice_ledger(totals, version), contract)
-        refresh_table(ledger, wh.path(schema, contract.dataset))
-    return wh.table(schema, CONTRACTS[LATEST_VERSION].dataset)
+def _store_ledger(build: Build, totals: DataFrame) -> DataFrame:
+    """Write the ledger in every contract version; returns it as the first one holds it."""
+    contracts = build.wh.contracts
+    if len(contracts) > 1:
+        totals = build.store(totals, "int_invoice_totals")
+    for contract in contracts.values():
+        build.store(enforce(mart_invoice_ledger(totals, contract), contract), contract.dataset)
+    return build.table(audited(build.wh).dataset)
+
+
+def audited(wh: Warehouse) -> Contract:
+    """The version that the declared checks are written for."""
+    return wh.contracts[LATEST_VERSION]
 
 
 def _build_ledger(
-    wh: Warehouse, schema: str, staged: dict[str, DataFrame], checks: Sequence[Check]
+    build: Build, staged: dict[str, DataFrame], checks: Sequence[Check]
 ) -> list[Row]:
     intermediate, mart = (checks_of(checks, m) for m in LEDGER_MODELS)
     invoices, customers, lines = (staged[m] for m in STAGING_MODELS)
@@ -201,9 +264,13 @@ def _build_ledger(
         invoices, customers, lines, find_hot_keys(invoices, "customer_id")
     )
     try:
-        ledger = _store_ledger(wh, schema, totals)
-    except Exception as e:  # the class depends on how deep in the write the task failed
-        if BREACH not in str(e):
+        ledger = _store_ledger(build, totals)
+    except ContractDrift:
+        raise
+    except (PySparkException, Py4JJavaError):
+        # The job failed. Only if a row really breaks a constraint is that the reason.
+        contracts = build.wh.contracts.values()
+        if not any(breaches(mart_invoice_ledger(totals, c), c) for c in contracts):
             raise
         found = _audit((totals, intermediate), stored=False)
         broken = "skipped" if _failed(found) else "error"
@@ -247,96 +314,112 @@ def build(
         raise ValueError(f"{schema} is live; build the idle slot")
     checks = declared_checks() if checks is None else checks
 
-    staged = _store_staging(wh, schema, raw, hot_invoices)
+    made = wh.new_build(schema)
+    staged = _store_staging(made, raw, hot_invoices)
     results = [_model(m, "success") for m in staged]
     results += _audit(*[(df, checks_of(checks, m)) for m, df in staged.items()])
     if _failed(results):
         results += [_model(m, "skipped") for m in LEDGER_MODELS]
         results += _skipped(checks_of(checks, *LEDGER_MODELS))
     else:
-        results += _build_ledger(wh, schema, staged, checks)
+        results += _build_ledger(made, staged, checks)
 
-    report = refresh_table(
-        wh.spark.createDataFrame(results, REPORT_DDL).coalesce(1),
-        wh.path(schema, "check_results"),
+    report = made.store(
+        wh.spark.createDataFrame(results, REPORT_DDL).coalesce(1), "check_results"
     )
     published = publish_gate(report, target, checks).first()["publish"]
     if published and min_rows:
-        ledger = wh.table(schema, CONTRACTS[LATEST_VERSION].dataset)
-        published = ledger.count() >= min_rows
+        published = made.table(audited(wh).dataset).count() >= min_rows
     if published:
-        publish(wh, schema, deployed_at)
+        publish(made, deployed_at)
     return BuildResult(target, tuple(results), published)
 
 
-def publish(wh: Warehouse, schema: str, deployed_at: datetime | None = None) -> None:
-    """Make ``schema`` the live one, as of now unless a time is given in the session's zone."""
+def _take_number(wh: Warehouse) -> int:
+    """A deployment number that nobody else has: two publishes at once get two, in some order."""
+    taken = [int(n) for n in files.names_in(wh.spark, wh.path("public", "numbers")) if n.isdigit()]
+    last = deployments(wh).agg(F.max("deployment_no")).first()[0]
+    number = max([last or 0, *taken]) + 1
+    while not files.create_once(wh.spark, wh.path("public", "numbers", str(number))):
+        number += 1
+    return number
+
+
+def publish(build: Build, deployed_at: datetime | None = None) -> None:
+    """Make ``build`` the live one, as of now unless a time is given in the session's zone.
+
+    The last publish wins, whatever the clocks say. Views registered for this warehouse move along.
+    """
+    wh = build.wh
     when = F.lit(str(deployed_at)) if deployed_at else F.current_timestamp()
-    number = F.coalesce(F.max("deployment_no"), F.lit(0)) + 1
-    (
-        deployments(wh)
-        .agg(number.cast("bigint").alias("deployment_no"))
-        .select(
-            "deployment_no",
-            F.lit(schema).alias("active_schema"),
-            when.cast("timestamp").alias("deployed_at"),
-        )
-        .coalesce(1)
-        .write.mode("append")
-        .parquet(wh.path("public", "deployment_state"))
+    number = _take_number(wh)
+    row = wh.spark.range(1).select(
+        F.lit(build.schema).alias("active_schema"),
+        F.lit(build.name).alias("build"),
+        when.cast("timestamp").alias("deployed_at"),
     )
+    # A folder for each deployment, so publishes at once do not clear each other's scratch files.
+    row.coalesce(1).write.parquet(wh.path("public", "deployment_state", f"deployment_no={number}"))
+    for contract in wh.contracts.values():
+        if _owned(wh, "public", _public_name(wh, contract)):
+            register_views(wh, contract.version)
 
 
 # -- reading ------------------------------------------------------------------------------
 
 
 def read_ledger(wh: Warehouse, version: str = LATEST_VERSION) -> DataFrame:
-    """The live ledger: exactly the contracted columns, whatever else is stored."""
-    contract = CONTRACTS[version]
-    schema = _active_schema(wh)
-    if schema is None:
-        raise LookupError("nothing has been published yet")
-    return wh.table(schema, contract.dataset).select(*contract.read_order)
+    """The live ledger: exactly the contracted columns, whatever else is stored.
+
+    The rows are those of one build: later deployments change nothing for a reader that has begun.
+    """
+    contract = wh.contracts[version]
+    return _must_be_live(wh).table(contract.dataset).select(*contract.read_order)
 
 
 def recheck(wh: Warehouse, schema: str, checks: Sequence[Check] | None = None) -> DataFrame:
-    """Audit a slot as it is, without building anything."""
-    staged = {m: wh.table(schema, m) for m in STAGING_MODELS}
-    ledger = wh.table(schema, CONTRACTS[LATEST_VERSION].dataset)
+    """Audit the newest build of a slot as it is, without building anything."""
+    build = wh.last_build(schema)
+    staged = {m: build.table(m) for m in STAGING_MODELS}
     checks = declared_checks() if checks is None else checks
-    return quality.report(staged, ledger, checks, stored=True)
+    return quality.report(staged, build.table(audited(wh).dataset), checks, stored=True)
+
+
+def _public_name(wh: Warehouse, contract: Contract) -> str:
+    """The public view of a version: that of the first has the plain name."""
+    first = next(iter(wh.contracts.values()))
+    return "mart_invoice_ledger" if contract is first else f"mart_invoice_ledger_{contract.version}"
 
 
 def register_views(wh: Warehouse, version: str = LATEST_VERSION) -> None:
     """Give SQL users ``public.mart_invoice_ledger`` and ``public.deployment_state``.
 
-    With a persistent catalog this is run after each publish; the folder remains the truth.
+    From then on every publish moves the view to the build it makes live. A view names a build's
+    folder, which is never written again, so it cannot show rows that the gate has not passed.
     """
-    schema = _active_schema(wh)
-    if schema is None:
-        raise LookupError("nothing has been published yet")
-    state = wh.path("public", "deployment_state")
-    _replace_view(wh, "public", "mart_invoice_ledger", wh.path(schema, CONTRACTS[version].dataset))
+    build, contract = _must_be_live(wh), wh.contracts[version]
+    name, columns = _public_name(wh, contract), ", ".join(contract.read_order)
+    _replace_view(wh, "public", name, build.path(contract.dataset), columns)
     _replace_view(
         wh,
         "public",
         "deployment_state",
-        state,
+        wh.path("public", "deployment_state"),
         "active_schema, deployed_at",
-        "ORDER BY deployed_at DESC, deployment_no DESC LIMIT 1",
+        "ORDER BY deployment_no DESC LIMIT 1",
     )
 
 
 def register_slot(wh: Warehouse, schema: str) -> None:
-    """Give SQL users the models of one slot under its schema name."""
+    """Give SQL users the models of a slot's newest build under its schema name."""
+    build = wh.last_build(schema)
     for model in STAGING_MODELS:
-        _replace_view(wh, schema, model, wh.path(schema, model))
-    latest = CONTRACTS[LATEST_VERSION]
-    columns = ", ".join(latest.read_order)
-    stored = wh.path(schema, latest.dataset)
-    _replace_view(wh, schema, "int_invoice_totals", stored, columns)
-    for contract in CONTRACTS.values():
-        _replace_view(wh, schema, contract.dataset, wh.path(schema, contract.dataset))
+        _replace_view(wh, schema, model, build.path(model))
+    stored = audited(wh)
+    columns = ", ".join(stored.read_order)
+    _replace_view(wh, schema, "int_invoice_totals", build.path(stored.dataset), columns)
+    for contract in wh.contracts.values():
+        _replace_view(wh, schema, contract.dataset, build.path(contract.dataset))
 
 
 def _replace_view(
@@ -344,17 +427,40 @@ def _replace_view(
 ) -> None:
     wh.spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
     wh.spark.sql(
-        f"CREATE OR REPLACE VIEW {schema}.{name} AS SELECT {columns} FROM parquet.`{path}` {suffix}"
+        f"CREATE OR REPLACE VIEW {schema}.{name} TBLPROPERTIES ('{OWNER}' = '{wh.root.rstrip('/')}') "
+        f"AS SELECT {columns} FROM parquet.`{path}` {suffix}"
     )
 
 
+def _owned(wh: Warehouse, schema: str, name: str) -> bool:
+    """Whether there is a view of that name that belongs to this warehouse."""
+    if not wh.spark.catalog.tableExists(f"{schema}.{name}"):
+        return False
+    properties = wh.spark.sql(f"SHOW TBLPROPERTIES {schema}.{name}").collect()
+    return any(r["key"] == OWNER and r["value"] == wh.root.rstrip("/") for r in properties)
+
+
+def prune(wh: Warehouse, keep: int = 2) -> None:
+    """Delete all but the last ``keep`` builds of each slot; the live build always stays.
+
+    Readers of a deleted build lose its files, so keep those that a job may still be reading.
+    """
+    live = live_build(wh)
+    for schema in TARGETS.values():
+        names = wh.builds(schema)
+        for name in names[: max(0, len(names) - keep)]:
+            if live is None or (live.schema, live.name) != (schema, name):
+                files.delete(wh.spark, wh.path(schema, name))
+
+
 def reset(wh: Warehouse) -> None:
-    """Drop both slots and the public state. For tests and fresh starts only."""
+    """Drop both slots, the public state and the views over them, all of this root and no other's."""
     for schema in (TARGETS["blue"], TARGETS["green"], "public"):
-        location = f"{wh.root.rstrip('/')}/{schema}"
-        wh.spark.sql(f"DROP DATABASE IF EXISTS {schema} CASCADE")
-        wh.spark.sql(f"CREATE DATABASE {schema} LOCATION '{location}'")
-        wh.spark.sql(f"DROP DATABASE {schema} CASCADE")
+        if wh.spark.catalog.databaseExists(schema):
+            for view in wh.spark.catalog.listTables(schema):
+                if not view.isTemporary and _owned(wh, schema, view.name):
+                    wh.spark.sql(f"DROP VIEW {schema}.{view.name}")
+        files.delete(wh.spark, wh.path(schema))
 
 
 def status_summary(wh: Warehouse, schema: str) -> DataFrame:

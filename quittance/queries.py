@@ -7,6 +7,8 @@ from dataclasses import replace
 from datetime import datetime, time, timedelta
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,15 @@ from quittance.operators.contract import (
 )
 from quittance.operators.spread import HotKeys, find_hot_keys
 from quittance.plans import export, marts, publish, quality, staging
-from quittance.schemas import CUSTOMER_SEGMENTS, INVOICE_STATUSES, MART_V1, RAW_KEYS, raw_schema
+from quittance.schemas import (
+    CUSTOMER_SEGMENTS,
+    INVOICE_STATUSES,
+    MART_V1,
+    RAW_KEYS,
+    Column,
+    Contract,
+    raw_schema,
+)
 from quittance.session import work_folder
 from quittance.sources import csv_files, testbed
 
@@ -56,19 +66,12 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _models(spark, sf_dir)[1]
 
 
-def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger without customers, for checks that do not look at them."""
-    return marts.invoice_amounts(
-        stg_invoices(spark, sf_dir), stg_invoice_line_items(spark, sf_dir)
-    )
-
-
 def _checks() -> list:
     return quality.declared_checks(testbed.SEGMENTS)
 
 
-def _warehouse(spark: SparkSession) -> publish.Warehouse:
-    return publish.Warehouse(spark, work_folder(spark, "warehouse"))
+def _warehouse(spark: SparkSession, **settings) -> publish.Warehouse:
+    return publish.Warehouse(spark, work_folder(spark, "warehouse"), **settings)
 
 
 def _deploy(
@@ -172,6 +175,23 @@ def invoice_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.invoice_line_totals(stg_invoice_line_items(spark, sf_dir))
 
 
+@_query
+def invoice_line_totals_small_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of lines that are worth less than a millionth each."""
+    lines = testbed.metered(testbed.read_source(spark, sf_dir, "invoice_line_items"))
+    return marts.invoice_line_totals(staging.stg_invoice_line_items(lines))
+
+
+@_query
+def ledger_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger where one customer, one invoice and one line hold a third of the rows each."""
+    raw = testbed.skewed(testbed.read_sources(spark, sf_dir))
+    hot_lines = find_hot_keys(raw["invoice_line_items"], "invoice_id")
+    staged = staging.stage(raw, hot_lines)
+    hot_customers = find_hot_keys(raw["invoices"], "customer_id")
+    return marts.int_invoice_totals(*(staged[m] for m in quality.STAGING_MODELS), hot_customers)
+
+
 @_query
 def invoice_customer_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.invoice_customer_enrich(
@@ -215,20 +235,24 @@ def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
-def _row_wise(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Failures per declared check of one kind, on the models and on spoilt ledger rows.
+def _built(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The staging tables and the mart as a build stores them."""
+    staged, ledger = _models(spark, sf_dir)
+    folder = work_folder(spark, "build")
+    mart = csv_files.store_table(marts.mart_invoice_ledger(ledger), f"{folder}/mart")
+    return staged, mart
 
-    None of these checks looks at a customer column of the ledger.
-    """
+
+def _row_wise(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Failures per declared check of one kind, on the models, the mart and spoilt mart rows."""
     checks = [c for c in _checks() if c.kind == kind]
-    staged = _staged(spark, sf_dir)
-    amounts = marts.invoice_amounts(staged["stg_invoices"], staged["stg_invoice_line_items"])
+    staged, mart = _built(spark, sf_dir)
     on_mart = quality.checks_of(checks, "mart_invoice_ledger")
-    spoilt = run_checks(testbed.spoil_ledger(amounts), on_mart).withColumn(
+    spoilt = run_checks(testbed.spoil_ledger(mart), on_mart).withColumn(
         "model", F.lit("spoilt_ledger")
     )
     return (
-        quality.report(staged, amounts, checks)
+        quality.report(staged, mart, checks)
         .unionAll(spoilt)
         .select("model", "column_name", "failures", "status")
     )
@@ -248,18 +272,13 @@ def dq_expression_is_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values outside the default lists; the benchmark customers have segments of their own."""
     staged, ledger = _models(spark, sf_dir)
-    instances = [
-        ("stg_invoices", staged["stg_invoices"], "invoice_status", INVOICE_STATUSES),
-        ("stg_customers", staged["stg_customers"], "customer_segment", CUSTOMER_SEGMENTS),
-        ("int_invoice_totals", ledger, "customer_segment", CUSTOMER_SEGMENTS),
-        ("int_invoice_totals", ledger, "invoice_status", INVOICE_STATUSES),
-        ("mart_invoice_ledger", ledger, "invoice_status", INVOICE_STATUSES),
-    ]
+    invoices, customers, _ = quality.STAGING_MODELS
+    totals, mart = quality.LEDGER_MODELS
+    status, segment = ("invoice_status", INVOICE_STATUSES), ("customer_segment", CUSTOMER_SEGMENTS)
     found = [
-        values_outside(df, column, values).select(
-            F.lit(model).alias("model"), F.lit(column).alias("column_name"), "value", "n_records"
-        )
-        for model, df, column, values in instances
+        values_outside(staged[invoices], [(invoices, *status)]),
+        values_outside(staged[customers], [(customers, *segment)]),
+        values_outside(ledger, [(totals, *segment), (totals, *status), (mart, *status)]),
     ]
     return reduce(DataFrame.unionAll, found)
 
@@ -278,7 +297,7 @@ def dq_invoice_without_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dq_amount_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.breaking(_amounts(spark, sf_dir), quality.AMOUNT_HAS_LINES).select(
+    return quality.breaking(_ledger(spark, sf_dir), quality.AMOUNT_HAS_LINES).select(
         "invoice_id", "line_item_count", "invoice_amount"
     )
 
@@ -291,14 +310,15 @@ def dq_line_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dq_total_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = stg_invoice_line_items(spark, sf_dir)
-    amounts = marts.invoice_amounts(stg_invoices(spark, sf_dir), lines)
-    return quality.unreconciled(testbed.spoil_ledger(amounts), lines)
+    staged, ledger = _models(spark, sf_dir)
+    return quality.unreconciled(
+        testbed.spoil_ledger(ledger), staged["stg_invoice_line_items"]
+    )
 
 
 @_query
 def dq_zero_line_zero_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spoilt = testbed.spoil_ledger(_amounts(spark, sf_dir))
+    spoilt = testbed.spoil_ledger(_ledger(spark, sf_dir))
     return quality.breaking(spoilt, quality.NO_LINES_NO_TOTAL).select(
         "invoice_id", "line_item_count", "calculated_invoice_total"
     )
@@ -306,7 +326,7 @@ def dq_zero_line_zero_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def dq_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.breaking(_amounts(spark, sf_dir), quality.DUE_AFTER_ISSUE).select(
+    return quality.breaking(_ledger(spark, sf_dir), quality.DUE_AFTER_ISSUE).select(
         "invoice_id", "invoice_date", "invoice_due_date"
     )
 
@@ -333,7 +353,7 @@ def contract_schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def contract_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraint_report(testbed.spoil_ledger(_amounts(spark, sf_dir)), MART_V1)
+    return constraint_report(testbed.spoil_ledger(mart_invoice_ledger(spark, sf_dir)), MART_V1)
 
 
 @_query
@@ -351,6 +371,13 @@ def contract_rows_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- publish ------------------------------------------------------------------------------
 
 
+def _publish_as_is(wh: publish.Warehouse, ledger: DataFrame) -> None:
+    """Make a ledger live without asking the gate."""
+    build = wh.new_build("prod_blue")
+    build.store(ledger, MART_V1.dataset)
+    publish.publish(build)
+
+
 @_query
 def publish_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh = _warehouse(spark)
@@ -364,8 +391,7 @@ def ledger_read_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     wh = _warehouse(spark)
     ledger = marts.mart_invoice_ledger(_ledger(spark, sf_dir))
     wider = ledger.withColumn("internal_note", F.concat(F.lit("row "), "invoice_id"))
-    csv_files.refresh_table(wider, wh.path("prod_blue", MART_V1.dataset))
-    publish.publish(wh, "prod_blue")
+    _publish_as_is(wh, wider)
     return publish.read_ledger(wh, "v1")
 
 
@@ -379,6 +405,60 @@ def failed_publish_keeps_previous(spark: SparkSession, sf_dir: str) -> DataFrame
     return publish.read_ledger(wh)
 
 
+@_query
+def public_view_after_failed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL users see after two deployments and a build that the gate refused."""
+    wh = _warehouse(spark)
+    _deploy(wh, sf_dir)
+    publish.register_views(wh)
+    _deploy(wh, sf_dir)
+    raw = testbed.read_sources(spark, sf_dir)
+    raw["customers"] = raw["customers"].withColumn("customer_name", F.lit("not this"))
+    raw["invoices"] = raw["invoices"].withColumn("status", F.lit("not this"))
+    _deploy(wh, sf_dir, raw)
+    return spark.sql("SELECT * FROM public.mart_invoice_ledger")
+
+
+@_query
+def recheck_stored_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks over a slot as it lies there, nothing being built."""
+    wh = _warehouse(spark)
+    _deploy(wh, sf_dir)
+    return publish.recheck(wh, "prod_blue", _checks() + quality.ADVISORY_CHECKS)
+
+
+#: A second version: the amount has another name, the customer is one text, the gap is a share.
+LEDGER_V2 = Contract(
+    version="v2",
+    dataset="mart_invoice_ledger_v2",
+    columns=(
+        Column("invoice_id", "bigint", required=True),
+        Column(
+            "billed_amount", "double", required=True, check="billed_amount >= 0", source="invoice_amount"
+        ),
+        Column(
+            "customer_label",
+            "string",
+            source="concat_ws(' / ', coalesce(customer_name, '?'), coalesce(customer_country, '?'))",
+        ),
+        Column("is_overdue", "boolean", required=True, source="invoice_status = 'overdue'"),
+        Column("line_item_count", "bigint", required=True),
+    ),
+    read_order=("invoice_id", "customer_label", "billed_amount", "is_overdue", "line_item_count"),
+    row_required=("invoice_id", "billed_amount", "is_overdue"),
+    row_not_negative=("billed_amount", "line_item_count"),
+)
+
+
+@_query
+def ledger_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of one build, read side by side, each by its own contract."""
+    wh = _warehouse(spark, contracts={"v1": MART_V1, "v2": LEDGER_V2})
+    _deploy(wh, sf_dir)
+    first, second = publish.read_ledger(wh, "v1"), publish.read_ledger(wh, "v2")
+    return valid_rows(first).join(valid_rows(second, LEDGER_V2), ["invoice_id", "line_item_count"])
+
+
 @_query
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate for every target, on passing checks and on the default segment lists.
@@ -388,7 +468,7 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, default = _checks(), quality.declared_checks()
     differing = [c for c, d in zip(own, default) if c != d]
     renamed = [replace(d, name=f"default_{d.check_id}") for d in default if d not in own]
-    results = csv_files.refresh_table(
+    results = csv_files.store_table(
         quality.report(*_models(spark, sf_dir), own + renamed),
         work_folder(spark, "report"),
     )
@@ -420,8 +500,9 @@ def next_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def latest_deployment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last deployment, though a clock that runs behind dated it before the first."""
     wh = _warehouse(spark)
-    for days in (0, 1):
+    for days in (0, -1):
         _deploy(wh, sf_dir, deployed_at=_midnight_after_last_invoice(spark, sf_dir, days))
     return publish.latest_deployment(wh).select(
         "active_schema", F.col("deployed_at").cast("timestamp_ntz").alias("deployed_at")
@@ -459,9 +540,7 @@ def rebuild_is_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _published(spark: SparkSession, sf_dir: str) -> publish.Warehouse:
     wh = _warehouse(spark)
-    ledger = marts.mart_invoice_ledger(_ledger(spark, sf_dir))
-    csv_files.refresh_table(ledger, wh.path("prod_blue", MART_V1.dataset))
-    publish.publish(wh, "prod_blue")
+    _publish_as_is(wh, marts.mart_invoice_ledger(_ledger(spark, sf_dir)))
     return wh
 
 
@@ -477,6 +556,19 @@ def ledger_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.read_export(wh, out)
 
 
+@_query
+def failed_export_keeps_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers of an export get after the next one failed."""
+    wh, out = _published(spark, sf_dir), work_folder(spark, "export")
+    export.export_json(wh, out)
+    _publish_as_is(wh, testbed.spoil_ledger(publish.read_ledger(wh)).select(*MART_V1.names))
+    try:
+        export.export_json(wh, out)
+    except (PySparkException, Py4JJavaError):
+        return export.read_export(wh, out)
+    raise AssertionError("an export of spoilt rows went through")
+
+
 @_query
 def ledger_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.ledger_display(_ledger(spark, sf_dir))

@@ -26,6 +26,7 @@ RAW_KEYS = {
     "invoice_line_items": ["invoice_id", "line_item_id"],
 }
 
+# The statuses and segments that readers may rely on.
 INVOICE_STATUSES = ["paid", "overdue", "pending", "unknown"]
 CUSTOMER_SEGMENTS = ["smb", "enterprise", "startup", "unknown"]
 
@@ -45,10 +46,13 @@ def raw_schema(table: str, wide_ids: bool = False) -> T.StructType:
 
 @dataclass(frozen=True)
 class Column:
+    """A column of a version; ``source`` is SQL over the totals, by default the same name."""
+
     name: str
     data_type: str
     required: bool = False
     check: str | None = None
+    source: str | None = None
 
 
 @dataclass(frozen=True)
@@ -56,13 +60,18 @@ class Contract:
     """One version of the published ledger.
 
     ``columns`` is the stored order, ``read_order`` the order readers get. Within a version
-    nothing is renamed or removed; a breaking change is a new entry in ``CONTRACTS``.
+    nothing is renamed or removed; a breaking change is a new entry in ``CONTRACTS``, which may
+    rename, derive, add or drop columns and has row rules of its own: fields that each row must
+    have, those that must not be negative, and the values a field may take.
     """
 
     version: str
     dataset: str
     columns: tuple[Column, ...]
     read_order: tuple[str, ...]
+    row_required: tuple[str, ...] = ()
+    row_not_negative: tuple[str, ...] = ()
+    row_allowed: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def types(self) -> dict[str, str]:
@@ -73,6 +82,8 @@ class Contract:
         return [c.name for c in self.columns]
 
 
+# The published ledger and what a reader may rely on in each of its rows. The
+# customer fields may be NULL and a discrepancy may be negative.
 MART_V1 = Contract(
     version="v1",
     dataset="mart_invoice_ledger_v1",
@@ -108,6 +119,19 @@ MART_V1 = Contract(
         "calculated_invoice_total",
         "amount_discrepancy",
     ),
+    row_required=(
+        "invoice_id",
+        "line_item_count",
+        "payment_terms_days",
+        "invoice_amount",
+        "calculated_invoice_total",
+        "amount_discrepancy",
+        "invoice_date",
+        "invoice_due_date",
+        "invoice_status",
+    ),
+    row_not_negative=("line_item_count", "invoice_amount", "calculated_invoice_total"),
+    row_allowed=(("invoice_status", tuple(INVOICE_STATUSES)),),
 )
 
 CONTRACTS = {MART_V1.version: MART_V1}

@@ -1,7 +1,14 @@
-"""Raw billing extracts: typed CSV in, full-refresh Parquet tables out."""
+"""Raw billing extracts: typed CSV in, full-refresh Parquet tables out.
+
+A table or a set of tables is replaced by writing the new one beside the old and then changing a
+small file that names it. A load that fails leaves what was there, and a reader that has begun
+keeps its files until they are pruned.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quittance.schemas import RAW_DDL, raw_schema
+from quittance.sources import files
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
+_CURRENT = "current"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False
+) -> DataFrame:
     """Read a headed CSV with a declared schema; a row that does not fit fails the job.
 
     Columns go by position. Files stay splittable, so a quoted line break is such a misfit.
+    ``line_breaks`` accepts them; one task then reads a whole file.
     """
-    return spark.read.schema(schema).options(**_CSV, mode="FAILFAST").csv(path)
+    options = {**_CSV, "mode": "FAILFAST", "multiLine": line_breaks}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -28,27 +41,75 @@ def write_csv(df: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def refresh_table(df: DataFrame, path: str) -> DataFrame:
-    """Replace the table at ``path`` and return it as stored."""
-    df.write.mode("overwrite").parquet(path)
+def store_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a table into a folder that does not exist yet and return it as stored."""
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _version() -> str:
+    """A name for a new version; later ones sort behind earlier ones of the same clock."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def refresh_table(df: DataFrame, path: str) -> DataFrame:
+    """Replace the table at ``path`` and return it as stored; it may be computed from the old one."""
+    spark, version = df.sparkSession, _version()
+    stored = store_table(df, f"{path}/{version}")
+    files.replace_text(spark, f"{path}/{_CURRENT}", version)
+    return stored
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that holds the present version of what is at ``path``."""
+    version = files.read_text(spark, f"{path}/{_CURRENT}")
+    if version is None:
+        raise LookupError(f"nothing has been loaded into {path}")
+    return f"{path}/{version}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(current(spark, path))
+
+
 def load_raw(
-    spark: SparkSession, csv_folder: str, raw_folder: str, wide_ids: bool = False
+    spark: SparkSession,
+    csv_folder: str,
+    raw_folder: str,
+    wide_ids: bool = False,
+    line_breaks: bool = False,
 ) -> dict[str, DataFrame]:
-    """Load ``<csv_folder>/<table>.csv`` into ``<raw_folder>/<table>`` for all raw tables."""
-    return {
-        table: refresh_table(
-            read_csv(spark, f"{csv_folder}/{table}.csv", raw_schema(table, wide_ids)),
-            f"{raw_folder}/{table}",
-        )
-        for table in RAW_DDL
-    }
+    """Load ``<csv_folder>/<table>.csv`` for all raw tables, all or none."""
+    version = _version()
+    try:
+        raw = {
+            table: store_table(
+                read_csv(
+                    spark, f"{csv_folder}/{table}.csv", raw_schema(table, wide_ids), line_breaks
+                ),
+                f"{raw_folder}/{version}/{table}",
+            )
+            for table in RAW_DDL
+        }
+    except Exception:
+        files.delete(spark, f"{raw_folder}/{version}")
+        raise
+    files.replace_text(spark, f"{raw_folder}/{_CURRENT}", version)
+    return raw
 
 
 def read_raw(spark: SparkSession, raw_folder: str) -> dict[str, DataFrame]:
-    return {table: spark.read.parquet(f"{raw_folder}/{table}") for table in RAW_DDL}
+    folder = current(spark, raw_folder)
+    return {table: spark.read.parquet(f"{folder}/{table}") for table in RAW_DDL}
+
+
+def prune(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the last ``keep`` versions at ``path``; the present one always stays."""
+    present = current(spark, path).rsplit("/", 1)[1]
+    versions = [n for n in files.names_in(spark, path) if n[:1].isdigit()]
+    for name in versions[: max(0, len(versions) - keep)]:
+        if name != present:
+            files.delete(spark, f"{path}/{name}")
 
 
 def load_manifest(raw: dict[str, DataFrame]) -> DataFrame:

@@ -164,6 +164,39 @@ def spoil_ledger(ledger: DataFrame) -> DataFrame:
     return ledger.withColumns(spoilt)
 
 
+def skewed(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The raw tables with hot keys.
+
+    A third of the invoices belong to one customer. Of the lines, a third lie on one invoice and
+    another third are copies of one line.
+    """
+    owner, line = F.col("invoice_id"), raw["invoice_line_items"]
+    on_one, copy = owner % 3 == 0, owner % 3 == 1
+
+    def where_hot(hot, copied, column):
+        return F.when(on_one, hot).when(copy, copied).otherwise(F.col(column))
+
+    return {
+        "invoices": raw["invoices"].withColumn(
+            "customer_id", F.when(on_one, F.lit(7)).otherwise(F.col("customer_id"))
+        ),
+        "customers": raw["customers"],
+        "invoice_line_items": line.select(
+            where_hot(owner * 10 + F.col("line_item_id"), F.lit(1), "line_item_id").alias("line_item_id"),
+            where_hot(F.lit(3), F.lit(1), "invoice_id").cast("bigint").alias("invoice_id"),
+            F.when(copy, "copy").otherwise(F.col("product_name")).alias("product_name"),
+            F.when(copy, 2).otherwise(F.col("quantity")).alias("quantity"),
+            F.when(copy, "1.25").otherwise(F.col("unit_price")).alias("unit_price"),
+        ),
+    }
+
+
+def metered(lines: DataFrame) -> DataFrame:
+    """Raw lines whose prices are ten million times smaller: far below a millionth a piece."""
+    small = F.col("unit_price").cast("decimal(18,2)") / F.lit(10_000_000).cast("decimal(8,0)")
+    return lines.withColumn("unit_price", small.cast("decimal(20,9)").cast("string"))
+
+
 def spoil_lines(line_totals: DataFrame) -> DataFrame:
     """Per-line totals, some of them off by one."""
     return line_totals.withColumn(

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 from datetime import date
+from decimal import Decimal, getcontext
+from fractions import Fraction
 
 import duckdb
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from quittance.functions import display, money, text
 
+getcontext().prec = 60
+
 
 def _apply(spark, column, values, ddl="string"):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {ddl}")
@@ -54,7 +58,7 @@ def test_numbers(spark):
     assert math.isnan(_apply(spark, text.to_double, ["nan"])[0])
 
 
-@pytest.mark.parametrize("bad", ["", "$5", "1,000.5", "1.5d", "2F", "1__0", "_1", "ten"])
+@pytest.mark.parametrize("bad", ["", "$5", "1,000.5", "1.5d", "2F", "1__0", "_1", "ten", "0x1p3", "0X10"])
 def test_text_that_is_no_number_fails_the_job(spark, bad):
     with pytest.raises(PySparkException, match="not a number"):
         _apply(spark, text.to_double, [bad])
@@ -77,6 +81,12 @@ def test_exact_sum_does_not_depend_on_order(spark):
         ([0.000001, 0.000002], 0.000003),
         ([0.0015, 0.003], 0.0045),
         ([1e16, 1.0, None], 1e16),
+        ([4e-7, 4e-7], 1e-6),
+        ([4e-7] * 2 + [-5e-7], 0.0),
+        ([5e-7], 1e-6),
+        ([2.0**53, *[1.0] * 1000], 2.0**53 + 1000),
+        ([-(2.0**53), *[-0.25] * 4000], -(2.0**53) - 1000),
+        ([1e21, 1.5], 1e21),
         ([1e300, 1e300], 2e300),
         ([math.inf, 1.0], math.inf),
         ([None, None], None),
@@ -88,6 +98,22 @@ def test_exact_sum_edges(spark, amounts, expected):
     assert rows.agg(money.exact_sum(F.col("v"))).first()[0] == expected
 
 
+def test_large_sums_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(8)
+    amounts = [rng.choice([2.0**53, 1.0, -1.0, 3.0, 0.0000004, 1e15 + 0.125]) for _ in range(5000)]
+    exact = sum(map(lambda a: Fraction(Decimal(repr(a))), amounts))
+    expected = float(round(Decimal(exact.numerator) / Decimal(exact.denominator), 6))
+    for seed in range(4):
+        random.Random(seed).shuffle(amounts)
+        rows = spark.createDataFrame([(a,) for a in amounts], "v double").repartition(3 + 4 * seed)
+        assert rows.agg(money.exact_sum(F.col("v"))).first()[0] == expected
+
+
+def test_exact_sum_takes_the_number_of_times(spark):
+    rows = spark.createDataFrame([(3, 0.1), (7, 1e-7), (None, 5.0), (2, None)], "n int, v double")
+    assert rows.agg(money.exact_sum(F.col("v"), F.col("n"))).first()[0] == 0.300001
+
+
 def test_exact_sum_keeps_nan(spark):
     rows = spark.createDataFrame([(math.nan,), (1.0,)], "v double")
     assert math.isnan(rows.agg(money.exact_sum(F.col("v"))).first()[0])

@@ -81,6 +81,19 @@ def test_hot_keys_are_found_and_bounded(skewed):
     assert sum(n for _, n in wide.parts) <= 6000
 
 
+def test_hot_keys_meet_nowhere(spark, skewed):
+    """Neither many partitions nor many keys bring more than a row per key into one task."""
+    left, _ = skewed
+    assert find_hot_keys(left, "k", width=5_000_000).parts == find_hot_keys(left, "k", 5_000_000).parts
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counted = left.groupBy("k").agg(F.count(F.lit(1)))
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SinglePartition" not in plan and "partial_count" in plan
+
+
 def test_even_keys_need_no_spreading(spark):
     even = spark.range(0, 10_000).select((F.col("id") % 1_000).alias("k"))
     assert not find_hot_keys(even, "k", width=16)
@@ -146,8 +159,9 @@ CHECKS = [
 ]
 
 
-def test_report_counts_violations(relation):
-    rows = C.run_checks(relation, CHECKS).collect()
+@pytest.mark.parametrize("form", [{}, {"clustered": False}, {"stored": True}])
+def test_report_counts_violations(relation, form):
+    rows = C.run_checks(relation, CHECKS, **form).collect()
     got = {r["check_id"]: (r["failures"], r["status"]) for r in rows}
     assert got == {
         "unique_m_id": (2, "fail"),
@@ -160,8 +174,9 @@ def test_report_counts_violations(relation):
     }
 
 
-def test_report_on_no_rows_passes(relation):
-    got = C.run_checks(relation.where("false"), CHECKS).collect()
+@pytest.mark.parametrize("form", [{}, {"clustered": False}, {"stored": True}])
+def test_report_on_no_rows_passes(relation, form):
+    got = C.run_checks(relation.where("false"), CHECKS, **form).collect()
     assert len(got) == len(CHECKS)
     assert {(r["failures"], r["status"]) for r in got} == {(0, "pass")}
 
@@ -174,7 +189,11 @@ def test_several_unique_columns(relation):
 
 def test_violators(spark, relation):
     assert _rows(C.duplicate_keys(relation, ["id"])) == [(1, 2), (3, 3)]
-    assert _rows(C.values_outside(relation, "kind", ["a", "b"])) == [("y", 1), ("z", 2)]
+    outside = C.values_outside(relation, [("m", "kind", ["a", "b"]), ("n", "kind", ["z"])])
+    assert _rows(outside) == [
+        ("m", "kind", "y", 1), ("m", "kind", "z", 2),
+        ("n", "kind", "a", 2), ("n", "kind", "b", 2), ("n", "kind", "y", 1),
+    ]
     parents = spark.createDataFrame([(1,), (2,)], "pk int")
     assert _rows(C.orphans(relation, "id", parents, "pk")) == [(3, 3)]
 

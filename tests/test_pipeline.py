@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from sample import CUSTOMERS, INVOICES, LEDGER, LINES, write_extracts
 
-from quittance.operators.contract import BREACH
+from quittance.operators.contract import BREACH, rejected_rows, valid_rows
 from quittance.plans import export, marts, publish, quality, staging
+from quittance.queries import LEDGER_V2
 from quittance.schemas import CONTRACTS, MART_V1, Contract, raw_schema
 from quittance.sources import csv_files
 
@@ -65,6 +68,30 @@ def test_load_is_repeatable_and_counted(spark, tmp_path, raw):
     assert csv_files.read_raw(spark, str(tmp_path / "raw")).keys() == again.keys()
 
 
+def test_a_bad_extract_leaves_all_raw_tables_as_they_were(spark, tmp_path, raw):
+    before = {t: sorted(map(str, df.collect())) for t, df in raw.items()}
+    bad = write_extracts(
+        tmp_path / "bad", invoices=INVOICES.replace("paid", "sent"), customers=CUSTOMERS + "x,,,,\n"
+    )
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        csv_files.load_raw(spark, bad, str(tmp_path / "raw"))
+    now = csv_files.read_raw(spark, str(tmp_path / "raw"))
+    assert {t: sorted(map(str, df.collect())) for t, df in now.items()} == before
+    assert len(list((tmp_path / "raw").iterdir())) == 3  # one load, the pointer and its checksum
+
+
+def test_a_table_may_be_replaced_by_what_is_computed_from_it(spark, tmp_path):
+    path = str(tmp_path / "t")
+    csv_files.refresh_table(spark.range(5), path)
+    opened = csv_files.read_table(spark, path)
+    csv_files.refresh_table(opened.where("id > 1"), path)
+    csv_files.refresh_table(csv_files.read_table(spark, path).where("id > 2"), path)
+    assert (opened.count(), csv_files.read_table(spark, path).count()) == (5, 2)
+    csv_files.prune(spark, path, keep=1)
+    assert csv_files.read_table(spark, path).count() == 2
+    assert sum(p.is_dir() for p in (tmp_path / "t").iterdir()) == 1
+
+
 def test_csv_writer_keeps_outer_spaces(spark, tmp_path):
     rows = spark.createDataFrame([(1, " a ", 'say "x", y', None, "  ")], raw_schema("customers"))
     csv_files.write_csv(rows, str(tmp_path / "csv"))
@@ -358,9 +385,78 @@ def test_views_and_reset(spark, wh, raw, tmp_path):
     )
     assert matched.first()[0] == len(LEDGER)
     assert spark.table("prod_blue.stg_invoice_line_items").count() == 8
+    other = publish.Warehouse(spark, str(tmp_path / "other"))
+    publish.reset(other)
+    assert spark.table("public.mart_invoice_ledger").count() == len(LEDGER)
+    spark.sql("CREATE TABLE public.not_ours USING parquet AS SELECT 1 AS x")
     publish.reset(wh)
     assert publish.deployment_status(wh).first()["active_schema"] == "unknown"
     assert not (tmp_path / "warehouse" / "prod_blue").exists()
+    assert not spark.catalog.tableExists("public.mart_invoice_ledger")
+    assert spark.table("public.not_ours").count() == 1
+    spark.sql("DROP TABLE public.not_ours")
+
+
+def test_refused_rows_never_show(spark, wh, raw):
+    """The view moves with every publish and never to a build that the gate refused."""
+    publish.build(wh, raw)
+    publish.register_views(wh)
+    bad = {**raw, "customers": raw["customers"].withColumn("customer_name", F.lit("not this"))}
+    checks = quality.declared_checks() + [
+        quality.assertion("mart_invoice_ledger", "named", "customer_name <> 'not this'", advisory=False)
+    ]
+    publish.build(wh, raw)
+    assert not publish.build(wh, bad, checks=checks).published
+    seen = spark.table("public.mart_invoice_ledger")
+    assert _ledger_rows(seen) == _ledger_rows(publish.read_ledger(wh))
+    assert seen.where("customer_name = 'not this'").count() == 0
+    assert spark.table("public.deployment_state").first()["active_schema"] == "prod_green"
+    fewer = {**raw, "invoices": raw["invoices"].where("invoice_id > 2")}
+    assert publish.build(wh, fewer).published
+    assert spark.table("public.mart_invoice_ledger").count() == len(LEDGER) - 2
+    publish.reset(wh)
+
+
+def test_a_reader_keeps_its_rows_through_later_deployments(wh, raw):
+    publish.build(wh, raw)
+    opened = publish.read_ledger(wh)
+    for keep in (1, 2, 3):
+        publish.build(wh, {**raw, "invoices": raw["invoices"].where(f"invoice_id > {keep}")})
+    assert _ledger_rows(opened) == [
+        tuple(dict(zip(_GOLDEN_COLUMNS, row))[c] for c in MART_V1.read_order) for row in LEDGER
+    ]
+    publish.prune(wh, keep=1)
+    assert publish.read_ledger(wh).count() == len(LEDGER) - 3
+    assert [len(wh.builds(s)) for s in ("prod_blue", "prod_green")] == [1, 1]
+
+
+def test_the_last_publish_is_live_whatever_the_clocks_say(wh, raw):
+    for year in (2030, 2020, 2025):
+        result = publish.build(wh, raw, deployed_at=datetime(year, 1, 1))
+        assert result.published
+        live = publish.live_build(wh)
+        assert live.schema == publish.TARGETS[result.target]
+        assert publish.deployment_state(wh).first()["deployed_at"].year == year
+
+
+def test_publishes_at_once_get_numbers_of_their_own(wh, raw):
+    builds = []
+    for _ in range(4):
+        build = wh.new_build("prod_blue")
+        build.store(wh.spark.range(1).toDF("invoice_id"), MART_V1.dataset)
+        builds.append(build)
+    assert len({b.name for b in builds}) == 4
+    with ThreadPoolExecutor(4) as jobs:
+        list(jobs.map(publish.publish, builds))
+    numbers = [r["deployment_no"] for r in publish.deployments(wh).collect()]
+    assert sorted(numbers) == [1, 2, 3, 4]
+
+
+def test_an_unreadable_state_is_unknown(wh, raw, tmp_path):
+    publish.build(wh, raw)
+    for part in (tmp_path / "warehouse" / "public" / "deployment_state").rglob("part-*"):
+        part.write_bytes(b"damaged")
+    assert tuple(publish.deployment_status(wh).first()) == ("healthy", "unknown", None)
 
 
 # -- hand-over ----------------------------------------------------------------------------
@@ -373,7 +469,7 @@ def test_export(wh, raw, tmp_path):
     assert (manifest["count"], manifest["version"]) == (len(LEDGER), "v1")
     lines = [
         json.loads(line)
-        for part in sorted((tmp_path / "out" / "data").glob("part-*"))
+        for part in sorted(Path(export.rows_folder(wh.spark, out)).glob("part-*"))
         for line in part.read_text(encoding="utf-8").splitlines()
     ]
     assert [r["invoice_id"] for r in lines] == list(range(1, 9))
@@ -384,18 +480,31 @@ def test_export(wh, raw, tmp_path):
 
 def test_one_bad_row_fails_the_export(wh, raw, tmp_path):
     publish.build(wh, raw)
+    out = str(tmp_path / "out")
+    export.export_json(wh, out)
+    before = _ledger_rows(export.read_export(wh, out))
     bad = wh.table("prod_blue", MART_V1.dataset).withColumn("invoice_status", F.lit("deleted"))
-    csv_files.refresh_table(bad, wh.path("prod_green", MART_V1.dataset))
-    publish.publish(wh, "prod_green")
+    _publish_as_is(wh, bad)
     with pytest.raises(PySparkException, match=BREACH):
-        export.export_json(wh, str(tmp_path / "out"))
+        export.export_json(wh, out)
+    assert _ledger_rows(export.read_export(wh, out)) == before
+    assert export.read_manifest(wh.spark, out).first()["count"] == len(LEDGER)
+    assert len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 1
+    publish.build(wh, raw)
+    export.export_json(wh, out)
+    export.prune_exports(wh.spark, out)
+    assert _ledger_rows(export.read_export(wh, out)) == before
+
+
+def _publish_as_is(wh, ledger):
+    build = wh.new_build("prod_green")
+    build.store(ledger, MART_V1.dataset)
+    publish.publish(build)
 
 
 def test_columns_outside_the_contract_do_not_leak(wh, raw):
     publish.build(wh, raw)
-    wider = wh.table("prod_blue", MART_V1.dataset).withColumn("secret", F.lit(1))
-    csv_files.refresh_table(wider, wh.path("prod_green", MART_V1.dataset))
-    publish.publish(wh, "prod_green")
+    _publish_as_is(wh, wh.table("prod_blue", MART_V1.dataset).withColumn("secret", F.lit(1)))
     assert publish.read_ledger(wh).columns == list(MART_V1.read_order)
 
 
@@ -413,6 +522,24 @@ def test_an_old_version_stays_readable_beside_a_new_one(wh, raw, monkeypatch):
     assert publish.read_ledger(wh, "v2").count() == len(LEDGER)
 
 
+def test_a_version_may_rename_and_derive_and_has_rules_of_its_own(spark, raw, tmp_path):
+    wh = publish.Warehouse(spark, str(tmp_path / "two"), {"v1": MART_V1, "v2": LEDGER_V2})
+    assert publish.build(wh, raw).published
+    second = publish.read_ledger(wh, "v2")
+    assert second.columns == list(LEDGER_V2.read_order)
+    row = second.where("invoice_id = 2").first()
+    assert (row["billed_amount"], row["customer_label"], row["is_overdue"]) == (
+        100.0, "Lumen, Ltd. / IE", True,
+    )
+    publish.register_views(wh, "v2")
+    assert spark.table("public.mart_invoice_ledger_v2").columns == list(LEDGER_V2.read_order)
+    odd = second.withColumn("billed_amount", F.lit(-1.0))
+    assert valid_rows(odd, LEDGER_V2).count() == 0
+    assert rejected_rows(odd, LEDGER_V2).first()["violations"] == "billed_amount:negative"
+    assert export.export_json(wh, str(tmp_path / "out2"), "v2").first()["version"] == "v2"
+    publish.reset(wh)
+
+
 def test_display(wh, raw):
     publish.build(wh, raw)
     shown = export.ledger_display(publish.read_ledger(wh)).where("invoice_id = 6").first()

@@ -7,7 +7,7 @@ import re
 import pytest
 from sample import write_extracts
 
-from quittance.operators.checks import run_checks
+from quittance.operators.checks import run_checks, values_outside
 from quittance.operators.spread import HotKeys
 from quittance.plans import marts, quality, staging
 from quittance.sources import csv_files
@@ -49,6 +49,28 @@ def test_ledger_shuffles_without_hot_keys(raw):
     assert sorted(_keys(totals)) == ["customer_id", "customer_id", "invoice_id", "invoice_id"]
 
 
+def test_checks_on_the_ledger_move_the_key_alone(raw):
+    """Above the customer join, no counters travel with the invoices."""
+    staged = staging.stage(raw, HotKeys())
+    totals = marts.int_invoice_totals(*(staged[m] for m in quality.STAGING_MODELS))
+    checks = quality.checks_of(quality.declared_checks(), *quality.LEDGER_MODELS)
+    plan = _plan(run_checks(totals, checks, clustered=False))
+    wide = next(line for line in plan.splitlines() if "Exchange hashpartitioning(tag" in line)
+    below = plan[plan.index(wide) :].splitlines()[1]
+    assert "partial_count(1)" in below and below.count("count") <= 2
+    assert sorted(_keys(run_checks(totals, checks, clustered=False))) == [
+        "SinglePartition", "customer_id", "customer_id", "invoice_id", "invoice_id", "tag, key",
+    ]
+
+
+def test_values_of_the_ledger_are_checked_in_one_pass(raw):
+    staged = staging.stage(raw, HotKeys())
+    totals = marts.int_invoice_totals(*(staged[m] for m in quality.STAGING_MODELS))
+    df = values_outside(totals, [("a", "customer_segment", ["x"]), ("b", "invoice_status", ["y"])])
+    assert _keys(df).count("customer_id") == 2
+    assert "model, column_name, value" in _keys(df)
+
+
 @pytest.mark.parametrize("hot", [None, HotKeys(parts=((1, 4),)), HotKeys(null_parts=3)])
 def test_ledger_shuffles_with_a_hot_invoice(raw, hot):
     """Lines are spread by invoice and line, so their totals are shuffled as well."""
@@ -95,7 +117,7 @@ def test_checks_on_computed_staging_add_no_shuffle_by_key(staged):
 
 
 def test_checks_on_a_stored_table_shuffle_the_key_only(spark, staged, tmp_path):
-    stored = csv_files.refresh_table(staged["stg_invoices"], str(tmp_path / "stored"))
+    stored = csv_files.store_table(staged["stg_invoices"], str(tmp_path / "stored"))
     checks = quality.checks_of(quality.declared_checks(), "stg_invoices")
     df = run_checks(stored, checks, stored=True)
     assert sorted(_keys(df)) == ["SinglePartition", "SinglePartition", "invoice_id"]

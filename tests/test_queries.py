@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 from quittance.oracle import ORACLES
+from quittance.operators.spread import find_hot_keys
 from quittance.queries import QUERIES
+from quittance.sources import testbed
 
 SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test data")
@@ -59,3 +62,16 @@ def test_query(spark, duck, name):
     types = {d[0]: str(d[1]) for d in result.description}
     assert {c: TYPES[t] for c, t in df.dtypes} == types
     assert _comparable(df.select(columns).collect()) == _comparable(result.fetchall())
+
+
+def test_the_oracle_stands_alone():
+    """Nothing of the code under test goes into the SQL it is checked by."""
+    source = (Path(__file__).resolve().parent.parent / "quittance" / "oracle.py").read_text()
+    assert not re.search(r"^\s*(from|import) quittance", source, re.MULTILINE)
+
+
+def test_the_skewed_ledger_takes_the_spread_path(spark):
+    raw = testbed.skewed(testbed.read_sources(spark, str(SF_DIR)))
+    lines = find_hot_keys(raw["invoice_line_items"], "invoice_id", width=16)
+    customers = find_hot_keys(raw["invoices"], "customer_id", width=16)
+    assert {k for k, _ in lines.parts} == {1, 3} and {k for k, _ in customers.parts} == {7}

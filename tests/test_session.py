@@ -4,7 +4,8 @@ from types import SimpleNamespace
 
 import pytest
 
-from quittance.session import shuffle_width, work_folder
+from quittance.session import _handed_out, drop_work_folders, shuffle_width, work_folder
+from quittance.sources.files import exists
 
 
 def _session(master, **conf):
@@ -40,3 +41,13 @@ def test_shuffle_width_follows_the_session(spark):
         assert shuffle_width(spark) == plain + 5
     finally:
         spark.conf.unset(key)
+
+
+def test_work_folders_can_be_dropped(spark):
+    _handed_out.clear()
+    folder = work_folder(spark, "test")
+    spark.range(3).write.parquet(folder)
+    assert spark.read.parquet(folder).count() == 3
+    assert drop_work_folders(spark) >= 1
+    assert not exists(spark, folder)
+    assert drop_work_folders(spark) == 0
