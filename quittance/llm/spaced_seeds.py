@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ BITS, PROBES = 26, 3
 _BREAK = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u3020\uff00-\uff0f\uff1a-\uff20]")
 _CHARACTER_WORDS = re.compile("([\u3040-\u30ff\u3400-\u9fff])")
+#: First bytes of all characters of the two patterns above.
+_LEADS = re.compile(rb"[\xc2\xe2-\xe9\xef]")
 _GOLDEN = 0x9E3779B97F4A7C15
 _FULL = (1 << 64) - 1
 
@@ -47,17 +48,15 @@ _FULL = (1 << 64) - 1
 def words(text: str | None) -> list[bytes]:
     """Runs of letters and digits in lower case; in scripts without spaces, single characters."""
     text = (text or "").lower()
-    if not text.isascii():
-        text = _CHARACTER_WORDS.sub(r" \1 ", _MARKS.sub(" ", text))
-    return text.encode().translate(_BREAK).split()
-
-
-_hash = partial(xxh64_intdigest, seed=1)
+    data = text.encode()
+    if _LEADS.search(data):
+        data = _CHARACTER_WORDS.sub(r" \1 ", _MARKS.sub(" ", text)).encode()
+    return data.translate(_BREAK).split()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     found = words(text)
-    return np.fromiter(map(_hash, found), np.uint64, len(found))
+    return np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
 
 
 def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
