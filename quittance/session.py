@@ -11,7 +11,10 @@ from quittance.sources.files import delete
 
 
 def local_session(
-    cpus: int | str = "*", memory: str = "8g", app: str = "quittance"
+    cpus: int | str = "*",
+    memory: str = "8g",
+    app: str = "quittance",
+    settings: dict[str, str] | None = None,
 ) -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     partitions = "8" if cpus == "*" else str(cpus)
@@ -23,6 +26,7 @@ def local_session(
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config(map=settings or {})
         .getOrCreate()
     )
 
