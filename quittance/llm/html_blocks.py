@@ -51,8 +51,14 @@ HINTS = frozenset(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations sidebar aside widget menu nav navbar "
     "navigation breadcrumb breadcrumbs masthead topbar footer foot copyright legal disclaimer comment "
-    "comments reply replies respond disqus discussion toolbar pagination pager search form skip".split()
+    "comments reply replies respond disqus discussion toolbar pagination pager search form skip logo "
+    "brand tagline teaser teasers".split()
 )
+#: Beginnings and ends of such words written together with others, as in commentlist or pagefooter.
+STEMS = (
+    "advert", "banner", "breadcrumb", "comment", "consent", "cookie", "footer", "masthead",
+    "navigation", "newsletter", "pagination", "sidebar", "sponsor", "subscri",
+)
 FEATURES = (
     "words",
     "link_density",
@@ -65,6 +71,7 @@ FEATURES = (
     "heading",
 )
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+_CLOSING = _HEADINGS | {"p", "li", "td", "th", "tr", "dd", "dt", "option"}
 
 
 def _surrounds(name: str, attributes: dict[str, str], within: bool) -> bool:
@@ -81,7 +88,9 @@ def _surrounds(name: str, attributes: dict[str, str], within: bool) -> bool:
         return False
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     found = {w.lower() for w in _WORD.findall(named)}
-    return bool(found & HINTS) or not within and "header" in found
+    if found & HINTS or not within and "header" in found:
+        return True
+    return any(w.startswith(STEMS) or w.endswith(STEMS) for w in found)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -128,7 +137,7 @@ class _Page:
         _, within, around, heading = self.stack[-1]
         if name in VOID:
             return
-        if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option", *_HEADINGS):
+        if self.stack[-1][0] == "head" or name in _CLOSING:
             self._close_open(name)
             _, within, around, heading = self.stack[-1]
         around = around or _surrounds(name, _attributes(attributes), within)
@@ -139,6 +148,9 @@ class _Page:
         """End an element that the start of ``name`` ends: p by any, li by li, cells by cells."""
         last = self.stack[-1][0]
         cells = ("td", "th")
+        if last == "head":  # anything to be shown ends an open head
+            self.stack.pop()
+            return
         if last == "p" or last == name or name in cells and last in cells or name == "tr" and last in cells:
             self.stack.pop()
             if name == "tr" and self.stack[-1][0] == "tr":

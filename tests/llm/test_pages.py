@@ -50,6 +50,8 @@ def test_the_tree_fits_its_table_and_holds_out():
         ("<div role=navigation>menu</div><article><ul><li>a<li>b</ul></article>", "a\nb"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article><div hidden>x</div>", "1\n2\n3"),
         ("<article><p>one</article><p class='x", "one"),
+        ("<head><title>t</title><body><article><p>one</article>", "one"),
+        ("<article><p>one<ol class=commentlist><li>no</ol><div id=pageFooter>no</div></article>", "one"),
         ("<article><p>" + "long " * 50_000 + "</p></article>", ("long " * 50_000).strip()),
     ],
 )
