@@ -23,15 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from quittance.llm.shared import ship, slices
-from quittance.llm.units import encoder
-
-
-def byte_characters() -> list[str]:
-    """The character that stands for each byte."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    table = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-    return [table[b] for b in range(256)]
+from quittance.llm.units import byte_characters, encoder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -3,9 +3,12 @@
 The tokenizers served here cut a text into pieces before they merge, and a space or line
 break between two visible characters always ends one piece and starts another. A text may
 therefore be cut there, each unit encoded alone, and the ids joined: the result is that of the
-whole text. Units repeat,
-so each worker remembers the ids of short ones, which is several times faster than encoding whole
-texts, and a very long text never reaches the library in one call.
+whole text. Units repeat, so each worker remembers the ids of short ones, which is several times
+faster than encoding whole texts, and a very long text never reaches the library in one call.
+
+A word of Latin letters is a single piece. Its merges are asked of the library's model directly,
+which saves the steps before; whether that gives what the whole tokenizer gives is tried out on
+sample words first.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain, islice
 
 from tokenizers import Tokenizer
 
@@ -23,10 +27,11 @@ _VISIBLE = "[!-~¡-¬®-ʯ一-鿿가-힣]"
 SAFE_SPACE = re.compile(f"(?<={_VISIBLE}) (?={_VISIBLE})")
 #: A unit that may stand after a space, or begins with the line break before it.
 _CLEAN = re.compile(f"\n?{_VISIBLE}(?:[^ \n]*{_VISIBLE})?")
-#: Letters and the marks behind them: pieces of their own, also in lower case (İ would gain a mark).
-_WORD = re.compile("(\n?[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.;:!?)]+)")
-
+#: A line break or none, a word, and the marks behind it: pieces of their own, also in lower case
+#: (İ would gain a mark).
+_WORD = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.;:!?)]*)")
 _ENDS_CLEAN = re.compile(f"{_VISIBLE}$")
+_SAMPLES = "a I the Word WORDS été Ärger naïve ŒUVRE Straße łódź encyclopaedia xyzzy Çığ ǅ".split()
 
 #: Longer units are encoded each time they come up.
 REMEMBERED_CHARS = 40
@@ -36,6 +41,21 @@ REMEMBERED_UNITS = 250_000
 CALL_CHARS = 1 << 18
 
 
+def byte_characters() -> list[str]:
+    """The character that byte-level tokenizers show each byte as.
+
+    Bytes that are visible characters in Latin-1 keep their own code point, the others take those
+    from 256 on.
+    """
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    table = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return [table[b] for b in range(256)]
+
+
+_SHOWN = byte_characters()
+
+
 def _spaced(unit: str) -> str:
     """A unit with the white space it stands behind."""
     return unit if unit[0] == "\n" else f" {unit}"
@@ -51,7 +71,35 @@ class UnitEncoder:
         self._tokenizer.no_padding()
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {"": b""}
+        self._model = self._tokenizer.model
+        self._line_break = self._encoded(["\n"])[0]
+        self._direct = self._how_words_are_cut()
+
+    def _how_words_are_cut(self) -> tuple[str, bool] | None:
+        """What the model is given before a word that follows a space, and whether in lower case."""
+        inner = [f" {w}" for w in _SAMPLES] + [f"\n{w}" for w in _SAMPLES]
+        expected = self._encoded(inner)
+        for before in (_SHOWN[0x20], ""):
+            for folds in (False, True):
+                self._direct = before, folds
+                if expected == [self._word(u[0].strip(" "), u[1:]) for u in inner]:
+                    return self._direct
+        return None
+
+    def _word(self, line: str, word: str) -> bytes:
+        """The ids of a word after a line break or else a space."""
+        before, folds = self._direct
+        if folds:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join(map(_SHOWN.__getitem__, word.encode()))
+        try:
+            pieces = self._model.tokenize(word if line else before + word)
+        except Exception as e:  # the library knows no narrower class
+            raise ValueError(f"the model refuses {word!r}") from e
+        ids = array("I", [t.id for t in pieces]).tobytes()
+        return self._line_break + ids if line else ids
 
     def _encoded(self, units: Iterable[str]) -> list[bytes]:
         """The ids of each unit, in calls of bounded size."""
@@ -74,31 +122,39 @@ class UnitEncoder:
             flush()
         return found
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
         """Learn units; returns the ids of those too long to remember."""
-        known = self._known
-        older = new & self._before.keys()
-        known.update((u, self._before[u]) for u in older)
-        split = {u: m.groups() for u in new - older if (m := _WORD.fullmatch(u))}
-        direct = new - older - split.keys()
-        direct |= {w for w, _ in split.values()} - known.keys()
-        direct = sorted(direct, key=len)
-        ids = dict(zip(direct, self._encoded(map(_spaced, direct)), strict=True))
-        marks = sorted({m for _, m in split.values()} - self._marks.keys())
-        self._marks.update(zip(marks, self._encoded(marks), strict=True))
-        for u, (word, tail) in split.items():
-            head = known.get(word)
-            ids[u] = (ids[word] if head is None else head) + self._marks[tail]
+        known, before, marks = self._known, self._before, self._marks
+        folds = self._direct and self._direct[1]
+        others = []
+        for u in new:
+            ids = before.get(u)
+            if ids is None:
+                m = _WORD.fullmatch(u) if self._direct and len(u) <= REMEMBERED_CHARS else None
+                if m is None:
+                    others.append(u)
+                    continue
+                line, word, tail = m.groups()
+                plain = line + (word.lower() if folds else word)
+                ids = known.get(plain) or before.get(plain)
+                if ids is None:
+                    known[plain] = ids = self._word(line, word)
+                if tail not in marks:
+                    marks[tail] = self._encoded([tail])[0]
+                ids += marks[tail]
+            known[u] = ids
+        others.sort(key=len)
+        ids = dict(zip(others, self._encoded(map(_spaced, others)), strict=True))
         known.update((u, i) for u, i in ids.items() if len(u) <= REMEMBERED_CHARS)
         return {u: i for u, i in ids.items() if len(u) > REMEMBERED_CHARS}
 
     def _parts(self, texts: list[str | None]) -> Iterable[list[bytes]]:
         """The ids of each text in parts, in order."""
         if len(self._known) > REMEMBERED_UNITS:
-            self._before, self._known, self._marks = self._known, {}, {}
+            self._before, self._known, self._marks = self._known, {}, {"": b""}
         known = self._known
         cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        new = {u for units in cut for u in units[1:]}.difference(known)
+        new = set(chain.from_iterable(islice(units, 1, None) for units in cut)).difference(known)
         unclean = {u for u in new if not _CLEAN.fullmatch(u)}
         new -= unclean
         for n, units in enumerate(cut):
