@@ -121,9 +121,9 @@ def write_token_files(
     """Write ``folder/blocks`` and ``folder/ranks`` for all rows of ``docs``.
 
     ``end_id`` is appended to every document. A missing or empty text has only that. Rows without
-    a doc_id come first; rows that share one stand side by side in the order of their ids' bytes.
-    Other columns are never read. Each text is encoded once: the ids are stored, counted and then
-    dealt out by ranges of doc_id.
+    a doc_id come first; rows that share one stand side by side in the order of a hash of their ids,
+    so a doc_id that many rows share is spread over tasks. Other columns are never read. Each text
+    is encoded once: the ids are stored, counted and then dealt out by ranges of doc_id.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -172,8 +172,9 @@ def write_token_files(
         [("part", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("block", pa.binary())]
     )
     (
-        ids.repartitionByRange("doc")
-        .sortWithinPartitions("doc", "ids")
+        ids.withColumn("tie", F.xxhash64("ids"))
+        .repartitionByRange("doc", "tie")
+        .sortWithinPartitions("doc", "tie", "ids")
         .mapInArrow(blocks, "part int, first bigint, n bigint, block binary")
         .write.option("compression", "zstd")
         .parquet(f"{folder}/blocks")
