@@ -24,8 +24,33 @@ from quittance.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: No query here has an oracle: SQL can express neither tokenizers nor fingerprints nor models.
-ORACLES: dict[str, str] = {}
+
+
+def _base32(digest: str) -> str:
+    """SQL for the base32 form of a SHA-1 in hex: ten hex digits make eight characters."""
+    alphabet = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    chunks = [f"CAST('0x' || substr({digest}, {k}, 10) AS BIGINT)" for k in (1, 11, 21, 31)]
+    return " || ".join(
+        f"substr({alphabet}, CAST(({chunk} >> {shift}) & 31 AS BIGINT) + 1, 1)"
+        for chunk in chunks
+        for shift in range(35, -1, -5)
+    )
+
+
+#: SQL for the one query that it can express; it has neither tokenizers nor fingerprints nor models,
+#: and no way back from codes. ``tests/llm`` holds the others against brute-force versions.
+ORACLES: dict[str, str] = {
+    "op7_warc": f"""
+WITH payloads AS (SELECT page_id, COALESCE(html, '') AS payload FROM pages),
+known AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS digest,
+         MIN(page_id) OVER (PARTITION BY payload) AS first
+  FROM payloads)
+SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM known""".strip()
+}
 
 
 def _query(f: Query) -> Query:

@@ -9,12 +9,13 @@ import re
 from html import unescape
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quittance.llm import html_blocks as h
 from quittance.llm import warc as w
-from quittance.llm.queries import QUERIES, table
+from quittance.llm.queries import ORACLES, QUERIES, table
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -225,6 +226,14 @@ def test_damaged_files_on_spark(spark, tmp_path):
     assert gap["start"] < len(data) // 2 < gap["end"] and gap["reason"]
 
 
+def test_warc_oracle(spark):
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF_DIR}/pages.parquet'")
+        expected = sorted(con.execute(ORACLES["op7_warc"]).fetchall(), key=str)
+    rows = [tuple(r) for r in table(spark, SF_DIR, "pages").select("page_id", "url", "html").collect()]
+    assert expected == expected_records(rows)
+
+
 def test_warc_query(spark):
     rows = [tuple(r) for r in table(spark, SF_DIR, "pages").select("page_id", "url", "html").collect()]
     got = sorted(map(tuple, QUERIES["op7_warc"](spark, SF_DIR).collect()), key=str)
