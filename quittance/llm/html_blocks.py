@@ -66,7 +66,8 @@ FEATURES = (
     "link_density_before",
     "words_after",
     "link_density_after",
-    "place",  # 0: no article on the page, 1: inside it, 2: outside
+    "inside",  # an article
+    "outside",  # the article that the page has
     "around",
     "heading",
 )
@@ -204,16 +205,18 @@ def _features(rows: list[list[float]]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     table = np.array(rows, float)
     words, links, within = table[:, 0], table[:, 1], table[:, 2].astype(bool)
-    place = np.where(within, 1, 2) if within.any() else np.zeros(len(rows))
+    outside = ~within & within.any()
     before = np.concatenate([[0], words[:-1]]), np.concatenate([[0], links[:-1]])
     after = np.concatenate([words[1:], [0]]), np.concatenate([links[1:], [0]])
-    return np.stack([words, links, *before, *after, place, table[:, 3], table[:, 4]], axis=1)
+    return np.stack(
+        [words, links, *before, *after, within, outside, table[:, 3], table[:, 4]], axis=1
+    )
 
 
 class DecisionTree:
     """A binary tree of best Gini splits, flattened into node arrays."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 6):
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 8):
         self._nodes: list[tuple] = []
         self.depth = depth
         self._grow(rows, labels.astype(float), depth)

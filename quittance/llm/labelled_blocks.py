@@ -132,4 +132,145 @@ TABLE = """
 1 div 55 0
 0 div 6 4
 0 div 2 2
+
+0 div 2 0
+0 div 4 4
+1 h1 7 0
+1 p 40 0
+1 p 3 0
+1 p 62 2
+1 p 28 0
+0 div 3 3
+0 div 4 0
+
+0 p 3 0
+0 ul/li 2 2
+0 ul/li 1 1
+1 h1 5 0
+1 p 80 0
+1 p 4 0
+1 p 33 0
+0 ul/li 6 6
+0 ul/li 5 5
+0 p 6 0
+
+0 div 3 0
+0 div 2 2
+0 div 1 1
+1 div 9 0
+1 div 74 1
+1 div 2 0
+1 div 51 0
+1 div 12 0
+1 div 60 0
+0 div 4 3
+0 div 5 0
+
+1 div 2 0
+
+1 p 14 0
+
+1 article/h1 1 0
+1 article/p 1 0
+
+1 article/p 1 1
+1 article/p 2 0
+1 article/p 3 3
+
+0 div.ad 4 0
+1 article/p 1 0
+0 article/div.ad 1 0
+1 article/p 1 0
+
+1 article/p 7 0
+
+1 main/h1 2 0
+1 main/ul/li 1 1
+1 main/ul/li 2 2
+1 main/p 5 5
+1 main/p 30 28
+1 main/p 2 0
+
+0 nav/ul/li 1 1
+1 article/p 3 0
+0 article/section.comments/p 2 0
+
+1 article/table/tr/td 1 0
+1 article/table/tr/td 1 1
+1 article/table/tr/td 4 4
+0 footer 1 0
+
+0 div 6 0
+1 article/p 4 1
+1 article/p 6 6
+0 p 9 0
+
+1 article/p 1 0
+1 article/p 30 0
+
+1 article/h1 5 0
+1 article/p 50 0
+1 article/p 3 0
+
+1 main/p 2 0
+1 main/p 44 0
+
+1 main/div 6 0
+1 main/div 12 0
+1 main/div 70 0
+
+1 p 2 0
+
+1 div 5 0
+
+1 article/p 3 0
+1 article/p 5 0
+
+1 main/p 1 0
+1 main/p 4 0
+1 main/p 6 0
+
+0 p 4 0
+1 article/p 2 0
+1 article/p 7 0
+0 p 3 0
+
+0 div 3 3
+0 ul/li 6 5
+1 article/p 20 0
+1 article/p 3 1
+0 div 8 8
+0 p 2 1
+0 div 12 12
+
+0 div 1 1
+1 main/p 1 0
+1 main/p 2 2
+0 p 4 2
+0 div 30 3
+
+1 article/h1 4 0
+1 article/ul/li 4 4
+1 article/p 9 0
+
+1 article/p 3 0
+1 article/p 6 6
+
+1 main/p 12 0
+0 div.ad 5 5
+
+1 h1 6 0
+1 p 16 0
+1 p 15 0
+0 ul/li 2 2
+0 ul/li 3 3
+
+0 div 2 2
+1 p 22 0
+0 div 1 1
+
+1 article/p 2 0
+1 article/p 9 9
+1 article/p 1 0
+1 article/p 4 4
 """
