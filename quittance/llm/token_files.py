@@ -142,8 +142,8 @@ def write_token_files(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), width), minlength=size)
+            for _, ids in slices(batch, 0):
+                total += np.bincount(np.frombuffer(b"".join(ids), width), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 

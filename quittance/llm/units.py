@@ -36,7 +36,7 @@ _SAMPLES = "a I the Word WORDS été Ärger naïve ŒUVRE Straße łódź encycl
 #: Longer units are encoded each time they come up.
 REMEMBERED_CHARS = 40
 #: Units in each of the two generations a worker remembers.
-REMEMBERED_UNITS = 250_000
+REMEMBERED_UNITS = 400_000
 #: Characters handed to the library in one call.
 CALL_CHARS = 1 << 18
 
@@ -71,7 +71,7 @@ class UnitEncoder:
         self._tokenizer.no_padding()
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
-        self._marks: dict[str, bytes] = {"": b""}
+        self._marks: dict[str, bytes] = {}
         self._model = self._tokenizer.model
         self._line_break = self._encoded(["\n"])[0]
         self._direct = self._how_words_are_cut()
@@ -122,15 +122,15 @@ class UnitEncoder:
             flush()
         return found
 
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
-        """Learn units; returns the ids of those too long to remember."""
+    def _learn_words(self, new: Iterable[str]) -> list[str]:
+        """Learn the units that are words, with marks or without; returns the others."""
         known, before, marks = self._known, self._before, self._marks
         folds = self._direct and self._direct[1]
-        others = []
+        match, others = _WORD.fullmatch, []
         for u in new:
             ids = before.get(u)
             if ids is None:
-                m = _WORD.fullmatch(u) if self._direct and len(u) <= REMEMBERED_CHARS else None
+                m = match(u) if self._direct and len(u) <= REMEMBERED_CHARS else None
                 if m is None:
                     others.append(u)
                     continue
@@ -139,10 +139,16 @@ class UnitEncoder:
                 ids = known.get(plain) or before.get(plain)
                 if ids is None:
                     known[plain] = ids = self._word(line, word)
-                if tail not in marks:
-                    marks[tail] = self._encoded([tail])[0]
-                ids += marks[tail]
+                if tail:
+                    if tail not in marks:
+                        marks[tail] = self._encoded([tail])[0]
+                    ids += marks[tail]
             known[u] = ids
+        return others
+
+    def _learn(self, others: list[str]) -> dict[str, bytes]:
+        """Learn other units; returns the ids of those too long to remember."""
+        known = self._known
         others.sort(key=len)
         ids = dict(zip(others, self._encoded(map(_spaced, others)), strict=True))
         known.update((u, i) for u, i in ids.items() if len(u) <= REMEMBERED_CHARS)
@@ -151,17 +157,18 @@ class UnitEncoder:
     def _parts(self, texts: list[str | None]) -> Iterable[list[bytes]]:
         """The ids of each text in parts, in order."""
         if len(self._known) > REMEMBERED_UNITS:
-            self._before, self._known, self._marks = self._known, {}, {"": b""}
+            self._before, self._known, self._marks = self._known, {}, {}
         known = self._known
         cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
         new = set(chain.from_iterable(islice(units, 1, None) for units in cut)).difference(known)
-        unclean = {u for u in new if not _CLEAN.fullmatch(u)}
-        new -= unclean
+        rest = self._learn_words(new)
+        unclean = {u for u in rest if not _CLEAN.fullmatch(u)}
+        new = set(rest) - unclean
         for n, units in enumerate(cut):
             if not _ENDS_CLEAN.search(units[0]) or not unclean.isdisjoint(units[1:]):
                 cut[n] = units = SAFE_SPACE.split(texts[n] or "")
                 new.update(u for u in units[1:] if u not in known)
-        long = self._learn(new)
+        long = self._learn(list(new))
         firsts = self._encoded(units[0] for units in cut)
         for first, units in zip(firsts, cut, strict=True):
             parts = list(map(known.get, units))
