@@ -133,7 +133,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder, least_bytes=0)
-    records, _ = warc.read_archives(spark, folder)
+    records, _ = warc.read_archives(spark, folder, whole=True)  # what was just written has no gaps
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

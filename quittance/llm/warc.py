@@ -172,10 +172,11 @@ def parse_record(data: bytes | memoryview, at: int = 0) -> tuple[dict[str, str],
     """Headers (names in lower case), block and end of the record at ``at``."""
     if bytes(data[at : at + len(VERSION)]) != VERSION:
         raise Damaged("no version line")
-    window = bytes(data[at : at + (1 << 16)])
-    end = window.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("headers do not end")
+    window, size = b"", 1 << 12
+    while (end := window.find(b"\r\n\r\n")) < 0:
+        if window and len(window) < size // 4:  # all there is
+            raise Damaged("headers do not end")
+        window, size = bytes(data[at : at + size]), size * 4
     try:
         lines = window[:end].decode().split("\r\n")[1:]
     except UnicodeDecodeError as e:
@@ -251,8 +252,8 @@ def read_file(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes] | Gap]:
         yield gap
 
 
-def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of all files under ``folder``.
+def read_archives(spark: SparkSession, folder: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of all files under ``folder``; with ``whole``, a gap fails the job.
 
     Records are (file, offset, record_type, record_id, page_id, url, refers_to, payload_bytes,
     payload_digest, payload): the payload of a revisit is missing, its size and digest are those
@@ -268,6 +269,8 @@ def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 held, size = [], 0
                 for item in read_file(content.as_py()):
+                    if whole and isinstance(item, Gap):
+                        raise Damaged(f"{path.as_py()}, bytes {item.start} to {item.end}: {item.reason}")
                     held.append(_row(path.as_py(), item))
                     size += len(held[-1].get("payload") or b"")
                     if size > 4 << 20:

@@ -255,3 +255,18 @@ def test_the_article_is_kept_whole_and_nothing_around_it():
     ]
     rows = np.array(grid, float)
     assert (tree.main(rows) == ((rows[:, 6] == 1) & (rows[:, 8] == 0))).all()
+
+
+def test_headers_of_any_size_are_read(spark, tmp_path):
+    rows = [(1, "http://a?" + "q" * 70_000, "<p>a</p>"), (2, "data:," + "x" * 5_000_000, "<p>b</p>"), (3, "u", "")]
+    records, gaps = written(spark, pages(spark, rows), str(tmp_path / "w"))
+    assert {(r["page_id"], r["url"]) for r in records.collect()} == {r[:2] for r in rows}
+    assert gaps.count() == 0
+    assert ids(b"WARC/1.1\r\nX-Page-ID: 1\r\n")[1][0].reason == "headers do not end"
+
+
+def test_gaps_fail_a_reader_that_wants_all(spark, tmp_path):
+    (tmp_path / "part").write_bytes(archive(3)[0][:-9])
+    records, _ = w.read_archives(spark, str(tmp_path), whole=True)
+    with pytest.raises(Exception, match="bytes"):
+        records.collect()
