@@ -10,6 +10,12 @@ The reader checks every record: the member's own checksum, the version line, the
 digest of the block. After a failed check it looks for the next place where a member begins that
 unpacks to a version line, or where a version line stands in the open, goes on from there, and
 reports the bytes in between as a gap with the reason.
+
+A member may hold many records. After a failed check within one, the reader goes on at the next
+version line in its content, and the gap's reason says where in the content it lies. Of a member
+that is cut short or fails its checksum, what could be unpacked is read in the same way: from a cut
+one, the records with a good digest and those before the last one begun; from one with wrong
+bytes, which may be anywhere, only the records whose own digest is good.
 """
 
 from __future__ import annotations
@@ -154,18 +160,31 @@ class Damaged(Exception):
     """A record fails a check."""
 
 
-def _unpack_member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The content of the member at ``at`` and where it ends; its checksum is checked."""
-    unpack, out, here = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and here < len(data):
-            out.append(unpack.decompress(data[here : here + STEP]))
-            here = min(here + STEP, len(data))
-    except zlib.error as e:
-        raise Damaged(f"member: {str(e).split(': ')[-1]}") from e
-    if not unpack.eof:
-        raise Damaged("member: cut short")
-    return b"".join(out), here - len(unpack.unused_data)
+#: What is wrong with a member whose end is missing.
+CUT = "member: cut short"
+
+
+def _unpack_member(data: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the member at ``at``, where it ends, and what is wrong with it.
+
+    Of a damaged member, the content is what could be unpacked, and its end is unknown: ``at``.
+    """
+    unpack, out, here, wrong = zlib.decompressobj(31), [], at, None
+    step = STEP
+    while not unpack.eof and here < len(data):
+        before = unpack.copy()  # the output of a failed step is lost: smaller ones up to the byte
+        try:
+            out.append(unpack.decompress(data[here : here + step]))
+        except zlib.error as e:
+            if step == 1:
+                wrong = f"member: {str(e).split(': ')[-1]}"
+                break
+            unpack, step = before, max(1, step // 32)
+            continue
+        here = min(here + step, len(data))
+    if wrong or not unpack.eof:
+        return b"".join(out), at, wrong or CUT
+    return b"".join(out), here - len(unpack.unused_data), None
 
 
 def parse_record(data: bytes | memoryview, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -224,30 +243,77 @@ def _next_start(data: bytes, at: int) -> int:
         at += 1
 
 
+def _content_records(content: bytes, wrong: str | None) -> Iterator[tuple[dict[str, str], bytes] | Gap]:
+    """Records and gaps, as offsets in it, of a member's content; ``wrong``: of what remains of it."""
+    at, gap = 0, None
+    while at < len(content):
+        try:
+            headers, block, end = parse_record(content, at)
+            proven = headers.get("warc-block-digest", "").startswith("sha1:")
+            if wrong and not proven and (wrong != CUT or end >= len(content)):
+                raise Damaged("no digest to tell whether the record is whole")
+        except Damaged as e:
+            further = content.find(VERSION, at + 1)
+            further = len(content) if further < 0 else further
+            gap = Gap(gap.start if gap else at, further, gap.reason if gap else str(e))
+            at = further
+            continue
+        if gap:
+            yield gap
+            gap = None
+        yield headers, block
+        at = end
+    if gap:
+        yield gap
+
+
 def read_file(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes] | Gap]:
-    """Records (offset, headers, block) and gaps of one archive, packed or not, in order."""
+    """Records (offset, headers, block) and gaps of one archive, packed or not, in order.
+
+    Gaps are bytes of the file. That of a record within a member is the whole member; its reason
+    says which bytes of the content are meant.
+    """
     view, at, gap = memoryview(data), 0, None
+    salvaged: list[tuple[dict[str, str], bytes]] = []  # of the damaged member that the gap begins with
     while at < len(data):
         start = at
+        if data[at : at + 3] == MAGIC:
+            content, at, wrong = _unpack_member(view, at)
+            items = list(_content_records(content, wrong))
+            found = [(start, *item) for item in items if not isinstance(item, Gap)]
+            lost = [item for item in items if isinstance(item, Gap)]
+            if wrong or (lost and not found):
+                at = _next_start(data, start + 1) if wrong else at
+                reason = wrong or lost[0].reason
+                if wrong and found:
+                    reason += f", after {len(content)} bytes of content and {len(found)} records"
+                if found:
+                    if gap:
+                        yield gap
+                    yield from found
+                    gap, salvaged = None, [record[1:] for record in found]
+                gap = Gap(gap.start if gap else start, at, gap.reason if gap else reason)
+                continue
+            if gap:
+                yield gap
+                gap = None
+            yield from found
+            for inner in lost:
+                yield Gap(start, at, f"{inner.reason} (bytes {inner.start} to {inner.end} of the content)")
+            continue
         try:
-            found = []
-            if data[at : at + 3] == MAGIC:
-                content, at = _unpack_member(view, at)
-                inner = 0
-                while inner < len(content):  # one record a member is usual, more are allowed
-                    headers, block, inner = parse_record(content, inner)
-                    found.append((start, headers, block))
-            else:
-                headers, block, at = parse_record(view, at)
-                found.append((start, headers, block))
+            headers, block, at = parse_record(view, at)
         except Damaged as e:
             at = _next_start(data, start + 1)
             gap = Gap(gap.start if gap else start, at, gap.reason if gap else str(e))
             continue
+        if gap and (headers, block) in salvaged:  # stored in the member as it is, not packed
+            gap.end = at
+            continue
         if gap:
             yield gap
             gap = None
-        yield from found
+        yield start, headers, block
     if gap:
         yield gap
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import os
 import re
@@ -270,3 +271,42 @@ def test_gaps_fail_a_reader_that_wants_all(spark, tmp_path):
     records, _ = w.read_archives(spark, str(tmp_path), whole=True)
     with pytest.raises(Exception, match="bytes"):
         records.collect()
+
+
+def whole_records(n=6, size=3000):
+    """Plain records with digests, of blocks that do not pack well."""
+    out = []
+    for k in range(n):
+        block = base64.b64encode(os.urandom(size))
+        headers = [("X-Page-ID", str(k)), ("WARC-Block-Digest", f"sha1:{digest(block)}")]
+        out.append(w.record(headers, block))
+    return out
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_records_of_one_member_are_salvaged(level):
+    made = whole_records()
+    bad = [*made[:2], made[2].replace(b"Content-Length: 4000", b"Content-Length: 4001"), *made[3:]]
+    found, gaps = ids(gzip.compress(b"".join(bad), level) + w.member(whole_records(1)[0]))
+    assert found == [0, 1, 3, 4, 5, 0] and len(gaps) == 1
+    at = len(made[0]) + len(made[1])
+    assert f"bytes {at} to {at + len(made[2])} of the content" in gaps[0].reason
+
+    packed = gzip.compress(b"".join(made), level)
+    after = w.member(w.record([("X-Page-ID", "9")], b"good"))
+    for damaged, least in (
+        (packed[:-8] + b"\0\0\0\0" + packed[-4:], 6),  # the checksum
+        (packed[: len(packed) * 2 // 3], 3),  # the end
+        (packed[: len(packed) * 2 // 3] + after, 3),
+        (packed[: len(packed) * 2 // 3] + b"\xff" * 300 + packed[len(packed) * 2 // 3 + 300 :] + after, 3),
+    ):
+        found, gaps = ids(damaged)
+        rest = [k for k in found if k != 9]
+        assert len(rest) >= least and rest == sorted(set(rest)) and gaps
+        assert (9 in found) == damaged.endswith(after)
+
+
+def test_records_without_a_digest_before_a_cut_are_kept():
+    made = [w.record([("X-Page-ID", str(k))], os.urandom(500)) for k in range(5)]
+    found, gaps = ids(gzip.compress(b"".join(made))[:-400])
+    assert found == [0, 1, 2, 3] and gaps[0].reason.startswith("member: cut short")
