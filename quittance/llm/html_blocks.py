@@ -2,8 +2,10 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags. A block is described by its
 words and link density, those of the blocks before and after it, and where it stands: inside or
-outside an article, and whether an element around it is one for menus, headers, footers and the
-like, by its name, role or class. A decision tree fitted to a small labelled table
+outside an article, and how surely an element around it is one for menus, headers, footers and the
+like, by its name, role or class. A class, an id or a form says so only in part: an element that
+holds the page's article, or most of its words, counts the less the larger its share of the words
+is (``_graded``). A decision tree fitted to a small labelled table
 (``labelled_blocks``) decides which blocks are main text, all blocks of a batch at once.
 """
 
@@ -41,7 +43,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and roles for what surrounds a text.
-AROUND = frozenset("nav aside form dialog head button label menu footer".split())
+AROUND = frozenset("nav aside dialog head button label menu footer".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split()
 )
@@ -59,6 +61,11 @@ STEMS = (
     "advert", "banner", "breadcrumb", "comment", "consent", "cookie", "footer", "masthead",
     "navigation", "newsletter", "pagination", "sidebar", "sponsor", "subscri",
 )
+#: Class names for a state or a topic, which do not say what an element is for.
+_STATE = re.compile(
+    r"(?<!\S)(?:has|no|with|without|category|tag)[-_]\S*|\S+[-_](?:open|opened|closed|enabled|disabled|on|off)(?!\S)",
+    re.IGNORECASE,
+)
 FEATURES = (
     "words",
     "link_density",
@@ -68,30 +75,72 @@ FEATURES = (
     "link_density_after",
     "inside",  # an article
     "outside",  # the article that the page has
-    "around",
+    "around",  # from 0 to 1
     "heading",
 )
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _CLOSING = _HEADINGS | {"p", "li", "td", "th", "tr", "dd", "dt", "option"}
 
 
-def _surrounds(name: str, attributes: dict[str, str], within: bool) -> bool:
+#: What an element may be: none of what surrounds a text, perhaps, surely.
+NOT, HINTED, SURELY = 0, 1, 2
+
+
+def _surrounds(name: str, attributes: dict[str, str], within: bool) -> int:
     """Whether an element is for what surrounds a text; ``within``: it stands in an article."""
     if name in AROUND or name == "header" and not within:
-        return True
+        return SURELY
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes:
-        return True
+        return SURELY
     if attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return SURELY
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
+        return SURELY
     if name in ("html", "body", "main"):
-        return False
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        return NOT
+    if name == "form":
+        return HINTED
+    named = _STATE.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
     found = {w.lower() for w in _WORD.findall(named)}
     if found & HINTS or not within and "header" in found:
-        return True
-    return any(w.startswith(STEMS) or w.endswith(STEMS) for w in found)
+        return HINTED
+    return HINTED if any(w.startswith(STEMS) or w.endswith(STEMS) for w in found) else NOT
+
+
+def _graded(rows: list[list[float]], elements: list[tuple[int, bool]]) -> list[float]:
+    """How surely, from 0 to 1, each block stands in something that surrounds the text.
+
+    A row is (words, link density, within, surely around, heading, its nearest hinted element or
+    -1); an element is (the next hinted one around it or -1, whether it stands in an article). A
+    hinted element counts in full, unless it holds most of the words of the page's articles, or
+    most of the page's words, and there is no running text to speak of without it.
+    """
+    if not elements:
+        return [row[3] for row in rows]
+    words, articles = [0] * len(elements), [0] * len(elements)
+    total = article = text = article_text = 0
+    for n, links, within, surely, heading, e in rows:
+        if surely:
+            continue
+        total += n
+        article += n * within
+        if e < 0 and n >= 10 and links < 0.5 and not heading:
+            text += n
+            article_text += n * within
+        while e >= 0:
+            words[e] += n
+            articles[e] += n * within
+            e = elements[e][0]
+    grades: list[float] = []
+    for e, (outer, inside) in enumerate(elements):  # outer ones come first
+        grade, share = 1.0, words[e] / max(1, total)
+        if not article_text:
+            if not inside and 2 * articles[e] > article:
+                grade = min(0.5, 1 - share)
+            elif words[e] >= 20 and share >= 0.5 and 4 * text <= words[e]:
+                grade = 1 - share
+        grades.append(max(grade, grades[outer] if outer >= 0 else 0.0))
+    return [1.0 if row[3] else grades[row[5]] if row[5] >= 0 else 0.0 for row in rows]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -106,8 +155,9 @@ class _Page:
     def __init__(self) -> None:
         self.texts: list[str] = []
         self.rows: list[list[float]] = []
-        # name, inside an article, in something that surrounds, heading
-        self.stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+        # name, inside an article, in something that surely surrounds, heading, hinted element
+        self.stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, -1)]
+        self.hinted: list[tuple[int, bool]] = []
         self.held: list[tuple[str, bool]] = []
         self.link: int | None = None
 
@@ -122,9 +172,8 @@ class _Page:
         if text:
             words = text.count(" ") + 1
             linked = sum(len(t.split()) for t, link in self.held if link)
-            _, within, around, heading = self.stack[-1]
             self.texts.append(text)
-            self.rows.append([words, min(1.0, linked / words), within, around, heading])
+            self.rows.append([words, min(1.0, linked / words), *self.stack[-1][1:]])
         self.held = []
 
     def open(self, name: str, attributes: str) -> None:
@@ -135,15 +184,17 @@ class _Page:
         if name not in BLOCK:
             return
         self.close_block()
-        _, within, around, heading = self.stack[-1]
         if name in VOID:
             return
         if self.stack[-1][0] == "head" or name in _CLOSING:
             self._close_open(name)
-            _, within, around, heading = self.stack[-1]
-        around = around or _surrounds(name, _attributes(attributes), within)
+        _, within, around, heading, hinted = self.stack[-1]
+        kind = _surrounds(name, _attributes(attributes), within)
+        if kind == HINTED:
+            self.hinted.append((hinted, within))
+            hinted = len(self.hinted) - 1
         within = within or name in ("article", "main")
-        self.stack.append((name, within, around, heading or name in _HEADINGS))
+        self.stack.append((name, within, around or kind == SURELY, heading or name in _HEADINGS, hinted))
 
     def _close_open(self, name: str) -> None:
         """End an element that the start of ``name`` ends: p by any, li by li, cells by cells."""
@@ -196,11 +247,11 @@ def page_blocks(page: str | None) -> tuple[list[str], np.ndarray]:
         else:
             found.open(name, m["attributes"] or m["broken"] or "")
     found.close_block()
-    return found.texts, _features(found.rows)
+    return found.texts, _features(found.rows, found.hinted)
 
 
-def _features(rows: list[list[float]]) -> np.ndarray:
-    """Rows of (words, link density, within, around, heading) with their neighbours."""
+def _features(rows: list[list[float]], elements: list[tuple[int, bool]]) -> np.ndarray:
+    """``FEATURES`` of rows and hinted elements as ``_graded`` takes them."""
     if not rows:
         return np.zeros((0, len(FEATURES)))
     table = np.array(rows, float)
@@ -209,7 +260,7 @@ def _features(rows: list[list[float]]) -> np.ndarray:
     before = np.concatenate([[0], words[:-1]]), np.concatenate([[0], links[:-1]])
     after = np.concatenate([words[1:], [0]]), np.concatenate([links[1:], [0]])
     return np.stack(
-        [words, links, *before, *after, within, outside, table[:, 3], table[:, 4]], axis=1
+        [words, links, *before, *after, within, outside, _graded(rows, elements), table[:, 4]], axis=1
     )
 
 
@@ -260,18 +311,26 @@ def labelled_rows(table: str = TABLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of a labelled table."""
     rows, labels = [], []
     for page in table.strip().split("\n\n"):
-        blocks = []
+        blocks, hinted, known = [], [], {}
         for line in page.splitlines():
             label, path, words, linked = line.split()
-            within = around = heading = False
-            for element in path.split("/"):
+            within, around, heading, last = False, False, False, -1
+            parts = path.split("/")
+            for k, element in enumerate(parts):
                 name, *named = re.split("[.#]", element)
-                around |= _surrounds(name, {"class": " ".join(named)}, within)
+                kind = _surrounds(name, {"class": " ".join(named)}, within)
+                around |= kind == SURELY
+                if kind == HINTED:  # equal paths of a page are one element
+                    at = "/".join(parts[: k + 1])
+                    if at not in known:
+                        known[at] = len(hinted)
+                        hinted.append((last, within))
+                    last = known[at]
                 within |= name in ("article", "main")
                 heading |= name in _HEADINGS
-            blocks.append([int(words), int(linked) / int(words), within, around, heading])
+            blocks.append([int(words), int(linked) / int(words), within, around, heading, last])
             labels.append(int(label))
-        rows.append(_features(blocks))
+        rows.append(_features(blocks, hinted))
     return np.concatenate(rows), np.array(labels)
 
 

@@ -273,4 +273,36 @@ TABLE = """
 1 article/p 9 9
 1 article/p 1 0
 1 article/p 4 4
+
+0 nav/a 4 4
+1 div#search-results/article/h2 6 0
+1 div#search-results/article/p 60 2
+1 div#search-results/article/p 14 0
+0 div#search-results/aside/p 12 0
+0 footer 8 1
+
+0 form/div.menu/ul/li 2 2
+0 form/div/a 3 3
+1 form/div/h1 6 0
+1 form/div/p 70 1
+1 form/div/p 42 0
+1 form/div/p 5 0
+1 form/div/p 80 2
+0 form/ul/li 5 5
+0 form/ul/li 4 4
+0 form/div.footer/p 9 2
+
+0 ul/li 2 2
+1 div.widget-area/h1 8 0
+1 div.widget-area/p 55 0
+1 div.widget-area/p 30 1
+0 div.widget-area/ul/li 3 3
+0 div.widget-area/ul/li 6 6
+0 p 5 0
+
+0 div.ad 5 2
+1 article.promoted/h1 5 0
+1 article.promoted/p 24 0
+1 article.promoted/p 3 3
+0 article.promoted/div.share 4 4
 """

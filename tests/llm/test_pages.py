@@ -310,3 +310,34 @@ def test_records_without_a_digest_before_a_cut_are_kept():
     made = [w.record([("X-Page-ID", str(k))], os.urandom(500)) for k in range(5)]
     found, gaps = ids(gzip.compress(b"".join(made))[:-400])
     assert found == [0, 1, 2, 3] and gaps[0].reason.startswith("member: cut short")
+
+
+WORDS = " ".join(["A paragraph with a good number of words, as they are in running text."] * 4)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<nav><a href=1>Home</a></nav><div class='content has-sidebar'><h1>A title of words</h1>{}</div><div class=sidebar>No</div>",
+        "<nav><a href=1>Home</a></nav><div id='search-results'><article><h1>A title of words</h1>{}</article></div>",
+        "<main><h1>A title of words</h1><div id='search-results'>{}</div></main>",
+        "<article class='post category-legal comments-open'><h1>A title of words</h1>{}</article>",
+        "<body><form id=aspnetForm><div class=menu><a href=1>Home</a></div><h1>A title of words</h1>{}"
+        "<div class=footer><p>No words of the text</p></div></form>",
+    ],
+)
+def test_wrappers_with_telling_names_keep_their_article(page):
+    text = h.main_texts([page.format(f"<p>{WORDS}</p>" * 3)], h.trained_tree())[0]
+    assert text.split("\n") == ["A title of words", *[WORDS] * 3]
+
+
+def test_hinted_parts_beside_an_article_stay_out():
+    comments = f"<div class=comments>{f'<article><p>{WORDS}</p></article>' * 9}</div>"
+    page = f"<article><p>{WORDS}</p></article>{comments}<form><p>{WORDS}</p></form>"
+    assert h.main_texts([page], h.trained_tree()) == [WORDS]
+
+
+def test_a_wrapper_of_most_words_leaves_the_choice_to_words_and_links():
+    rows, labels = h.labelled_rows()
+    partly = (rows[:, 8] > 0) & (rows[:, 8] < 1)
+    assert {0, 1} == set(labels[partly])
