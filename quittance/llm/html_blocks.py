@@ -33,8 +33,10 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"""([A-Za-z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg math iframe object canvas title textarea select".split())
+#: Elements whose content is no text of the page. Without an end tag, the first ones take the rest
+#: of the page, as in a browser; the others end with their parent or before the next block.
+TO_THE_END = frozenset("script style title textarea".split())
+RAW = TO_THE_END | frozenset("noscript template svg iframe object canvas select annotation annotation-xml".split())
 #: Elements that start and end a block of text.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt "
@@ -208,6 +210,16 @@ class _Page:
             if name == "tr" and self.stack[-1][0] == "tr":
                 self.stack.pop()
 
+    def unclosed(self, name: str, page: str, at: int) -> int:
+        """Where an element of ``RAW`` without its end tag ends, whose content begins at ``at``."""
+        if name in TO_THE_END:
+            return len(page)
+        for m in _MARKUP.finditer(page, at):
+            tag = (m["name"] or "").lower()
+            if tag in BLOCK or tag in TO_THE_END or m["end"] and tag == "a" and self.link is not None:
+                return m.start()
+        return len(page)
+
     def close(self, name: str) -> None:
         if name == "a":
             self.link = None
@@ -226,6 +238,7 @@ def page_blocks(page: str | None) -> tuple[list[str], np.ndarray]:
     """The texts of a page's blocks in order, and a row of ``FEATURES`` for each."""
     page = page or ""
     found, at = _Page(), 0
+    endless: set[str] = set()  # names without a further end tag
     while at < len(page):
         m = _MARKUP.search(page, at)
         if m is None:
@@ -242,8 +255,12 @@ def page_blocks(page: str | None) -> tuple[list[str], np.ndarray]:
             found.close(name)
         elif name in RAW:
             if not (m["attributes"] or "").rstrip().endswith("/"):
-                end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+                end = None
+                if name not in endless:
+                    end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+                if end is None:
+                    endless.add(name)
+                at = end.end() if end else found.unclosed(name, page, at)
         else:
             found.open(name, m["attributes"] or m["broken"] or "")
     found.close_block()

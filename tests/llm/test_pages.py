@@ -341,3 +341,17 @@ def test_a_wrapper_of_most_words_leaves_the_choice_to_words_and_links():
     rows, labels = h.labelled_rows()
     partly = (rows[:, 8] > 0) & (rows[:, 8] < 1)
     assert {0, 1} == set(labels[partly])
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *((f"<article><p>one</p><{n} id=x>not this<p>two</p></article>", "one\ntwo") for n in ("canvas", "object", "svg", "iframe", "select")),
+        ("<article><p>one <svg><path d=x></p><p>two</p></article>", "one\ntwo"),
+        ("<article><p>one <svg><b>no</b></svg>two</p></article>", "one two"),
+        ("<article><p>one</p><script>x<p>two</p></article>", "one"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "so x=2 holds"),
+    ],
+)
+def test_elements_without_their_end_tag(page, text):
+    assert h.main_texts([page], h.trained_tree()) == [text]
