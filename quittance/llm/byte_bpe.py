@@ -107,6 +107,17 @@ class ByteTable:
         tokens = [b""] * (max(vocab.values()) + 1)
         for shown, i in vocab.items():
             tokens[i] = bytes(byte_of[c] for c in shown)
+        self._lay(tokens)
+
+    @classmethod
+    def of(cls, tokens: list[bytes]) -> ByteTable:
+        """A table of tokens whose bytes are known."""
+        table = cls.__new__(cls)
+        table._lay(tokens)
+        return table
+
+    def _lay(self, tokens: list[bytes]) -> None:
+        self.tokens = tokens
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self._starts = np.cumsum(self.sizes) - self.sizes
         self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)

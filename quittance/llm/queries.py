@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quittance.llm import (
+    alignment,
     byte_bpe,
+    conversation_repair,
     html_blocks,
     quality_trees,
+    rank_merges,
     secret_scan,
     sharding,
     simhash,
@@ -164,3 +167,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_digests(damaged, gone="gone")
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        b = f.read()
+    aligned = alignment.alignments(table(spark, sf_dir, "documents"), a, b, digest=True)
+    return alignment.scored(aligned, a, b).withColumnRenamed("groups", "groups_sha256")
+
+
+@_query
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rank_merges.encode(docs, tokenizer, round_trip=True).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -1,0 +1,134 @@
+"""Alignments of two tokenizers against the libraries and plain loops."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import sentencepiece
+from edges import TEXTS, documents, no_documents
+from test_tokens import BYTES, by_id, library
+
+from quittance.llm import alignment
+from quittance.llm.queries import QUERIES, table
+from quittance.llm.units import byte_characters
+
+SF_DIR = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+with open(PATH, "rb") as f:
+    MODEL = f.read()
+A_LIBRARY = library(BYTES)
+A_LIBRARY.encode_special_tokens = True
+B_LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
+BITS = [
+    " ", "  ", "   ", "\n", "\r\n", "\t", "a", "É", "é", "'s", "'", "1", "<|endoftext|>", "<s>", ".", ",",
+    "　", "\xa0", "́", "中", "Σ", "<0x0A>", "\x1c", "\x00", "한", " the", "🙂", "ﬁ", "Word", "<unk>",
+]
+
+
+def a_bytes(i):
+    return bytes(map(byte_characters().index, A_LIBRARY.id_to_token(i)))
+
+
+def b_bytes(i):
+    piece = B_LIBRARY.id_to_piece(i)
+    return bytes([int(piece[3:5], 16)]) if B_LIBRARY.is_byte(i) else piece.replace("▁", " ").encode()
+
+
+def brute(text):
+    """(n_a, n_b, linked id pairs, groups) of a text, token by token."""
+    if not text:
+        return 0, 0, [], ""
+    a = A_LIBRARY.encode(f" {text}", add_special_tokens=False).ids
+    b = B_LIBRARY.encode(text)
+    whole = f" {text}".encode()
+    spelt = [[(i, f(i)) for i in ids] for ids, f in ((a, a_bytes), (b, b_bytes))]
+    if any(b"".join(t for _, t in side) != whole for side in spelt):
+        return 0, 0, [], ""
+    ends = [np.cumsum([len(t) for _, t in side]).tolist() for side in spelt]
+    links, groups, i, j = [], [], 0, 0
+    for cut in sorted(set(ends[0]) & set(ends[1])):
+        i_to, j_to = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+        links.append((a[i_to - 1], b[j_to - 1]))
+        groups.append(",".join(map(str, a[i:i_to])) + "|" + ",".join(map(str, b[j:j_to])))
+        i, j = i_to, j_to
+    return len(a), len(b), links, ";".join(groups)
+
+
+def aligned(texts):
+    tool = alignment.aligner(BYTES, MODEL)
+    for n_a, n_b, n_groups, links, groups in tool.align(texts, digest=False):
+        codes = np.frombuffer(links, tool.code).tolist()
+        assert len(codes) == n_groups
+        yield n_a, n_b, [divmod(c, tool.b_size) for c in codes], groups
+
+
+def test_texts_of_all_kinds():
+    random.seed(4)
+    texts = ["".join(random.choices(BITS, k=random.randint(0, 20))) for _ in range(4000)]
+    texts += [None, "", " ", "a ", " a", "▁ x", "x▁", "x" * 3000, " " * 500, "a" + " " * 300 + "b"]
+    texts += [f"a{chr(c)}1 {chr(c)}{chr(c)} b{chr(c)}." for c in range(1, 0xD800, 29)]
+    got = list(aligned(texts))
+    assert got == [brute(t) for t in texts]
+    assert all(got[texts.index(t)][0] == 0 for t in ("", "▁ x", "x▁"))
+
+
+def test_groups_break_where_a_start_reaches_the_furthest_end():
+    a = alignment.Sides(np.array([7, 8, 9]), np.array([3, 4, 9]))
+    b = alignment.Sides(np.array([1, 2, 3]), np.array([2, 4, 9]))
+    a_group, b_group, n = alignment.coalesce(a, b)
+    assert (a_group.tolist(), b_group.tolist(), n) == ([0, 0, 1], [0, 0, 1], 2)
+    in_a, in_b = alignment.overlaps(a, b)
+    assert list(zip(in_a.tolist(), in_b.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 1), (2, 2)]
+
+
+def test_the_vocabularies_bound_the_pairs():
+    a, b = [b"a", b"ba", b"c"], [b"a", b"a", b"cba"]
+    linked = [(x, y) for x in a for y in b if x.endswith(y) or y.endswith(x)]
+    assert alignment.most_pairs(a, b) == len(linked) == 6
+    tool = alignment.aligner(BYTES, MODEL)
+    assert alignment.most_pairs(tool.a_tokens, tool.b_tokens) < 500_000
+
+
+def expected(rows):
+    each = [brute(t) for _, t in rows]
+    counts = Counter(pair for e in each for pair in e[2])
+    best = Counter()
+    for (_, b), n in counts.items():
+        best[b] = max(best[b], n)
+    out = []
+    for (d, _), (n_a, n_b, links, groups) in zip(rows, each, strict=True):
+        digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+        n_best = sum(counts[p] == best[p[1]] for p in links)
+        out.append((d, n_a, n_b, len(links), digest, len(links), n_best, sum(counts[p] for p in links)))
+    return by_id(out)
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "groups", "n_links", "n_best", "count_sum"]
+
+
+def test_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "HELD_LINKS", 1000)
+    found = alignment.alignments(documents(spark), BYTES, MODEL, digest=True)
+    scored = alignment.scored(found, BYTES, MODEL)
+    assert scored.columns == COLUMNS
+    assert by_id(map(tuple, scored.collect())) == expected(TEXTS)
+    texts = alignment.alignments(documents(spark), BYTES, MODEL)
+    assert by_id((r["doc_id"], r["groups"]) for r in texts.collect()) == by_id(
+        (d, brute(t)[3]) for d, t in TEXTS
+    )
+
+
+def test_no_rows(spark):
+    found = alignment.alignments(no_documents(spark), BYTES, MODEL)
+    assert alignment.scored(found, BYTES, MODEL).count() == 0
+
+
+def test_query(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF_DIR, "documents").collect()]
+    got = QUERIES["op12_alignment"](spark, SF_DIR)
+    assert [c.replace("_sha256", "") for c in got.columns] == COLUMNS
+    assert by_id(map(tuple, got.collect())) == expected(rows)
