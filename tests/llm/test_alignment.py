@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,10 +30,15 @@ BITS = [
 ]
 
 
+BYTE_OF = {c: b for b, c in enumerate(byte_characters())}
+
+
+@lru_cache(None)
 def a_bytes(i):
-    return bytes(map(byte_characters().index, A_LIBRARY.id_to_token(i)))
+    return bytes(map(BYTE_OF.get, A_LIBRARY.id_to_token(i)))
 
 
+@lru_cache(None)
 def b_bytes(i):
     piece = B_LIBRARY.id_to_piece(i)
     return bytes([int(piece[3:5], 16)]) if B_LIBRARY.is_byte(i) else piece.replace("▁", " ").encode()
@@ -50,8 +56,9 @@ def brute(text):
         return 0, 0, [], ""
     ends = [np.cumsum([len(t) for _, t in side]).tolist() for side in spelt]
     links, groups, i, j = [], [], 0, 0
+    behind = [{end: k + 1 for k, end in enumerate(side)} for side in ends]
     for cut in sorted(set(ends[0]) & set(ends[1])):
-        i_to, j_to = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+        i_to, j_to = behind[0][cut], behind[1][cut]
         links.append((a[i_to - 1], b[j_to - 1]))
         groups.append(",".join(map(str, a[i:i_to])) + "|" + ",".join(map(str, b[j:j_to])))
         i, j = i_to, j_to
