@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import subprocess
 import sys
 from pathlib import Path
 
 import numpy as np
+import pytest
 from edges import documents, no_documents
 from test_quality import brute_counts
 from test_simhash import brute_components, brute_fingerprint
@@ -71,7 +73,7 @@ def test_stages_bear_odd_rows(spark):
 
 def test_the_queries_are_registered():
     names = entry_points.queries().keys()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert QUERIES.keys() <= names and "pipeline" in names
 
 
@@ -81,14 +83,25 @@ def test_nothing_else_imports_the_text_operators():
             assert not re.search(r"import.*\bllm\b|\bllm\b.*import", f.read_text()), f
 
 
-def test_the_entry_module_works_without_the_text_operators(tmp_path):
-    """A copy of the repository without them still registers every other query."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_entry_module_works_without_the_text_operators(tmp_path, pipeline):
+    """A copy of the repository without the two folders still registers every other query."""
     copy = tmp_path / "repo"
-    for f in [*ROOT.glob("quittance/**/*.py"), ROOT / "__spark_entry__.py"]:
+    files = [*ROOT.glob("quittance/**/*.py"), *ROOT.glob("tests/*.py"), ROOT / "__spark_entry__.py"]
+    for f in [*files, *[ROOT / "corpus_pipeline.py"] * pipeline]:
         if "llm" not in f.parts:
             there = copy / f.relative_to(ROOT)
             there.parent.mkdir(parents=True, exist_ok=True)
             there.write_bytes(f.read_bytes())
-    code = "import __spark_entry__ as e; assert not any(q.startswith('op') for q in e.queries()); print(len(e.queries()))"
-    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, capture_output=True, text=True, check=True)
-    assert int(done.stdout) == len(entry_points.queries()) - len(QUERIES) - 1
+    code = (
+        f"import sys; sys.path.insert(0, {str(copy)!r}); import __spark_entry__ as e; "
+        "assert 'quittance.llm' not in sys.modules and 'corpus_pipeline' not in sys.modules; "
+        "assert not any(q.startswith('op') for q in e.queries()); print(e.__file__, len(e.queries()))"
+    )
+    env = os.environ | {"PYTHONPATH": str(ROOT)}  # what the copy lacks must not come from here
+    command = [sys.executable, "-B", "-c", code]
+    done = subprocess.run(command, cwd=copy, capture_output=True, text=True, env=env)
+    assert done.returncode == 0, done.stderr
+    file, count = done.stdout.rsplit(maxsplit=1)
+    assert Path(file).parent == copy
+    assert int(count) == len(entry_points.queries()) - len(QUERIES) - 1
