@@ -1,11 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
 A document holds benchmark text where ``WINDOW`` of its words in a row, laid against as many of an
-item, agree in all but ``MISSES`` places; of an item with fewer words, all must agree. To find such
-places without comparing everything, both sides are hashed under fixed masks that look at some
-positions of a window and ignore the rest. The masks are chosen so that at least one of them fits
-any such window whatever the places that differ. Hashes of documents and items are joined, and
-around every hit the words themselves are compared.
+item, agree in all but ``MISSES`` places. An item with fewer words must be there as a whole, all but
+two of 9 words or more, all but one of 5 or more, every one of fewer. To find such places without
+comparing everything, both sides are hashed under fixed masks that look at some positions of a
+window and ignore the rest. The masks are chosen so that at least one of them fits any such window
+whatever the places that differ. Hashes of documents and items are joined, and around every hit the
+words themselves are compared.
 
 Documents first look their hashes up in a Bloom filter of the item hashes, of a fixed size however
 large the benchmark is: it only saves rows from the join, which decides.
@@ -13,6 +14,7 @@ large the benchmark is: it only saves rows from the join, which decides.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,8 +31,8 @@ WINDOW, MISSES = 13, 3
 #: Fixed masks: 1 is looked at, 0 ignored. Every window with at most ``MISSES`` differences has a
 #: place where one of them fits (``tests/llm`` tries all).
 MASKS = ("111111", "11101011", "11101101", "1100100111", "1011000111", "111000101001")
-#: Items with fewer words say nothing about where a text comes from.
-LEAST_WORDS = 5
+#: Places that may differ in an item too short for a window, from so many words on.
+SHORT_MISSES = ((9, 2), (5, 1), (0, 0))
 #: Words kept on either side of a hit, hits closer together making one region.
 MARGIN = 32
 #: The Bloom filter has 2 ** BITS bits and PROBES of them per hash.
@@ -73,16 +75,42 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
+def misses_in(size: int) -> int:
+    """How many words of an item, or of a window of it, may differ."""
+    if size >= WINDOW:
+        return MISSES
+    return next(misses for least, misses in SHORT_MISSES if size >= least)
+
+
+def short_masks(size: int) -> list[str]:
+    """Masks over all of a short item, one of which fits wherever ``misses_in(size)`` words differ.
+
+    The item is cut into two blocks more than words may differ, so two blocks are always whole; each
+    mask looks at two of them.
+    """
+    misses = misses_in(size)
+    if not misses:
+        return ["1" * size]
+    block = [k * (misses + 2) // size for k in range(size)]
+    return [
+        "".join("1" if b in pair else "0" for b in block)
+        for pair in itertools.combinations(range(misses + 2), 2)
+    ]
+
+
 def masks_for(lengths: set[int]) -> list[str]:
-    """The fixed masks, and a mask without gaps for each length of items shorter than a window."""
-    return [*MASKS, *("1" * n for n in sorted(lengths) if LEAST_WORDS <= n < WINDOW)]
+    """The fixed masks, and those for each length of items shorter than a window."""
+    return [*MASKS, *(m for n in sorted(lengths) if 0 < n < WINDOW for m in short_masks(n))]
 
 
 def agreement(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
     """(first, words, equal words) of the benchmark text in two aligned runs; none if there is none."""
     equal = window == item
     if len(equal) < WINDOW:
-        return (0, len(equal), len(equal)) if equal.all() and len(equal) else None
+        places = np.flatnonzero(equal)
+        if not len(places) or len(equal) - len(places) > misses_in(len(equal)):
+            return None
+        return int(places[0]), int(places[-1] - places[0]) + 1, len(places)
     upto = np.concatenate([[0], np.cumsum(equal)])
     enough = np.flatnonzero(upto[WINDOW:] - upto[:-WINDOW] >= WINDOW - MISSES)
     if not len(enough):
@@ -113,10 +141,10 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
         F.col(text_column).alias("text"),
     )
     items = keyed.mapInArrow(hashed, f"item_key bigint, item_id {kind}, words array<bigint>")
-    return items.where(F.size("words") >= LEAST_WORDS).dropDuplicates(["item_key"])
+    return items.where(F.size("words") > 0).dropDuplicates(["item_key"])
 
 
-def _seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+def _seeds(items: DataFrame) -> DataFrame:
     """(hash, item_key, size, at): every seed of every item."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +152,7 @@ def _seeds(items: DataFrame, masks: list[str]) -> DataFrame:
             for key, found in zip(batch.column(0), batch.column(1), strict=True):
                 hashes = np.array(found.as_py(), np.int64).view(np.uint64)
                 n = len(hashes)
-                for mask in masks:
-                    if n < WINDOW and len(mask) != n or n >= WINDOW and mask not in MASKS:
-                        continue
+                for mask in MASKS if n >= WINDOW else short_masks(n):
                     seeds = seed_hashes(hashes, mask).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -203,16 +229,16 @@ def overlaps(
     """(id, text_hash, item_id, doc_start, item_start, n_words, n_equal): every aligned overlap.
 
     Starts count words from 0. One row per document text, item and alignment; a document's rows
-    that repeat in full are told once. Missing and empty texts hold nothing, items with fewer than
-    ``LEAST_WORDS`` words are looked for nowhere, missing ids stay missing. An empty benchmark or
-    no documents give no rows. Other columns are never read.
+    that repeat in full are told once. Missing and empty texts hold nothing, items without words are
+    nowhere, missing ids stay missing. An empty benchmark or no documents give no rows. Other columns
+    are never read.
     """
     spark = docs.sparkSession
     ship(spark)
     items = stored(_items(benchmark, item_column, item_text_column), "benchmark-items")
     short = items.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct()
     masks = masks_for({r["n"] for r in short.collect()})  # fewer than WINDOW numbers
-    seeds = stored(_seeds(items, masks), "benchmark-seeds")
+    seeds = stored(_seeds(items), "benchmark-seeds")
     table = spark.sparkContext.broadcast(_bloom(seeds))  # 8 MiB, whatever the benchmark
     kind = docs.schema[id_column].dataType.simpleString()
 

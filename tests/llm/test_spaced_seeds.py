@@ -23,6 +23,33 @@ def test_one_mask_fits_any_window():
         ), misses
 
 
+def test_one_short_mask_fits_any_short_item():
+    for size in range(1, s.WINDOW):
+        assert all(len(m) == size for m in s.short_masks(size))
+        for misses in itertools.combinations(range(size), s.misses_in(size)):
+            assert any(all(m[k] == "0" for k in misses) for m in s.short_masks(size)), (size, misses)
+    assert [s.misses_in(n) for n in (1, 4, 5, 8, 9, 12, 13, 40)] == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_items_of_all_lengths(spark):
+    """Items of 1 to 40 words, planted whole, with as many words changed as may be, and one more."""
+    random.seed(9)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 41)]
+    docs = []
+    for n, text in items:
+        for extra in range(3):
+            planted = text.split()
+            for k in random.sample(range(n), min(n, (0, s.misses_in(n), s.misses_in(n) + 1)[extra])):
+                planted[k] = "other"
+            around = [f"d{random.randint(0, 99)}" for _ in range(20)]
+            docs.append((3 * n + extra, " ".join(around[:10] + planted + around[10:])))
+    found = s.overlaps(documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"], r["doc_start"] - r["item_start"]) for r in found.collect()}
+    assert got == brute(docs, items)
+    assert {d for d, _, _ in got} >= {3 * n + extra for n in range(1, 41) for extra in (0, 1)}
+    assert all(3 * n + 2 not in {d for d, _, _ in got} for n in range(1, 14))
+
+
 def test_words():
     assert s.words("The CAT's (42) hat—ÉTÉ… 中文 x\x00y") == [
         b"the", b"cat", b"s", b"42", b"hat", "été".encode(), "中".encode(), "文".encode(), b"x", b"y",
@@ -38,14 +65,14 @@ def brute(docs, items):
         words = s.word_hashes(t)
         for i, item in hashed.items():
             n, least = len(item), min(s.WINDOW, len(item))
-            if n < s.LEAST_WORDS:
+            if not n:
                 continue
             for start in range(-n + 1, len(words)):
                 low, high = max(0, -start), min(n, len(words) - start)
                 if high - low < least:
                     continue
                 equal = (words[start + low : start + high] == item[low:high]).astype(int)
-                allowed = s.MISSES if n >= s.WINDOW else 0
+                allowed = 3 if n >= 13 else 2 if n >= 9 else 1 if n >= 5 else 0
                 if max(np.convolve(equal, np.ones(least, int), "valid")) >= least - allowed:
                     found.add((d, i, start))
     return found
@@ -92,7 +119,8 @@ def test_query(spark):
     rows = QUERIES["op8_decontamination"](spark, SF_DIR).collect()
     got = {(r["doc_id"], r["item_id"], r["doc_start"] - r["item_start"]) for r in rows}
     texts = {d: set(zip(*[s.words(t)[k:] for k in range(5)], strict=False)) for d, t in docs}
-    near = []  # only documents that share five words with an item can hold it
+    assert min(len(s.words(x)) for _, x in items) >= 13
+    near = []  # only documents that share five words with such an item can hold it
     for d, t in docs:
         if any(texts[d] & set(zip(*[s.words(x)[k:] for k in range(5)], strict=False)) for _, x in items):
             near.append((d, t))
