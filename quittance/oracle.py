@@ -536,6 +536,8 @@ ORACLES: dict[str, str] = {
     "ledger_read_v1": _LEDGER_ROWS,
     "failed_publish_keeps_previous": _LEDGER_ROWS,
     "public_view_after_failed_build": _LEDGER_ROWS,
+    "view_of_two_warehouses": _LEDGER_ROWS,
+    "reset_slots": f"SELECT *, 'prod_blue' AS active_schema FROM ({_LEDGER_ROWS})",
     "recheck_stored_slot": _on(_LEDGER, _report(_checks(_OWN_SEGMENTS) + _ADVISORY)),
     "ledger_two_versions": _on(
         _LEDGER,

@@ -4,17 +4,21 @@ Layout under one root folder:
 
     <root>/<schema>/<build>/<model>         the tables of a build (schemas dev, prod_blue, prod_green)
     <root>/<schema>/<build>/check_results   what its audit found
-    <root>/public/deployment_state          one row per deployment; the highest number is live
-    <root>/public/numbers/<n>               taken deployment numbers
+    <root>/<schema>/<build>/_complete       what the build holds, written last
+    <root>/<schema>/<build>/_lease          renewed while the build runs
+    <root>/public/deployments               the log of deployments (``deployments.py``)
 
 Every build has a folder of its own, which nothing writes to again: whoever reads a build keeps
-its files, and rows that the gate refused stand where no reader looks. A deployment becomes live by
-adding one file to the state table, which readers see either whole or not at all; the views of
-SQL users move with it. Old builds go when ``prune`` is called.
+its files, and rows that the gate refused stand where no reader looks. A build that was killed has
+no ``_complete`` and is never taken for the newest. A deployment becomes live by one file that
+appears in the log; the views of SQL users move with it, but only those that belong to this
+warehouse. Old builds go when ``prune`` is called.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -24,7 +28,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ from quittance.operators.checks import REPORT_DDL, Check, run_checks, status_tal
 from quittance.operators.contract import ContractDrift, breaches, enforce
 from quittance.operators.spread import HotKeys, find_hot_keys
 from quittance.plans import quality
+from quittance.plans.deployments import DeploymentLog
 from quittance.plans.marts import int_invoice_totals, mart_invoice_ledger
 from quittance.plans.quality import LEDGER_MODELS, STAGING_MODELS, checks_of, declared_checks
 from quittance.plans.staging import stage
@@ -42,9 +47,14 @@ from quittance.sources.csv_files import store_table
 # The build targets and the schema each writes to.
 TARGETS = {"dev": "dev", "blue": "prod_blue", "green": "prod_green"}
 PUBLISHED_TARGETS = ("blue", "green")
-STATE_DDL = "deployment_no BIGINT, active_schema STRING, build STRING, deployed_at TIMESTAMP"
 #: The table property that tells which warehouse a view belongs to.
 OWNER = "quittance.root"
+#: Seconds after which a build that shows no sign of life may be deleted.
+LEASE = 24 * 3600
+
+
+class ForeignView(ValueError):
+    """A view of that name belongs to another warehouse, or to none."""
 
 
 @dataclass(frozen=True)
@@ -54,6 +64,12 @@ class Warehouse:
     spark: SparkSession
     root: str
     contracts: Mapping[str, Contract] = field(default_factory=lambda: CONTRACTS)
+    #: The database of the views over the live build; warehouses that share a catalog need their own.
+    public: str = "public"
+
+    @property
+    def log(self) -> DeploymentLog:
+        return DeploymentLog(self.spark, self.path("public", "deployments"))
 
     def path(self, schema: str, *names: str) -> str:
         return "/".join([self.root.rstrip("/"), schema, *names])
@@ -68,16 +84,17 @@ class Warehouse:
         number = int(last[0].split("-")[1]) + 1
         return Build(self, schema, f"build-{number:09d}-{uuid.uuid4().hex[:8]}")
 
-    def last_build(self, schema: str) -> Build:
-        """The newest build of a slot."""
-        names = self.builds(schema)
-        if not names:
-            raise LookupError(f"{schema} has not been built")
-        return Build(self, schema, names[-1])
+    def last_build(self, schema: str, *tables: str) -> Build:
+        """The newest complete build of a slot that has all the given tables."""
+        for name in reversed(self.builds(schema)):
+            build = Build(self, schema, name)
+            if (held := build.catalogue()) is not None and held.keys() >= set(tables):
+                return build
+        raise LookupError(f"{schema} has no complete build" + (f" with {', '.join(tables)}" if tables else ""))
 
     def table(self, schema: str, table: str) -> DataFrame:
         """A table of the newest build of a slot."""
-        return self.last_build(schema).table(table)
+        return self.last_build(schema, table).table(table)
 
 
 @dataclass(frozen=True)
@@ -87,6 +104,7 @@ class Build:
     wh: Warehouse
     schema: str
     name: str
+    schemas: dict[str, str] = field(default_factory=dict, compare=False)  # of tables stored so far
 
     def path(self, table: str) -> str:
         return self.wh.path(self.schema, self.name, table)
@@ -95,7 +113,28 @@ class Build:
         return self.wh.spark.read.parquet(self.path(table))
 
     def store(self, df: DataFrame, table: str) -> DataFrame:
-        return store_table(df, self.path(table))
+        self.renew()
+        stored = store_table(df, self.path(table))
+        self.schemas[table] = hashlib.sha256(stored.schema.json().encode()).hexdigest()
+        self.renew()
+        return stored
+
+    def renew(self) -> None:
+        """Show that this build is alive, which keeps it from ``prune``."""
+        files.replace_text(self.wh.spark, self.path("_lease"), "")
+
+    def finish(self) -> None:
+        """Declare the build complete: every table with its files, bytes and schema."""
+        spark, held = self.wh.spark, {}
+        for table, schema in self.schemas.items():
+            count, size = files.size(spark, self.path(table))
+            held[table] = {"files": count, "bytes": size, "schema_sha256": schema}
+        files.put_once(spark, self.path("_complete"), json.dumps(held, indent=1))
+
+    def catalogue(self) -> dict[str, dict] | None:
+        """What the build holds, by table; None while it is not complete."""
+        text = files.read_text(self.wh.spark, self.path("_complete"))
+        return None if text is None else json.loads(text)
 
 
 @dataclass(frozen=True)
@@ -110,17 +149,12 @@ class BuildResult:
 
 def deployments(wh: Warehouse) -> DataFrame:
     """All deployments so far; no rows before the first."""
-    try:
-        return wh.spark.read.schema(STATE_DDL).parquet(wh.path("public", "deployment_state"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return wh.spark.createDataFrame([], STATE_DDL)
+    return wh.log.all()
 
 
 def latest_deployment(wh: Warehouse) -> DataFrame:
     """The live deployment, the last one published: one row, or none before the first."""
-    return deployments(wh).orderBy(F.desc("deployment_no")).limit(1)
+    return wh.log.newest()
 
 
 def deployment_state(wh: Warehouse) -> DataFrame:
@@ -141,7 +175,7 @@ def deployment_status(wh: Warehouse) -> DataFrame:
     """
     try:
         row = deployment_state(wh).withColumn("deployed_at", F.col("deployed_at").cast("string")).first()
-    except (PySparkException, Py4JJavaError):
+    except (PySparkException, Py4JJavaError, ValueError, TypeError):
         row = None
     schema, deployed_at = tuple(row) if row else ("unknown", None)
     ddl = "status STRING, active_schema STRING, deployed_at STRING"
@@ -149,8 +183,8 @@ def deployment_status(wh: Warehouse) -> DataFrame:
 
 
 def live_build(wh: Warehouse) -> Build | None:
-    row = latest_deployment(wh).first()
-    return Build(wh, row["active_schema"], row["build"]) if row else None
+    found = wh.log.latest()
+    return Build(wh, found.active_schema, found.build) if found else None
 
 
 def _must_be_live(wh: Warehouse) -> Build:
@@ -307,6 +341,7 @@ def build(
     ``min_rows`` guards against publishing the outcome of an empty load. ``hot_invoices`` saves
     looking for them in the raw lines where that can be done cheaper.
     """
+    move_views(wh)  # a driver that died right after a deployment has left them behind
     state = next_slot(latest_deployment(wh)).first()
     target = target or state["next_target"]
     schema = TARGETS[target]
@@ -330,39 +365,38 @@ def build(
     published = publish_gate(report, target, checks).first()["publish"]
     if published and min_rows:
         published = made.table(audited(wh).dataset).count() >= min_rows
+    made.finish()
     if published:
         publish(made, deployed_at)
     return BuildResult(target, tuple(results), published)
 
 
-def _take_number(wh: Warehouse) -> int:
-    """A deployment number that nobody else has: two publishes at once get two, in some order."""
-    taken = [int(n) for n in files.names_in(wh.spark, wh.path("public", "numbers")) if n.isdigit()]
-    last = deployments(wh).agg(F.max("deployment_no")).first()[0]
-    number = max([last or 0, *taken]) + 1
-    while not files.create_once(wh.spark, wh.path("public", "numbers", str(number))):
-        number += 1
-    return number
-
-
 def publish(build: Build, deployed_at: datetime | None = None) -> None:
     """Make ``build`` the live one, as of now unless a time is given in the session's zone.
 
     The last publish wins, whatever the clocks say. Views registered for this warehouse move along.
     """
     wh = build.wh
+    if build.catalogue() is None:
+        build.finish()
     when = F.lit(str(deployed_at)) if deployed_at else F.current_timestamp()
-    number = _take_number(wh)
-    row = wh.spark.range(1).select(
-        F.lit(build.schema).alias("active_schema"),
-        F.lit(build.name).alias("build"),
-        when.cast("timestamp").alias("deployed_at"),
-    )
-    # A folder for each deployment, so publishes at once do not clear each other's scratch files.
-    row.coalesce(1).write.parquet(wh.path("public", "deployment_state", f"deployment_no={number}"))
-    for contract in wh.contracts.values():
-        if _owned(wh, "public", _public_name(wh, contract)):
+    moment = wh.spark.range(1).select(F.unix_micros(when.cast("timestamp"))).first()[0]
+    wh.log.append(build.schema, build.name, moment)
+    move_views(wh)
+
+
+def move_views(wh: Warehouse) -> None:
+    """Point the views that belong to this warehouse at the live build.
+
+    Of publishes at once, each looks again after it has moved them, so the newest one stays.
+    """
+    owned = [c for c in wh.contracts.values() if _owned(wh, wh.public, _public_name(wh, c))]
+    while owned:
+        live = wh.log.latest()
+        for contract in owned:
             register_views(wh, contract.version)
+        if wh.log.latest() == live:
+            return
 
 
 # -- reading ------------------------------------------------------------------------------
@@ -379,7 +413,7 @@ def read_ledger(wh: Warehouse, version: str = LATEST_VERSION) -> DataFrame:
 
 def recheck(wh: Warehouse, schema: str, checks: Sequence[Check] | None = None) -> DataFrame:
     """Audit the newest build of a slot as it is, without building anything."""
-    build = wh.last_build(schema)
+    build = wh.last_build(schema, *STAGING_MODELS, audited(wh).dataset)
     staged = {m: build.table(m) for m in STAGING_MODELS}
     checks = declared_checks() if checks is None else checks
     return quality.report(staged, build.table(audited(wh).dataset), checks, stored=True)
@@ -398,21 +432,21 @@ def register_views(wh: Warehouse, version: str = LATEST_VERSION) -> None:
     folder, which is never written again, so it cannot show rows that the gate has not passed.
     """
     build, contract = _must_be_live(wh), wh.contracts[version]
+    live = wh.log.latest()
     name, columns = _public_name(wh, contract), ", ".join(contract.read_order)
-    _replace_view(wh, "public", name, build.path(contract.dataset), columns)
-    _replace_view(
+    _replace_view(wh, wh.public, name, build.path(contract.dataset), columns)
+    _create_view(
         wh,
-        "public",
+        wh.public,
         "deployment_state",
-        wh.path("public", "deployment_state"),
-        "active_schema, deployed_at",
-        "ORDER BY deployment_no DESC LIMIT 1",
+        f"SELECT '{live.active_schema}' AS active_schema, "
+        f"timestamp_micros({live.deployed_us}) AS deployed_at",
     )
 
 
 def register_slot(wh: Warehouse, schema: str) -> None:
     """Give SQL users the models of a slot's newest build under its schema name."""
-    build = wh.last_build(schema)
+    build = wh.last_build(schema, *STAGING_MODELS, *(c.dataset for c in wh.contracts.values()))
     for model in STAGING_MODELS:
         _replace_view(wh, schema, model, build.path(model))
     stored = audited(wh)
@@ -422,45 +456,63 @@ def register_slot(wh: Warehouse, schema: str) -> None:
         _replace_view(wh, schema, contract.dataset, build.path(contract.dataset))
 
 
-def _replace_view(
-    wh: Warehouse, schema: str, name: str, path: str, columns: str = "*", suffix: str = ""
-) -> None:
+def _replace_view(wh: Warehouse, schema: str, name: str, path: str, columns: str = "*") -> None:
+    _create_view(wh, schema, name, f"SELECT {columns} FROM parquet.`{path}`")
+
+
+def _create_view(wh: Warehouse, schema: str, name: str, query: str) -> None:
+    """Create or move a view, unless the name is taken by another warehouse that still exists."""
     wh.spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    taken = wh.spark.catalog.tableExists(f"{schema}.{name}")
+    if taken and not _owned(wh, schema, name):
+        owner = _owner(wh, schema, name)
+        if owner is None or files.exists(wh.spark, owner):
+            raise ForeignView(f"{schema}.{name} belongs to {owner or 'somebody else'}")
     wh.spark.sql(
-        f"CREATE OR REPLACE VIEW {schema}.{name} TBLPROPERTIES ('{OWNER}' = '{wh.root.rstrip('/')}') "
-        f"AS SELECT {columns} FROM parquet.`{path}` {suffix}"
+        f"CREATE OR REPLACE VIEW {schema}.{name} "
+        f"TBLPROPERTIES ('{OWNER}' = '{wh.root.rstrip('/')}') AS {query}"
     )
 
 
-def _owned(wh: Warehouse, schema: str, name: str) -> bool:
-    """Whether there is a view of that name that belongs to this warehouse."""
+def _owner(wh: Warehouse, schema: str, name: str) -> str | None:
+    """The root of the warehouse that a view belongs to; None if it belongs to none."""
     if not wh.spark.catalog.tableExists(f"{schema}.{name}"):
-        return False
+        return None
     properties = wh.spark.sql(f"SHOW TBLPROPERTIES {schema}.{name}").collect()
-    return any(r["key"] == OWNER and r["value"] == wh.root.rstrip("/") for r in properties)
+    return next((r["value"] for r in properties if r["key"] == OWNER), None)
+
+
+def _owned(wh: Warehouse, schema: str, name: str) -> bool:
+    """Whether there is a view of that name that belongs to this warehouse."""
+    return _owner(wh, schema, name) == wh.root.rstrip("/")
 
 
-def prune(wh: Warehouse, keep: int = 2) -> None:
-    """Delete all but the last ``keep`` builds of each slot; the live build always stays.
+def prune(wh: Warehouse, keep: int = 2, lease: float = LEASE) -> None:
+    """Delete all but the last ``keep`` complete builds of each slot; the live build always stays.
 
-    Readers of a deleted build lose its files, so keep those that a job may still be reading.
+    So does a build that is still running; one that was killed goes ``lease`` seconds after its last
+    sign of life. Readers of a deleted build lose its files, so keep those that a job may be reading.
     """
     live = live_build(wh)
     for schema in TARGETS.values():
-        names = wh.builds(schema)
-        for name in names[: max(0, len(names) - keep)]:
-            if live is None or (live.schema, live.name) != (schema, name):
-                files.delete(wh.spark, wh.path(schema, name))
+        builds = [Build(wh, schema, name) for name in wh.builds(schema)]
+        complete = [b for b in builds if b.catalogue() is not None]
+        kept = complete[max(0, len(complete) - keep) :]
+        for b in builds:
+            alive = b not in complete and (files.age(wh.spark, b.path("_lease")) or 0) < lease
+            if b not in kept and b != live and not alive:
+                files.delete(wh.spark, b.path(""))
 
 
 def reset(wh: Warehouse) -> None:
     """Drop both slots, the public state and the views over them, all of this root and no other's."""
-    for schema in (TARGETS["blue"], TARGETS["green"], "public"):
+    for schema in (TARGETS["blue"], TARGETS["green"], wh.public):
         if wh.spark.catalog.databaseExists(schema):
             for view in wh.spark.catalog.listTables(schema):
                 if not view.isTemporary and _owned(wh, schema, view.name):
                     wh.spark.sql(f"DROP VIEW {schema}.{view.name}")
-        files.delete(wh.spark, wh.path(schema))
+    for folder in (TARGETS["blue"], TARGETS["green"], "public"):
+        files.delete(wh.spark, wh.path(folder))
 
 
 def status_summary(wh: Warehouse, schema: str) -> DataFrame:

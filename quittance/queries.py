@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, time, timedelta
@@ -408,7 +409,7 @@ def failed_publish_keeps_previous(spark: SparkSession, sf_dir: str) -> DataFrame
 @_query
 def public_view_after_failed_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL users see after two deployments and a build that the gate refused."""
-    wh = _warehouse(spark)
+    wh = replace(_warehouse(spark), public=f"public_{uuid.uuid4().hex}")
     _deploy(wh, sf_dir)
     publish.register_views(wh)
     _deploy(wh, sf_dir)
@@ -416,7 +417,38 @@ def public_view_after_failed_build(spark: SparkSession, sf_dir: str) -> DataFram
     raw["customers"] = raw["customers"].withColumn("customer_name", F.lit("not this"))
     raw["invoices"] = raw["invoices"].withColumn("status", F.lit("not this"))
     _deploy(wh, sf_dir, raw)
-    return spark.sql("SELECT * FROM public.mart_invoice_ledger")
+    return spark.table(f"{wh.public}.mart_invoice_ledger")
+
+
+@_query
+def view_of_two_warehouses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A public view stays with its warehouse, though another one deploys and asks for the name."""
+    first = replace(_warehouse(spark), public=f"public_{uuid.uuid4().hex}")
+    second = replace(_warehouse(spark), public=first.public)
+    _deploy(first, sf_dir)
+    publish.register_views(first)
+    raw = testbed.read_sources(spark, sf_dir)
+    _deploy(second, sf_dir, raw | {"invoices": raw["invoices"].where("invoice_id % 2 = 0")})
+    try:
+        publish.register_views(second)
+    except publish.ForeignView:
+        return spark.table(f"{first.public}.mart_invoice_ledger")
+    raise AssertionError("a view was taken from another warehouse")
+
+
+@_query
+def reset_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warehouse after a reset and a deployment: both start anew, with slot blue."""
+    wh = replace(_warehouse(spark), public=f"public_{uuid.uuid4().hex}")
+    for _ in range(2):
+        _deploy(wh, sf_dir)
+    publish.register_views(wh)
+    publish.reset(wh)
+    if publish.deployments(wh).count() or spark.catalog.tableExists(f"{wh.public}.mart_invoice_ledger"):
+        raise AssertionError("a reset left something behind")
+    _deploy(wh, sf_dir)
+    slot = publish.deployment_status(wh).first()["active_schema"]
+    return publish.read_ledger(wh).withColumn("active_schema", F.lit(slot))
 
 
 @_query

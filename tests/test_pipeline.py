@@ -14,7 +14,7 @@ from quittance.operators.contract import BREACH, rejected_rows, valid_rows
 from quittance.plans import export, marts, publish, quality, staging
 from quittance.queries import LEDGER_V2
 from quittance.schemas import CONTRACTS, MART_V1, Contract, raw_schema
-from quittance.sources import csv_files
+from quittance.sources import csv_files, files
 
 
 @pytest.fixture
@@ -77,7 +77,7 @@ def test_a_bad_extract_leaves_all_raw_tables_as_they_were(spark, tmp_path, raw):
         csv_files.load_raw(spark, bad, str(tmp_path / "raw"))
     now = csv_files.read_raw(spark, str(tmp_path / "raw"))
     assert {t: sorted(map(str, df.collect())) for t, df in now.items()} == before
-    assert len(list((tmp_path / "raw").iterdir())) == 3  # one load, the pointer and its checksum
+    assert len(list((tmp_path / "raw").iterdir())) == 2  # one load and the pointer
 
 
 def test_a_table_may_be_replaced_by_what_is_computed_from_it(spark, tmp_path):
@@ -448,17 +448,116 @@ def test_publishes_at_once_get_numbers_of_their_own(wh, raw):
     assert len({b.name for b in builds}) == 4
     with ThreadPoolExecutor(4) as jobs:
         list(jobs.map(publish.publish, builds))
+    assert publish.live_build(wh) in builds
     numbers = [r["deployment_no"] for r in publish.deployments(wh).collect()]
     assert sorted(numbers) == [1, 2, 3, 4]
 
 
 def test_an_unreadable_state_is_unknown(wh, raw, tmp_path):
     publish.build(wh, raw)
-    for part in (tmp_path / "warehouse" / "public" / "deployment_state").rglob("part-*"):
+    for part in (tmp_path / "warehouse" / "public" / "deployments" / "log").glob("*.json"):
         part.write_bytes(b"damaged")
     assert tuple(publish.deployment_status(wh).first()) == ("healthy", "unknown", None)
 
 
+def test_a_view_stays_with_its_warehouse(spark, wh, raw, tmp_path):
+    other = publish.Warehouse(spark, str(tmp_path / "other"))
+    publish.build(wh, raw)
+    publish.register_views(wh)
+    publish.build(other, {**raw, "invoices": raw["invoices"].where("invoice_id > 2")})
+    with pytest.raises(publish.ForeignView, match="warehouse"):
+        publish.register_views(other)
+    publish.build(other, raw)
+    publish.build(wh, {**raw, "invoices": raw["invoices"].where("invoice_id > 3")})
+    assert spark.table("public.mart_invoice_ledger").count() == len(LEDGER) - 3
+    own = publish.Warehouse(spark, other.root, public="elsewhere")
+    publish.register_views(own)
+    assert spark.table("elsewhere.mart_invoice_ledger").count() == len(LEDGER)
+    publish.reset(own)
+    publish.reset(wh)
+    spark.sql("CREATE OR REPLACE VIEW public.mart_invoice_ledger AS SELECT 1 AS x")
+    publish.build(wh, raw)
+    with pytest.raises(publish.ForeignView, match="somebody else"):
+        publish.register_views(wh)
+    spark.sql("DROP VIEW public.mart_invoice_ledger")
+
+
+def test_the_name_of_a_warehouse_that_is_gone_is_free(spark, wh, raw, tmp_path):
+    other = publish.Warehouse(spark, str(tmp_path / "other"))
+    publish.build(other, raw)
+    publish.register_views(other)
+    files.delete(spark, other.root)
+    publish.build(wh, raw)
+    publish.register_views(wh)
+    assert spark.table("public.mart_invoice_ledger").count() == len(LEDGER)
+    publish.reset(wh)
+
+
+#: What a publish does, step by step, after the build has been audited.
+STEPS = [
+    (publish.Build, "finish"),
+    (publish.DeploymentLog, "append"),
+    (files, "put_once"),
+    (files, "replace_text"),
+    (publish, "move_views"),
+    (publish, "_create_view"),
+]
+
+
+@pytest.mark.parametrize("before", [True, False])
+@pytest.mark.parametrize("owner,step", STEPS, ids=[s for _, s in STEPS])
+def test_a_driver_killed_at_any_step_leaves_the_old_or_the_new(spark, wh, raw, monkeypatch, owner, step, before):
+    publish.build(wh, raw)
+    publish.register_views(wh)
+    made = wh.new_build("prod_green")
+    for table in (*publish.STAGING_MODELS, MART_V1.dataset):
+        made.store(wh.table("prod_blue", table).limit(3), table)
+    real = getattr(owner, step)
+
+    def killed(*args, **kwargs):
+        if not before:
+            real(*args, **kwargs)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(owner, step, killed)
+        with pytest.raises(KeyboardInterrupt):
+            publish.publish(made)
+    live = publish.live_build(wh)
+    count = {"prod_blue": len(LEDGER), "prod_green": 3}
+    assert publish.read_ledger(wh).count() == count[live.schema]
+    assert spark.table("public.mart_invoice_ledger").count() in count.values()
+    assert publish.recheck(wh, "prod_blue").count() == 48
+    assert publish.build(wh, raw).published  # and the next deployment goes on from there
+    assert spark.table("public.mart_invoice_ledger").count() == len(LEDGER)
+    numbers = sorted(r["deployment_no"] for r in publish.deployments(wh).collect())
+    assert numbers == list(range(1, len(numbers) + 1))
+    publish.reset(wh)
+
+
+def test_a_killed_build_is_not_the_newest(wh, raw, monkeypatch):
+    publish.build(wh, raw)
+    publish.build(wh, raw)
+
+    def killed(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(publish, "_build_ledger", killed)
+        with pytest.raises(KeyboardInterrupt):
+            publish.build(wh, raw)
+    assert len(wh.builds("prod_blue")) == 2
+    assert wh.last_build("prod_blue").name == wh.builds("prod_blue")[0]
+    assert {r["status"] for r in publish.recheck(wh, "prod_blue").collect()} == {"pass"}
+    held = wh.last_build("prod_blue").catalogue()
+    assert held.keys() == {*publish.STAGING_MODELS, MART_V1.dataset, "check_results"}
+    assert all(t["files"] > 0 and t["bytes"] > 0 for t in held.values())
+    publish.prune(wh, keep=1)
+    assert len(wh.builds("prod_blue")) == 2  # it might still be running
+    publish.prune(wh, keep=1, lease=0)
+    assert len(wh.builds("prod_blue")) == 1
+
+
 # -- hand-over ----------------------------------------------------------------------------
 
 
