@@ -12,6 +12,7 @@ is (``_graded``). A decision tree fitted to a small labelled table
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -129,10 +130,13 @@ def _graded(rows: list[list[float]], elements: list[tuple[int, bool]]) -> list[f
         if e < 0 and n >= 10 and links < 0.5 and not heading:
             text += n
             article_text += n * within
-        while e >= 0:
+        if e >= 0:
             words[e] += n
             articles[e] += n * within
-            e = elements[e][0]
+    for e in range(len(elements) - 1, 0, -1):  # inner ones come last
+        if (outer := elements[e][0]) >= 0:
+            words[outer] += words[e]
+            articles[outer] += articles[e]
     grades: list[float] = []
     for e, (outer, inside) in enumerate(elements):  # outer ones come first
         grade, share = 1.0, words[e] / max(1, total)
@@ -159,6 +163,7 @@ class _Page:
         self.rows: list[list[float]] = []
         # name, inside an article, in something that surely surrounds, heading, hinted element
         self.stack: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, -1)]
+        self.depths: Counter[str] = Counter()  # elements of the stack by name
         self.hinted: list[tuple[int, bool]] = []
         self.held: list[tuple[str, bool]] = []
         self.link: int | None = None
@@ -197,18 +202,24 @@ class _Page:
             hinted = len(self.hinted) - 1
         within = within or name in ("article", "main")
         self.stack.append((name, within, around or kind == SURELY, heading or name in _HEADINGS, hinted))
+        self.depths[name] += 1
 
     def _close_open(self, name: str) -> None:
         """End an element that the start of ``name`` ends: p by any, li by li, cells by cells."""
         last = self.stack[-1][0]
         cells = ("td", "th")
         if last == "head":  # anything to be shown ends an open head
-            self.stack.pop()
+            self._drop(1)
             return
         if last == "p" or last == name or name in cells and last in cells or name == "tr" and last in cells:
-            self.stack.pop()
+            self._drop(1)
             if name == "tr" and self.stack[-1][0] == "tr":
-                self.stack.pop()
+                self._drop(1)
+
+    def _drop(self, n: int) -> None:
+        """Take the innermost elements off the stack."""
+        self.depths.subtract(e[0] for e in self.stack[-n:])
+        del self.stack[-n:]
 
     def unclosed(self, name: str, page: str, at: int) -> int:
         """Where an element of ``RAW`` without its end tag ends, whose content begins at ``at``."""
@@ -226,10 +237,11 @@ class _Page:
         if name not in BLOCK:
             return
         self.close_block()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == name:
-                del self.stack[k:]
-                break
+        if self.depths[name] > 0:  # an end tag that opens nothing is not looked for
+            n = 1
+            while self.stack[-n][0] != name:
+                n += 1
+            self._drop(n)
         if self.link is not None and len(self.stack) < self.link:
             self.link = None
 

@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import os
 import re
+import time
 from html import unescape
 from pathlib import Path
 
@@ -355,3 +356,18 @@ def test_a_wrapper_of_most_words_leaves_the_choice_to_words_and_links():
 )
 def test_elements_without_their_end_tag(page, text):
     assert h.main_texts([page], h.trained_tree()) == [text]
+
+
+def test_deep_and_broken_pages_cost_by_their_length():
+    """Elements that never end, end tags that open nothing, thousands of hinted ones in each other."""
+    pages = [
+        "<div>" * 40_000 + "</ul>" * 40_000 + "words of text",
+        "<div class=sidebar><p>some words here and there" * 20_000,
+        "<div>" * 30_000 + "deep words" + "</div>" * 30_000,
+        "<table><tr><td>" * 15_000 + "cells",
+    ]
+    for page in pages:
+        start = time.process_time()
+        texts, rows = h.page_blocks(page)
+        assert len(texts) == len(rows) > 0
+        assert time.process_time() - start < 15
