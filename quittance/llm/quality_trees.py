@@ -152,30 +152,40 @@ def labelled_statistics(
     text_column: str = "text",
     label_column: str = "quality",
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Judged features and labels of at most ``most_rows`` labelled documents.
+    """Judged features and labels of at most ``most_rows`` labelled documents, one for each id.
 
-    Which rows are taken depends on a hash of their ids alone. Labels without an id, without a
-    value or without a document are left out.
+    Which ids are taken depends on their hash alone: those with the least hashes, looked for below a
+    threshold that twice as many pass, so few rows are sorted however many labels there are. Of
+    labels that share an id the least counts, of its documents the one with the least statistics.
+    Labels without an id, without a value or without a document are left out.
     """
     ship(docs.sparkSession)
-    chosen = (
+    known = (
         labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull())
         .select(F.col(id_column).alias("id"), F.col(label_column).cast("double").alias("label"))
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(most_rows)
+        .groupBy("id")
+        .agg(F.min("label").alias("label"))
     )
+    count, place = known.count(), F.xxhash64("id")
+    if count > 2 * most_rows:
+        known = known.where(place < F.lit(int((2 * most_rows / count - 0.5) * 2.0**64)))
+    chosen = known.orderBy(place, "id").limit(most_rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     # At most ``most_rows`` pairs of numbers are broadcast.
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text")
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(t) for _, texts in slices(batch, 1) for t in texts]
+            stats = pa.array(found, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["label", "stats"]
+                [batch.column(0), batch.column(2), stats], ["id", "label", "stats"]
             )
 
-    table = rows.mapInArrow(measured, "label double, stats array<double>").toArrow()
+    kind = docs.schema[id_column].dataType.simpleString()
+    measures = rows.mapInArrow(measured, f"id {kind}, label double, stats array<double>")
+    one = measures.groupBy("id").agg(F.min(F.struct("label", "stats")).alias("row"))
+    table = one.select("row.label", "row.stats").toArrow()
     judged = [FEATURES.index(f) for f in JUDGED]
     stats = np.array(table["stats"].to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*stats.T, table["label"].to_numpy()))  # the same trees however rows arrive

@@ -89,6 +89,17 @@ def test_training_sample_is_bounded_and_stable(spark):
     assert len(rows) == len(good) == 30 and (rows == again).all()
 
 
+def test_ids_that_repeat_do_not_stretch_the_sample(spark):
+    docs = spark.range(3000).selectExpr("id % 60 AS doc_id", "concat('some words of text ', id) AS text")
+    labels = spark.range(3000).selectExpr("id % 60 AS doc_id", "id % 2 AS quality")
+    rows, good = q.labelled_statistics(docs, labels, most_rows=10)
+    assert len(rows) == len(good) == 10
+    again, same = q.labelled_statistics(docs.repartition(7), labels.repartition(3), most_rows=10)
+    assert (rows == again).all() and (good == same).all()
+    assert len(q.labelled_statistics(docs, labels, most_rows=59)[0]) == 59
+    assert len(q.labelled_statistics(docs, labels, most_rows=100)[0]) == 60
+
+
 def test_without_labels_the_base_rules_decide(spark):
     labels = table(spark, SF_DIR, "labels").where("false")
     trees = q.fit(*q.labelled_statistics(documents(spark), labels))
@@ -110,7 +121,7 @@ def test_odd_labels(spark):
         [(1, 1), (1, 0), (None, 1), (2, None), (99, 0), (8, 1)], "doc_id bigint, quality int"
     )
     rows, good = q.labelled_statistics(documents(spark), labels)
-    assert len(rows) == 5 and sorted(good) == [0, 1, 1, 1, 1]
+    assert len(rows) == 2 and sorted(good) == [0, 1]  # one for each id that has a label and a text
     only = labels.where("quality = 1")
     assert q.fit(*q.labelled_statistics(documents(spark), only)).probability(rows).min() > 0.9
 
