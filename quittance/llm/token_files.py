@@ -123,7 +123,7 @@ def write_token_files(
     ``end_id`` is appended to every document. A missing or empty text has only that. Rows without
     a doc_id come first; rows that share one stand side by side in the order of a hash of their ids,
     so a doc_id that many rows share is spread over tasks. Other columns are never read. Each text
-    is encoded once: the ids are stored, counted and then dealt out by ranges of doc_id.
+    is encoded once: the ids are counted and stored, and then dealt out by ranges of doc_id.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -132,24 +132,32 @@ def write_token_files(
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(tokenizer).encode
+        to_ids, total = encoder(tokenizer).encode, np.zeros(size, np.int64)
+        names = ["doc", "ids", "counts"]
         for batch in batches:
             for first, texts in slices(batch, 1):
                 raw = [np.frombuffer(i + tail, "<u4").astype(width).tobytes() for i in to_ids(texts)]
+                total += np.bincount(np.frombuffer(b"".join(raw), width), minlength=size)
                 keys = batch.column(0).slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(raw, pa.binary())], ["doc", "ids"])
+                nothing = pa.nulls(len(texts), pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(raw, pa.binary()), nothing], names)
+        # A last row of each task tells how often it has seen each id.
+        own = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])]
+        yield pa.RecordBatch.from_arrays(own, names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for _, ids in slices(batch, 0):
-                total += np.bincount(np.frombuffer(b"".join(ids), width), minlength=size)
+            for counts in batch.column(0).to_pylist():
+                total += np.frombuffer(counts, np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
     keyed = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    ids = stored(keyed.mapInArrow(encoded, "doc bigint, ids binary"), "token-ids", "zstd")
-    counts = ids.select("ids").mapInArrow(counted, "id bigint, n bigint")
+    coded = stored(keyed.mapInArrow(encoded, "doc bigint, ids binary, counts binary"), "token-ids")
+    ids = coded.where(F.col("ids").isNotNull()).select("doc", "ids")
+    counts = coded.where(F.col("counts").isNotNull()).select("counts")
+    counts = counts.mapInArrow(counted, "id bigint, n bigint")
     frequencies = counts.groupBy("id").agg(F.sum("n").alias("n"))
     # One row per id that occurs, so never more than the vocabulary has.
     ordered = sorted(frequencies.collect(), key=lambda r: (-r["n"], r["id"]))
