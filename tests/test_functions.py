@@ -126,3 +126,15 @@ def test_display(spark):
     ]
     assert _apply(spark, display.short_date, [date(2024, 1, 5)], "date") == ["Jan 5, 2024"]
     assert _apply(spark, display.or_dash, [None, "x"]) == ["—", "x"]
+
+
+def test_totals_beyond_what_decimals_hold(spark):
+    """They are given as DOUBLE; smaller ones beside them stay exact."""
+    df = spark.createDataFrame(
+        [("huge", 9e19, 2_000_000_000)] * 100 + [("plain", 0.1, 3)] * 10 + [("tiny", 4e-7, 1)] * 5
+        + [("mixed", 1e12 + 0.5, 2_147_483_647), ("mixed", -0.000001, 1), ("none", None, 1)],
+        "g string, p double, q int",
+    )
+    found = dict(df.groupBy("g").agg(money.exact_sum(F.col("p"), F.col("q"))).collect())
+    assert found["huge"] == pytest.approx(1.8e31, rel=1e-12)
+    assert found == found | {"plain": 3.0, "tiny": 2e-6, "mixed": 2147483647001073741823.499999, "none": None}

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -214,3 +215,18 @@ def test_declared_checks_are_complete():
     }
     ids = [c.check_id for c in declared_checks()]
     assert len(set(ids)) == len(ids)
+
+
+def test_no_hot_key_is_ever_lost(spark):
+    """Keys with more than 2 / width of the rows, however rows are ordered and dealt out."""
+    random.seed(13)
+    for width, ordered in itertools.product([1, 8, 40], [True, False]):
+        heavy = [k for k in range(6) for _ in range(random.choice([0, 5, 400, 1500]))]
+        values = heavy + [random.randint(100, 10**6) for _ in range(6000)] + [None] * random.choice([0, 900])
+        values.sort(key=str) if ordered else random.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "k bigint").repartition(3)
+        found = find_hot_keys(df, "k", width=width)
+        counts = Counter(values)
+        wanted = {k: -(-n * width // len(values)) for k, n in counts.items() if n * width > 2 * len(values)}
+        assert found.null_parts == wanted.pop(None, 0)
+        assert dict(found.parts) == wanted
