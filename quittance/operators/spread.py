@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ class HotKeys:
 
     parts: tuple[tuple[object, int], ...] = ()
     null_parts: int = 0
+    rows: int = field(default=0, compare=False)  # of the table they were looked for in
 
     def __bool__(self) -> bool:
         return bool(self.parts) or self.null_parts > 1
@@ -88,7 +89,7 @@ def find_hot_keys(df: DataFrame, key: str, width: int | None = None) -> HotKeys:
         rows = counted.where(F.col("rows") * width > 2 * total).orderBy("item").collect()
         hot = [(r["item"], math.ceil(r["rows"] * width / total)) for r in rows]
     null_parts = math.ceil(missing * width / total) if missing * width > 2 * total else 0
-    return HotKeys(parts=tuple(hot), null_parts=null_parts)
+    return HotKeys(parts=tuple(hot), null_parts=null_parts, rows=total)
 
 
 def left_join(

@@ -47,6 +47,40 @@ def store_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_clustered(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """``store_table`` with the rows dealt over ``buckets`` by a hash of ``key``.
+
+    What is grouped by the key, or joined on it with a table of as many buckets, needs no shuffle.
+    A bucket is read by one task, so no value of the key may hold a large part of the rows.
+    """
+    spark, entry = df.sparkSession, f"quittance_{uuid.uuid4().hex}"
+    try:
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(entry)
+        return spark.table(entry)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+
+
+def read_clustered(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table that ``store_clustered`` has written, with its layout.
+
+    Spark takes a layout from its catalogue only. The entry is gone when this returns: the table is
+    resolved by then, its files belong to the folder, and no other session sees the entry's name.
+    """
+    entry, place = f"quittance_{uuid.uuid4().hex}", path.replace("\\", "\\\\").replace("'", "\\'")
+    columns = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema
+    )
+    try:
+        spark.sql(
+            f"CREATE TABLE {entry} ({columns}) USING parquet "
+            f"CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+        return spark.table(entry)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {entry}")
+
+
 def _version() -> str:
     """A name for a new version; later ones sort behind earlier ones of the same clock."""
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"

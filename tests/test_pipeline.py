@@ -372,6 +372,71 @@ def test_rebuild_is_idempotent(wh, raw):
     assert tuple(publish.idempotence(first, twice).first()) == (n, n + 1, 0, 1)
 
 
+def test_builds_are_told_apart_by_their_rows(spark):
+    ddl = "a STRING, b STRING, n DOUBLE"
+
+    def prints(*rows):
+        return tuple(publish.fingerprint(spark.createDataFrame(rows, ddl)).first())
+
+    some = [("x", None, 1.0), (None, "x", 1.0), ("x", None, 1.0)]
+    assert prints(*some) == prints(*reversed(some))
+    assert prints(*some[:2]) != prints(*some)
+    assert prints(some[0]) != prints(some[1])
+    assert prints(some[0], some[0], some[1]) != prints(some[0], some[1], some[1])
+    assert prints(("", "x", 1.0)) != prints((None, "x", 1.0)) != prints(("x", "", 1.0))
+    assert set(prints()) == {0}
+
+
+def test_equal_builds_are_compared_without_moving_rows(wh, raw, monkeypatch):
+    publish.build(wh, raw)
+    first = publish.read_ledger(wh)
+
+    def never(*_):
+        raise AssertionError("the rows agree")
+
+    monkeypatch.setattr(publish, "row_differences", never)
+    publish.build(wh, raw)
+    second = publish.read_ledger(wh)
+    assert publish.idempotence(first, second).first()["only_first"] == 0
+    empty = first.where("false")
+    assert tuple(publish.idempotence(empty, empty).first()) == (0, 0, 0, 0)
+    with pytest.raises(AssertionError, match="agree"):
+        publish.idempotence(first, empty)
+
+
+def test_a_broken_sum_is_found_by_the_reconciliation(raw, monkeypatch):
+    """The check adds amounts up by a way of its own."""
+    staged = staging.stage(raw)
+    tables = [staged[m] for m in quality.STAGING_MODELS]
+    good = marts.int_invoice_totals(*tables)
+    assert quality.unreconciled(good, tables[2]).count() == 0
+    monkeypatch.setattr(marts, "exact_sum", lambda price, times: F.sum(price))
+    broken = marts.int_invoice_totals(*tables)
+    assert {r["invoice_id"] for r in quality.unreconciled(broken, tables[2]).collect()} >= {1, 2, 3}
+
+
+def test_large_and_odd_amounts_reconcile(spark):
+    ddl = "line_item_id BIGINT, invoice_id BIGINT, product_name STRING, quantity INT, unit_price DOUBLE"
+    amounts = {
+        1: [(2, 1e25), (3, 1.5)],
+        2: [(2_000_000_000, 9e8)] * 100,
+        3: [(1, 1e-9)] * 1000 + [(None, 4.0), (4, None)],
+        4: [(2, 0.1), (1, 123456789.123456)],
+        5: [(None, 1.0)],
+    }
+    rows = [(n, i, "", q, p) for i, all_ in amounts.items() for n, (q, p) in enumerate(all_)]
+    lines = spark.createDataFrame(rows, ddl)
+    ledger = marts.invoice_line_totals(lines).withColumn(
+        "calculated_invoice_total", F.coalesce("calculated_invoice_total", F.lit(0.0))
+    )
+    assert quality.unreconciled(ledger, lines).collect() == []
+    off = ledger.withColumn("calculated_invoice_total", F.expr("calculated_invoice_total * (1 + 1e-9) + 1e-5"))
+    assert quality.unreconciled(off, lines).count() == 5
+    bad = lines.withColumn("unit_price", F.lit(float("nan")))
+    found = {r["invoice_id"] for r in quality.unreconciled(ledger, bad).collect()}
+    assert found == {1, 2, 3, 4}  # without a quantity there is no amount, whatever the price
+
+
 def test_views_and_reset(spark, wh, raw, tmp_path):
     publish.build(wh, raw)
     publish.register_views(wh)

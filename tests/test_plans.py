@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
-from sample import write_extracts
+from sample import LEDGER, write_extracts
 
 from quittance.operators.checks import run_checks, values_outside
 from quittance.operators.spread import HotKeys
-from quittance.plans import marts, quality, staging
+from quittance.plans import marts, publish, quality, staging
 from quittance.sources import csv_files
 
 
@@ -125,3 +125,34 @@ def test_checks_on_a_stored_table_shuffle_the_key_only(spark, staged, tmp_path):
     assert sorted(map(tuple, df.collect())) == sorted(
         map(tuple, run_checks(stored, checks).collect())
     )
+
+
+def test_the_ledger_over_stored_staging_moves_invoices_once(raw, wh):
+    """What is stored lies by its key, so only the customers' invoices are shuffled."""
+    build = wh.new_build("dev")
+    publish._store_staging(build, raw, HotKeys())
+    build.finish()
+    for tables in (build, wh.last_build("dev", *quality.STAGING_MODELS)):
+        staged = {m: tables.table(m) for m in quality.STAGING_MODELS}
+        totals = marts.int_invoice_totals(*staged.values())
+        assert _keys(totals) == ["customer_id"]
+        assert len(totals.collect()) == len(LEDGER)
+        for model, df in staged.items():
+            checks = quality.checks_of(quality.declared_checks(), model)
+            found = run_checks(df, checks, stored=True)
+            assert set(_keys(found)) == {"SinglePartition"}
+
+
+def test_lines_of_a_hot_invoice_are_not_put_into_one_bucket(raw, wh):
+    build = wh.new_build("dev")
+    staged = publish._store_staging(build, raw, HotKeys(parts=((1, 3),), rows=10))
+    assert build.layouts.keys() == {"stg_invoices", "stg_customers"}
+    assert sorted(_keys(marts.int_invoice_totals(*staged.values()))) == ["customer_id", "invoice_id"]
+
+
+def test_buckets_divide_the_width_of_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(publish, "shuffle_width", lambda _: 60)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores == 4
+    rows = [1, publish.BUCKET_ROWS * 7, publish.BUCKET_ROWS * 31, 10**13, 0]
+    assert [publish._buckets(spark, n) for n in rows] == [4, 10, 60, 60, 60]
