@@ -21,7 +21,11 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--csv", help="folder with the raw extracts (load)")
     parser.add_argument("--wide-ids", action="store_true", help="64-bit ids in the extracts (load)")
     parser.add_argument(
-        "--line-breaks", action="store_true", help="accept line breaks within quotes (load)"
+        "--line-breaks",
+        nargs="?",
+        const="split",
+        choices=["split", "whole"],
+        help="accept line breaks within quotes; 'whole': a task per file, stray quotes too (load)",
     )
     parser.add_argument("--keep", type=int, default=2, help="versions to keep (prune)")
     parser.add_argument("--schema", help="slot to audit, by default the live one (check)")

@@ -422,6 +422,12 @@ ORACLES: dict[str, str] = {
         _RAW, "SELECT * REPLACE (NULLIF(country, '') AS country) FROM raw_customers"
     ),
     "raw_csv_scan_line_items": _on(_RAW, "SELECT * FROM raw_line_items"),
+    "raw_csv_scan_line_breaks": _on(
+        _RAW,
+        """SELECT line_item_id, invoice_id, quantity, unit_price, CASE WHEN invoice_id % 3 = 0
+        THEN replace(product_name, ' ', chr(10)) || chr(10) || '"new", as is' ELSE product_name END
+        AS product_name FROM raw_line_items""",
+    ),
     "raw_refresh_roundtrip": _on(_RAW, "SELECT * FROM raw_customers"),
     "load_manifest": _on(
         _RAW,

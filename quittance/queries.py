@@ -120,6 +120,16 @@ def raw_csv_scan_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv_round_trip(spark, sf_dir, "invoice_line_items")
 
 
+@_query
+def raw_csv_scan_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose product names hold line breaks and quotes, from files that many tasks read."""
+    folder = work_folder(spark, "csv")
+    lines = testbed.wrapped(testbed.read_source(spark, sf_dir, "invoice_line_items"))
+    csv_files.write_csv(lines, folder)
+    schema = raw_schema("invoice_line_items", wide_ids=True)
+    return csv_files.read_csv(spark, folder, schema, line_breaks=True)
+
+
 @_query
 def raw_refresh_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "raw")

@@ -16,21 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quittance.schemas import RAW_DDL, raw_schema
-from quittance.sources import files
+from quittance.sources import files, split_csv
 
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 _CURRENT = "current"
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool | str = False
 ) -> DataFrame:
     """Read a headed CSV with a declared schema; a row that does not fit fails the job.
 
     Columns go by position. Files stay splittable, so a quoted line break is such a misfit.
-    ``line_breaks`` accepts them; one task then reads a whole file.
+    ``line_breaks`` accepts them, still with many tasks a file, where quotes enclose whole fields.
+    As ``"whole"`` it accepts other quotes too; one task then reads a whole file.
     """
-    options = {**_CSV, "mode": "FAILFAST", "multiLine": line_breaks}
+    options = {**_CSV, "mode": "FAILFAST", "multiLine": bool(line_breaks)}
+    if line_breaks and line_breaks != "whole":
+        return split_csv.read(spark, path, schema, options)
     return spark.read.schema(schema).options(**options).csv(path)
 
 
@@ -111,7 +114,7 @@ def load_raw(
     csv_folder: str,
     raw_folder: str,
     wide_ids: bool = False,
-    line_breaks: bool = False,
+    line_breaks: bool | str = False,
 ) -> dict[str, DataFrame]:
     """Load ``<csv_folder>/<table>.csv`` for all raw tables, all or none."""
     version = _version()

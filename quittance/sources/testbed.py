@@ -191,6 +191,14 @@ def skewed(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def wrapped(lines: DataFrame) -> DataFrame:
+    """Raw lines, every third invoice's with a word of the product name per line and a quoted mark."""
+    one_a_line = F.concat(F.replace("product_name", F.lit(" "), F.lit("\n")), F.lit('\n"new", as is'))
+    return lines.withColumn(
+        "product_name", F.when(_every("invoice_id", 3), one_a_line).otherwise(F.col("product_name"))
+    )
+
+
 def metered(lines: DataFrame) -> DataFrame:
     """Raw lines whose prices are ten million times smaller: far below a millionth a piece."""
     small = F.col("unit_price").cast("decimal(18,2)") / F.lit(10_000_000).cast("decimal(8,0)")
