@@ -6,19 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.llm.shared import stored
+from quittance.operators.spread import find_hot_keys, left_join
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links (a, b), each with what ``least`` says of its a; those of a hub are dealt over many tasks.
+
+    Both sides hold every a, so the left join is a plain one.
+    """
+    return left_join(links, least, "a", "b", find_hot_keys(links, "a"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least node around it instead."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the least of them instead."""
     least = links.groupBy("a").agg(F.min("b").alias("least"))
-    others = links.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    others = _with_least(links, least).where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return others.unionAll(least.select("a", F.col("least").alias("b")))
 
 
@@ -33,14 +42,16 @@ def components(links: DataFrame, purpose: str = "links") -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); ``root`` is the least node reachable.
 
     Alternating stars: each round links nodes to smaller ones, which halves paths, until nothing
-    changes. Links are never gathered: a round is a partial minimum per node and a join, whose
-    large partitions adaptive execution may split, and its result is a stored table.
+    changes. Links are never gathered: a round is a minimum per node, taken on every task first, and
+    a join in which the links of a node that has a large part of them are dealt over as many tasks
+    as they need. Its result is a stored table.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = stored(links.distinct(), purpose)
     mark = _mark(links)
     while True:
-        links = stored(_small_star(_large_star(links)).distinct(), purpose)
+        larger = stored(_large_star(links), purpose)
+        links = stored(_small_star(larger).distinct(), purpose)
         before, mark = mark, _mark(links)
         if mark == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(

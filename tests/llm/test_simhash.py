@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 import xxhash
 from edges import TEXTS, documents, no_documents
+from pyspark.sql import functions as F
 
 from quittance.llm import simhash
-from quittance.llm.components import components
+from quittance.llm.components import _with_least, components
 from quittance.llm.queries import QUERIES, table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -132,3 +133,29 @@ def test_query(spark):
 def test_a_forest_links_a_dense_bucket_without_all_pairs():
     members = np.array(sorted({signed(sum(1 << b for b in c)) for c in itertools.combinations(range(12), 2)}))
     assert len(simhash._forest(members, 4)) == len(members) - 1
+
+
+def test_the_links_of_a_hub_are_dealt_over_tasks(spark):
+    """One node with most of the links is no one task's, and the components stay right."""
+    hub = [(0, n) for n in range(1, 4000)]
+    chain = [(10_000 + n, 10_001 + n) for n in range(60)]
+    links = spark.createDataFrame(hub + chain, "b BIGINT, a BIGINT").repartition(4)
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        joined = _with_least(both, both.groupBy("a").agg(F.min("b").alias("least")))
+        tasks = joined.where("a = 0").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == len(hub)
+        assert max(r["count"] for r in tasks) < len(hub) / 2
+        root = dict(components(links).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert root == {n: 0 for n in range(4000)} | {10_000 + n: 10_000 for n in range(61)}
