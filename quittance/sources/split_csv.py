@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 _RANGE = ["file", "start"]
 # A piece that ends or goes through a record of an earlier range, one that begins a record.
-_WHOLE, _HEAD, _TAIL = 0, 1, 2
-_PIECES = "text string, file string, start bigint, piece int, first boolean"
+_HEAD, _TAIL = 1, 2
+_PIECES = "text string, number bigint, piece int, first boolean"
 #: A record whose quotes stand around whole fields, doubled within them.
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",\n]*+)'
 _RECORD = rf"\A{_FIELD}(?:,{_FIELD})*+\z"
@@ -36,75 +36,134 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ranges(lines: DataFrame) -> DataFrame:
-    """(file, start, inside, left): whether a range begins and ends within quotes; a row per range."""
+    """(file, start, number, inside, left): whether a range begins and ends within quotes.
+
+    A row per range, numbered in the order of files and their ranges.
+    """
     quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
     counted = lines.groupBy(*_RANGE).agg(F.sum(quotes).alias("quotes"))
     so_far = F.sum("quotes").over(Window.partitionBy("file").orderBy("start"))
+    # One row per range meets in one place, as in the broadcast.
+    number = F.row_number().over(Window.orderBy(*_RANGE)).cast("long")
     return counted.select(
         *_RANGE,
+        number.alias("number"),
         ((so_far - F.col("quotes")) % 2 == 1).alias("inside"),
         (so_far % 2 == 1).alias("left"),
     )
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole records, and the pieces of those that begin or end in another range."""
-    place, odd, opened, first, lead = None, False, None, False, False
+def _placed(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(text, place): the lines of ``ranges``; a place says which range, if inside and if a file's first.
 
-    def rows(texts: list, piece: int, is_first: bool = False) -> pa.RecordBatch:
-        n = len(texts)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(texts, pa.string()), pa.array([place[0]] * n, pa.string()),
-                pa.array([place[1]] * n, pa.int64()), pa.array([piece] * n, pa.int32()),
-                pa.array([is_first] * n, pa.bool_()),
-            ],
-            names=["text", "file", "start", "piece", "first"],
-        )
+    A broadcast join leaves the lines of a task in their order.
+    """
+    place = F.col("number") * 4 + F.col("inside").cast("long") * 2 + (F.col("start") == 0).cast("long")
+    return lines.join(F.broadcast(ranges.select(*_RANGE, place.alias("place"))), _RANGE).select("text", "place")
 
-    def unfinished() -> Iterator[pa.RecordBatch]:
-        if opened is not None:
-            yield rows(["\n".join(opened)], _HEAD if lead else _TAIL, first)
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array | None, np.ndarray | None]]:
+    """(place, lines, whether quotes are open before each and after the last), and without lines at its end."""
+    place, odd = None, False
     for batch in batches:
-        files, starts = batch.column(1), batch.column(2).to_numpy()
-        names = files.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero((np.diff(names) != 0) | (np.diff(starts) != 0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(starts)]):
+        places = batch.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(places)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
             if a == b:
                 continue
-            here = (files[int(a)].as_py(), int(starts[a]))
-            begins = here != place
-            if begins:
-                yield from unfinished()
-                place, odd = here, bool(batch.column(3)[int(a)].as_py())
-                opened, lead, first = ([] if odd else None), odd, False
+            here = int(places[a])
+            if here != place:
+                if place is not None:
+                    yield place, None, None
+                place, odd = here, bool(here & 2)
             texts = batch.column(0).slice(a, b - a)
-            ends = (np.cumsum(pc.count_substring(texts, '"').to_numpy()) + odd) % 2 == 1
-            before = np.concatenate([[odd], ends[:-1]])
-            odd = bool(ends[-1])
-            alone = ~before & ~ends
-            if begins and here[1] == 0 and alone[0]:
-                alone[0] = False
-                yield rows([texts[0].as_py()], _WHOLE, True)
-            whole = texts.filter(pa.array(alone))
-            if len(whole):
-                yield rows(whole, _WHOLE)
-            for i in np.flatnonzero(before | ends):
-                if not before[i]:
-                    opened, lead, first = [], False, bool(begins and here[1] == 0 and i == 0)
-                opened.append(texts[int(i)].as_py())
-                if before[i] and not ends[i]:
-                    yield rows(["\n".join(opened)], _HEAD if lead else _WHOLE, first)
-                    opened, lead, first = None, False, False
-    yield from unfinished()
+            quotes = pc.count_substring(texts, '"').to_numpy(zero_copy_only=False)
+            within = np.cumsum(np.concatenate([[int(odd)], quotes])) % 2 == 1
+            odd = bool(within[-1])
+            yield place, texts, within
+    if place is not None:
+        yield place, None, None
+
+
+def _text(lines: pa.Array) -> str:
+    return "\n".join(lines.to_pylist())
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records that begin and end in the same range, but for the first of a file."""
+    opened, lead, first, begun = None, False, False, None
+    for place, texts, within in _runs(batches):
+        if texts is None:
+            opened, begun = None, None
+            continue
+        if place != begun:  # the end of another range's record comes first
+            opened, lead, first, begun = None, bool(place & 2), bool(place & 1), place
+        at = 0
+        if within[0]:
+            closed = np.flatnonzero(~within[1:])
+            at = int(closed[0]) + 1 if len(closed) else len(texts)
+            if not lead:
+                opened.append(_text(texts.slice(0, at)))
+            if not len(closed):
+                continue
+            if not lead and not first:
+                yield pa.RecordBatch.from_arrays([pa.array(["\n".join(opened)], pa.string())], ["text"])
+            if not lead:
+                first = False
+            opened, lead = None, False
+        # Where records begin; behind the last whole one stands what is still open.
+        starts = at + np.flatnonzero(~within[at:])
+        if len(starts) and starts[-1] < len(texts):
+            opened = [_text(texts.slice(int(starts[-1])))]
+        skipped = int(first and len(starts) > 1)
+        if len(starts) > 1 + skipped:
+            lists = pa.ListArray.from_arrays(pa.array(starts[skipped:], pa.int32()), texts)
+            yield pa.RecordBatch.from_arrays([pc.binary_join(lists, "\n")], ["text"])
+        first = first and not skipped
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a range holds of records that begin or end in another one."""
+    opened, lead, first, begun = None, False, False, None
+
+    def row(piece: int) -> pa.RecordBatch:
+        values = {"text": "\n".join(opened), "number": begun >> 2, "piece": piece, "first": first}
+        return pa.RecordBatch.from_pylist([values], schema=kind)
+
+    kind = pa.schema(
+        [("text", pa.string()), ("number", pa.int64()), ("piece", pa.int32()), ("first", pa.bool_())]
+    )
+    for place, texts, within in _runs(batches):
+        if texts is None:
+            if opened is not None:
+                yield row(_HEAD if lead else _TAIL)
+            opened, begun = None, None
+            continue
+        fresh = place != begun
+        if fresh:
+            opened, lead, first, begun = ([] if place & 2 else None), bool(place & 2), False, place
+        if lead:
+            closed = np.flatnonzero(~within[1:])
+            opened.append(_text(texts.slice(0, int(closed[0]) + 1 if len(closed) else len(texts))))
+            if not len(closed):
+                continue
+            yield row(_HEAD)
+            opened, lead = None, False
+        if not within[-1]:
+            opened = None
+            continue
+        starts = np.flatnonzero(~within[:-1])
+        if len(starts):
+            opened, first = [_text(texts.slice(int(starts[-1])))], bool(fresh and place & 1 and not starts[-1])
+        else:
+            opened.append(_text(texts))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
     """(text, first) of the records that cross ranges: a tail and the heads that follow it."""
-    order = Window.partitionBy("file").orderBy("start", "piece")
+    order = Window.partitionBy("file").orderBy("number", "piece")
     numbered = pieces.withColumn("record", F.sum((F.col("piece") == _TAIL).cast("int")).over(order))
-    in_order = F.sort_array(F.collect_list(F.struct("start", "piece", "text")))
+    in_order = F.sort_array(F.collect_list(F.struct("number", "piece", "text")))
     return numbered.groupBy("file", "record").agg(
         F.array_join(F.transform(in_order, lambda p: p["text"]), "\n").alias("text"),
         F.max("first").alias("first"),
@@ -123,20 +182,18 @@ def read(
     """Headed CSV files, quoted fields of which may hold line breaks.
 
     Quotes have to enclose whole fields and be doubled within them; anything else fails. The table
-    of ranges that is broadcast has a row for each one that begins or ends within quotes: at most one
-    per ``spark.sql.files.maxPartitionBytes`` of input.
+    of ranges that is broadcast has a row for each one: one per file and
+    ``spark.sql.files.maxPartitionBytes`` of it.
     """
     lines = _lines(spark, path)
     ranges = _ranges(lines)
-    # A broadcast join leaves the lines of a task in their order.
-    inside = F.broadcast(ranges.where("inside").select(*_RANGE, "inside"))
-    whole = lines.join(inside, _RANGE, "left").select("text", *_RANGE, "inside")
-    whole = whole.mapInArrow(_records, _PIECES).where(f"piece = {_WHOLE}").select("text", "first")
-    crossed = F.broadcast(ranges.where("inside OR left").select(*_RANGE, "inside"))
-    pieces = lines.join(crossed, _RANGE).select("text", *_RANGE, "inside")
-    pieces = pieces.mapInArrow(_records, _PIECES).where(f"piece <> {_WHOLE}")
-    records = whole.unionAll(_joined(pieces)).where("NOT first")
-    text = F.regexp_replace("text", r"\r\z", "")
+    whole = _placed(lines, ranges).mapInArrow(_whole, "text string")
+    crossed = ranges.where("inside OR left")
+    pieces = _placed(lines, crossed).mapInArrow(_pieces, _PIECES)
+    files = F.broadcast(crossed.select("number", "file"))
+    records = whole.unionAll(_joined(pieces.join(files, "number")).where("NOT first").select("text"))
+    text = F.col("text")
+    text = F.when(F.endswith(text, F.lit("\r")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     settings = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if k != "header"}
     row = F.from_csv(_checked(F.col("text")), ddl, settings)

@@ -80,3 +80,24 @@ def test_a_record_that_does_not_fit_fails(spark, tmp_path, line):
 def test_files_without_rows(spark, tmp_path, text):
     (tmp_path / "in.csv").write_text(text)
     assert read_csv(spark, str(tmp_path / "in.csv"), SCHEMA, line_breaks=True).collect() == []
+
+
+def test_records_over_batches_and_ranges_are_put_together_without_naming_files_per_line(spark, tmp_path, ranges):
+    """What a task hands to Python is a line and a number; batches end anywhere in a record."""
+    name, body = "spark.sql.execution.arrow.maxRecordsPerBatch", "".join(
+        f'{n},"{"é\n" * (n % 5)}",{n}\n' + '9,"a ""b""\n\n,c",\n' * (n % 3) for n in range(60)
+    )
+    (tmp_path / "in.csv").write_text(f'"n\n",a,b\n{body}')
+    whole = _rows(read_csv(spark, str(tmp_path / "in.csv"), SCHEMA, line_breaks="whole"))
+    before = spark.conf.get(name)
+    try:
+        for batch in ("1", "2", "7", "1000"):
+            spark.conf.set(name, batch)
+            for size in (40, 333, 10**6):
+                ranges(size)
+                got = read_csv(spark, str(tmp_path / "in.csv"), SCHEMA, line_breaks=True)
+                assert _rows(got) == whole
+    finally:
+        spark.conf.set(name, before)
+    handed = [x for x in got._jdf.queryExecution().toString().splitlines() if "MapInArrow" in x and "(" in x]
+    assert handed and not any("file#" in x for x in handed)
