@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -9,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quittance.operators.spread import HotKeys
+
 REPORT_DDL = (
     "check_id STRING, model STRING, column_name STRING, kind STRING, failures BIGINT, status STRING"
 )
@@ -158,15 +161,27 @@ def run_checks(
     return reduce(DataFrame.unionAll, parts + [_counted(df, *p) for p in passes[1:]])
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Key values held by more than one row, with the number of rows."""
+#: Rows that a task of ``duplicate_keys`` counts about.
+ROWS_A_TASK = 500_000
+
+
+def duplicate_keys(df: DataFrame, keys: Sequence[str], hot: HotKeys | None = None) -> DataFrame:
+    """Key values held by more than one row, with the number of rows.
+
+    With ``hot``, the frequent keys of a column in ``keys``, the rows are dealt over as many tasks as
+    their number asks for, so that none holds more keys the larger the table. A frequent key is
+    counted part by part first.
+    """
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return (
-        df.where(complete)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n_records"))
-        .where("n_records > 1")
-    )
+    rows, n = df.where(complete).select(*keys), F.count(F.lit(1))
+    tasks = math.ceil(hot.rows / ROWS_A_TASK) if hot is not None else 1
+    if tasks > 1 and hot:
+        rows = rows.withColumn("_part", F.spark_partition_id())
+        rows = rows.repartition(tasks, *keys, "_part").groupBy(*keys, "_part").agg(n.alias("_rows"))
+        n = F.sum("_rows")
+    if tasks > 1:
+        rows = rows.repartition(tasks, *keys)
+    return rows.groupBy(*keys).agg(n.alias("n_records")).where("n_records > 1")
 
 
 def values_outside(df: DataFrame, accepted: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:

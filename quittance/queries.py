@@ -227,21 +227,26 @@ def mart_invoice_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated keys of the raw tables, which the staging and ledger keys must not have."""
     raw = testbed.read_sources(spark, sf_dir)
-    staged, ledger = _models(spark, sf_dir)
-    relations = [(f"raw.{t}", raw[t], RAW_KEYS[t]) for t in raw]
-    relations += [
-        ("stg_invoices", staged["stg_invoices"], ["invoice_id"]),
-        ("stg_customers", staged["stg_customers"], ["customer_id"]),
-        ("mart_invoice_ledger", ledger, ["invoice_id"]),
+    owners = raw | {"invoice_line_items": testbed.line_owners(spark, sf_dir)}
+    hot = {t: find_hot_keys(owners[t], RAW_KEYS[t][0]) for t in raw}
+    staged = staging.stage(raw, hot["invoice_line_items"])
+    tables = [staged[m] for m in quality.STAGING_MODELS]
+    ledger = marts.int_invoice_totals(*tables, _hot_customers(spark, sf_dir))
+    relations = [(f"raw.{t}", raw[t], RAW_KEYS[t], hot[t]) for t in raw]
+    even = HotKeys(rows=hot["invoices"].rows)
+    relations += [  # the staging tables lie by their keys already
+        ("stg_invoices", staged["stg_invoices"], ["invoice_id"], None),
+        ("stg_customers", staged["stg_customers"], ["customer_id"], None),
+        ("mart_invoice_ledger", ledger, ["invoice_id"], even),
     ]
     found = [
-        duplicate_keys(df, keys).select(
+        duplicate_keys(df, keys, hot_keys).select(
             F.lit(model).alias("model"),
             F.lit(",".join(keys)).alias("column_name"),
             F.concat_ws(",", *keys).alias("key_value"),
             "n_records",
         )
-        for model, df, keys in relations
+        for model, df, keys, hot_keys in relations
     ]
     return reduce(DataFrame.unionAll, found)
 

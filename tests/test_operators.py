@@ -188,6 +188,20 @@ def test_several_unique_columns(relation):
     assert got == {"unique_m_id": 2, "unique_m_kind": 3, "not_null_m_kind": 1}
 
 
+@pytest.mark.parametrize("hot_rows", [0, 30])
+def test_repeated_keys_are_counted_by_as_many_tasks_as_the_rows_ask_for(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(C, "ROWS_A_TASK", 20)
+    rows = [(n, None if n % 7 == 0 else n % 3) for n in range(100)] + [(5, 2), (6, 0), (6, 0), (None, 1)]
+    df = spark.createDataFrame(rows + [(8, 2)] * hot_rows, "id bigint, line int")
+    hot = find_hot_keys(df, "id", width=16)
+    assert bool(hot) == bool(hot_rows) and hot.rows == len(rows) + hot_rows
+    got = C.duplicate_keys(df, ["id", "line"], hot)
+    expected = [(5, 2, 2), (6, 0, 3), (8, 2, hot_rows + 1)][: 2 + bool(hot_rows)]
+    assert _rows(got) == expected == _rows(C.duplicate_keys(df, ["id", "line"]))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert f"{-(-hot.rows // 20)}), REPARTITION_BY_NUM" in plan
+
+
 def test_violators(spark, relation):
     assert _rows(C.duplicate_keys(relation, ["id"])) == [(1, 2), (3, 3)]
     outside = C.values_outside(relation, [("m", "kind", ["a", "b"]), ("n", "kind", ["z"])])
