@@ -26,6 +26,10 @@ from quittance.llm.shared import ship, slices
 from quittance.llm.units import byte_characters, encoder
 
 
+#: Units in a generation of a worker: in the pipeline it lives on beside those of all other stages.
+REMEMBERED_UNITS = 100_000
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The tokens of a rank file: lines of a base64 token and its rank."""
     with open(path, "rb") as f:
@@ -169,7 +173,7 @@ def encode(
     last = len(kept)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, table = encoder(tokenizer).encode, byte_table(tokenizer)
+        to_ids, table = encoder(tokenizer, REMEMBERED_UNITS).encode, byte_table(tokenizer)
         for batch in batches:
             for first, texts in slices(batch, last):
                 raw = to_ids(texts)

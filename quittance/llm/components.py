@@ -9,6 +9,11 @@ from quittance.llm.shared import stored
 from quittance.operators.spread import find_hot_keys, left_join
 
 
+#: Links that a stored file of a round holds about, and the files that there may be of fewer links.
+LINKS_A_FILE = 100_000
+FEW_FILES = 16
+
+
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     """Links (a, b), each with what ``least`` says of its a; those of a hub are dealt over many tasks.
 
@@ -44,14 +49,17 @@ def components(links: DataFrame, purpose: str = "links") -> DataFrame:
     Alternating stars: each round links nodes to smaller ones, which halves paths, until nothing
     changes. Links are never gathered: a round is a minimum per node, taken on every task first, and
     a join in which the links of a node that has a large part of them are dealt over as many tasks
-    as they need. Its result is a stored table.
+    as they need. Its result is a stored table of no more files than its links ask for: each costs
+    its executor a few processes, so many tiny ones cost more than the links.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = stored(links.distinct(), purpose)
     mark = _mark(links)
     while True:
-        larger = stored(_large_star(links), purpose)
-        links = stored(_small_star(larger).distinct(), purpose)
+        # Neither star makes more than twice as many links, however many partitions they lie in.
+        files = max(FEW_FILES, -(-mark[0] // LINKS_A_FILE))
+        larger = stored(_large_star(links).coalesce(files), purpose)
+        links = stored(_small_star(larger).distinct().coalesce(files), purpose)
         before, mark = mark, _mark(links)
         if mark == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(

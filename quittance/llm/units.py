@@ -62,13 +62,17 @@ def _spaced(unit: str) -> str:
 
 
 class UnitEncoder:
-    """Ids of texts as unsigned 32-bit numbers; ``tokenizer`` is the text of a tokenizer's JSON."""
+    """Ids of texts as unsigned 32-bit numbers; ``tokenizer`` is the text of a tokenizer's JSON.
 
-    def __init__(self, tokenizer: str):
+    ``remembered`` bounds the units of a generation in place of ``REMEMBERED_UNITS``.
+    """
+
+    def __init__(self, tokenizer: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self._tokenizer = Tokenizer.from_str(tokenizer)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._remembered = remembered
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
@@ -156,7 +160,7 @@ class UnitEncoder:
 
     def _parts(self, texts: list[str | None]) -> Iterable[list[bytes]]:
         """The ids of each text in parts, in order."""
-        if len(self._known) > REMEMBERED_UNITS:
+        if len(self._known) > (self._remembered or REMEMBERED_UNITS):
             self._before, self._known, self._marks = self._known, {}, {}
         known = self._known
         cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
@@ -187,6 +191,6 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer: str) -> UnitEncoder:
+def encoder(tokenizer: str, remembered: int | None = None) -> UnitEncoder:
     """One encoder per worker process and tokenizer, kept from task to task."""
-    return UnitEncoder(tokenizer)
+    return UnitEncoder(tokenizer, remembered)

@@ -159,3 +159,29 @@ def test_the_links_of_a_hub_are_dealt_over_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert root == {n: 0 for n in range(4000)} | {10_000 + n: 10_000 for n in range(61)}
+
+
+def test_rounds_of_few_links_are_stored_in_few_files(spark, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, stored = {k: spark.conf.get(k) for k in conf}, [], components.__globals__["stored"]
+
+    def seen(df, purpose):
+        files.append(len((kept := stored(df, purpose)).inputFiles()))
+        return kept
+
+    monkeypatch.setitem(components.__globals__, "stored", seen)
+    monkeypatch.setitem(components.__globals__, "FEW_FILES", 3)
+    links = [(n, n + 1) for n in range(60)] + [(500, n) for n in range(501, 700)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        root = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert root == {n: 0 for n in range(61)} | {n: 500 for n in range(500, 700)}
+        assert len(files) > 4 and max(files[1:]) <= 3  # the first table holds the links as they came
+        files.clear()
+        monkeypatch.setitem(components.__globals__, "LINKS_A_FILE", 20)
+        components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert max(files[1:]) > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quittance.llm.units import UnitEncoder
+from quittance.llm import byte_bpe
+from quittance.llm.units import REMEMBERED_UNITS, UnitEncoder
 
 BITS = [
     " ", "  ", "\n", "\r\n", "\t", "a", "É", "é", "'s", "'", "1", "<|endoftext|>", ".", ",", "　",
@@ -38,3 +39,14 @@ def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr("quittance.llm.units.REMEMBERED_UNITS", 10)
     small = UnitEncoder(text)
     assert [small.encode([t])[0] for t in texts] == expected
+
+
+def test_the_byte_level_encoder_of_a_worker_remembers_fewer_units_and_gives_the_same_ids():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        text = f.read()
+    texts = [f"one{i} two{i % 7} three{i % 50}, four{i * i}." for i in range(300)]
+    few = UnitEncoder(text, remembered=10)
+    assert [few.encode([t])[0] for t in texts] == UnitEncoder(text).encode(texts)
+    assert len(few._known) + len(few._before) < 60
+    assert byte_bpe.REMEMBERED_UNITS < REMEMBERED_UNITS
+    assert byte_bpe.encoder(text, byte_bpe.REMEMBERED_UNITS)._remembered == byte_bpe.REMEMBERED_UNITS
