@@ -23,3 +23,11 @@ def spark():
 @pytest.fixture
 def wh(spark, tmp_path):
     return Warehouse(spark, str(tmp_path / "warehouse"))
+
+
+@pytest.fixture(autouse=True)
+def no_public_views_left(request):
+    """All tests share one session's catalogue: a view that one leaves would be foreign to the next."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").sql("DROP DATABASE IF EXISTS public CASCADE")
