@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quittance.llm.shared import ship, slices, stored
-from quittance.llm.units import encoder
+from quittance.llm.shared import runs, ship, slices, stored
+from quittance.llm.units import column_encoder
 
 MAGIC = 0x31465451
 #: A block is closed once it holds this many ids.
 BLOCK_IDS = 1 << 18
+#: Bytes of text encoded in one go: the more, the fewer units that differ in each.
+COLUMN_BYTES = 1 << 23
 
 #: For each control byte, the lengths of its four ranks.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -129,18 +131,24 @@ def write_token_files(
     ship(spark)
     size = _vocabulary_size(tokenizer, end_id)
     width = "<u2" if size <= 1 << 16 else "<u4"
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, total = encoder(tokenizer).encode, np.zeros(size, np.int64)
+        to_ids, total = column_encoder(tokenizer).encode_column, np.zeros(size, np.int64)
         names = ["doc", "ids", "counts"]
         for batch in batches:
-            for first, texts in slices(batch, 1):
-                raw = [np.frombuffer(i + tail, "<u4").astype(width).tobytes() for i in to_ids(texts)]
-                total += np.bincount(np.frombuffer(b"".join(raw), width), minlength=size)
-                keys = batch.column(0).slice(first, len(texts))
-                nothing = pa.nulls(len(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(raw, pa.binary()), nothing], names)
+            for first, rows in runs(batch.column(1), COLUMN_BYTES):
+                ids, lengths = to_ids(batch.column(1).slice(first, rows))
+                ends = np.cumsum(lengths)
+                if end_id is not None:
+                    ids = np.insert(ids, ends, end_id)
+                    ends += np.arange(1, rows + 1)
+                total += np.bincount(ids, minlength=size)
+                offsets = np.append(0, ends * np.dtype(width).itemsize)
+                buffers = [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(width))]
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, buffers)
+                keys = batch.column(0).slice(first, rows)
+                nothing = pa.nulls(rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, raw.cast(pa.binary()), nothing], names)
         # A last row of each task tells how often it has seen each id.
         own = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])]
         yield pa.RecordBatch.from_arrays(own, names)

@@ -9,6 +9,9 @@ faster than encoding whole texts, and a very long text never reaches the library
 A word of Latin letters is a single piece. Its merges are asked of the library's model directly,
 which saves the steps before; whether that gives what the whole tokenizer gives is tried out on
 sample words first.
+
+A whole column of texts goes the same way without a Python object for each unit: Arrow makes the
+units distinct and lays out the ids of each where it occurs.
 """
 
 from __future__ import annotations
@@ -16,10 +19,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Characters that no Unicode version takes for white space, a control or a combining mark.
@@ -31,6 +37,8 @@ _CLEAN = re.compile(f"\n?{_VISIBLE}(?:[^ \n]*{_VISIBLE})?")
 #: (İ would gain a mark).
 _WORD = re.compile("(\n?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.;:!?)]*)")
 _ENDS_CLEAN = re.compile(f"{_VISIBLE}$")
+#: A word and its marks behind the space or line break that a column's unit begins with.
+_BEHIND = "^(?P<word>[ \n][A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[,.;:!?)]*)$"
 _SAMPLES = "a I the Word WORDS été Ärger naïve ŒUVRE Straße łódź encyclopaedia xyzzy Çığ ǅ".split()
 
 #: Longer units are encoded each time they come up.
@@ -190,6 +198,105 @@ class UnitEncoder:
         return [sum(map(len, parts)) // 4 for parts in self._parts(texts)]
 
 
+def _strings(values: pa.Array) -> list:
+    """The strings or bytes of an array, made by Arrow in one go."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class ColumnEncoder(UnitEncoder):
+    """Ids of columns of texts. A unit begins with the space or line break it stands behind.
+
+    Only the first unit of a text has neither. A text that must not be cut at each of them is left
+    to the encoder of single texts. Of units that are words only the folded word is remembered.
+    """
+
+    def __init__(self, tokenizer: str):
+        super().__init__(tokenizer)
+        self._units: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _look_up(self, units: list[str], make: Callable[[list[str]], list]) -> list[bytes | None]:
+        """The ids of different units; ``make`` gives those of new ones, or None."""
+        ids = list(map(self._units.get, units))
+        new = [u for u, i in zip(units, ids, strict=True) if i is None]
+        older = list(map(self._older.get, new))
+        made = iter(make([u for u, i in zip(new, older, strict=True) if i is None]))
+        got = [next(made) if i is None else i for i in older]
+        self._units.update(
+            (u, i)
+            for u, i in zip(new, got, strict=True)
+            if i is not None and len(u) <= REMEMBERED_CHARS
+        )
+        found = iter(got)
+        return [next(found) if i is None else i for i in ids]
+
+    def _new_words(self, units: list[str]) -> list[bytes]:
+        return [self._word(u[0].strip(" "), u[1:]) for u in units]
+
+    def _new_units(self, units: list[str]) -> list[bytes | None]:
+        """The ids of units that are no words; None where a text must not be cut beside one."""
+        clean = [
+            _CLEAN.fullmatch(u.removeprefix(" ")) if u[:1] in (" ", "\n") else _ENDS_CLEAN.search(u)
+            for u in units
+        ]
+        ids = iter(self._encoded(u for u, c in zip(units, clean, strict=True) if c))
+        return [next(ids) if c else None for c in clean]
+
+    def _ids_of_units(self, units: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The ids of different units in some order, null as in ``_new_units``; the place of each."""
+        split = pc.extract_regex(units, _BEHIND)
+        words = pc.and_(split.is_valid(), pc.less_equal(pc.utf8_length(units), REMEMBERED_CHARS))
+        if not self._direct:
+            words = pc.and_(words, False)
+        split, rest = split.filter(words), units.filter(pc.invert(words))
+        folded = pc.utf8_lower(split.field(0)) if self._direct and self._direct[1] else split.field(0)
+        heads, tails = folded.dictionary_encode(), split.field(1).dictionary_encode()
+        ids = pa.array(self._look_up(_strings(heads.dictionary), self._new_words), pa.binary())
+        marks = pa.array(self._encoded(_strings(tails.dictionary)), pa.binary())
+        ids = pc.binary_join_element_wise(ids.take(heads.indices), marks.take(tails.indices), b"")
+        others = pa.array(self._look_up(_strings(rest), self._new_units), pa.binary())
+        words = words.to_numpy(zero_copy_only=False)
+        place = np.where(words, np.cumsum(words), words.sum() + np.cumsum(~words)) - 1
+        return pa.concat_arrays([ids, others]), place
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in order, how many each text has); a missing text is an empty one."""
+        if len(self._units) > (self._remembered or REMEMBERED_UNITS):
+            self._older, self._units = self._units, {}
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets[:-1] - offsets[0]
+        ends = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        first = np.searchsorted(ends, starts)
+        cuts = np.append(np.insert(ends, first, starts), len(data)).astype(np.int32)
+        first += np.arange(len(starts))  # where in ``cuts`` each text begins
+        units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+        units = units.dictionary_encode()
+        ids, place = self._ids_of_units(units.dictionary)
+        at = place[units.indices.to_numpy()]
+        if ids.null_count:
+            whole = np.logical_or.reduceat(ids.is_null().to_numpy(zero_copy_only=False)[at], first)
+            at[np.repeat(whole, np.diff(first, append=len(at)))] = len(ids)
+            at[first[whole]] = np.arange(len(ids) + 1, len(ids) + 1 + whole.sum())
+            texts = self.encode(texts.filter(pa.array(whole)).to_pylist())
+            ids = pa.concat_arrays([ids, pa.array([b"", *texts], pa.binary())])
+        laid = ids.cast(pa.large_binary()).take(pa.array(at))
+        _, offsets, data = laid.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(at) + 1] // 4
+        joined = np.frombuffer(data or b"", "<u4", offsets[-1])
+        return joined, np.diff(offsets[first], append=offsets[-1])
+
+
+@lru_cache(maxsize=2)
+def column_encoder(tokenizer: str) -> ColumnEncoder:
+    """One encoder per worker process and tokenizer, kept from task to task."""
+    return ColumnEncoder(tokenizer)
+
+
 @lru_cache(maxsize=2)
 def encoder(tokenizer: str, remembered: int | None = None) -> UnitEncoder:
     """One encoder per worker process and tokenizer, kept from task to task."""

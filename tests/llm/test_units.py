@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
 from quittance.llm import byte_bpe
-from quittance.llm.units import REMEMBERED_UNITS, UnitEncoder
+from quittance.llm.units import _BEHIND, REMEMBERED_UNITS, ColumnEncoder, UnitEncoder
 
 BITS = [
     " ", "  ", "\n", "\r\n", "\t", "a", "É", "é", "'s", "'", "1", "<|endoftext|>", ".", ",", "　",
@@ -50,3 +52,50 @@ def test_the_byte_level_encoder_of_a_worker_remembers_fewer_units_and_gives_the_
     assert len(few._known) + len(few._before) < 60
     assert byte_bpe.REMEMBERED_UNITS < REMEMBERED_UNITS
     assert byte_bpe.encoder(text, byte_bpe.REMEMBERED_UNITS)._remembered == byte_bpe.REMEMBERED_UNITS
+
+
+def ids_of(encoder, texts, at_once):
+    """The ids of each text, from columns that begin inside an array and hold ``at_once`` texts."""
+    found = []
+    for k in range(0, len(texts), at_once):
+        column = pa.array(["before", None, *texts[k : k + at_once]], pa.string()).slice(2)
+        ids, lengths = encoder.encode_column(column)
+        assert len(lengths) == len(column) and lengths.sum() == len(ids)
+        found += [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+    return found
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_columns_give_the_ids_of_each_whole_text(name, monkeypatch):
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        text = f.read()
+    random.seed(11)
+    bits = BITS + [" The", " mot,", "\nWord.", " ÉTÉ?!", " one1", "\nx,y", " " + "w" * 50] * 8
+    texts = ["".join(random.choices(bits, k=random.randint(0, 20))) for _ in range(3000)]
+    texts += ["Le chat. La\nfin, des mots! " * 50, "x" * 10_000, "mot " * 5000, "", None, "mot"]
+    library = Tokenizer.from_str(text)
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    columns = ColumnEncoder(text)
+    assert ids_of(columns, texts, len(texts)) == expected
+    assert ids_of(columns, texts, 7) == expected
+    assert [len(part) for part in columns.encode_column(pa.array([], pa.string()))] == [0, 0]
+    monkeypatch.setattr("quittance.llm.units.REMEMBERED_UNITS", 10)
+    assert ids_of(ColumnEncoder(text), texts, 5) == expected
+
+
+def test_a_column_asks_the_library_once_for_each_word(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        columns = ColumnEncoder(f.read())
+    asked = []
+    plain = columns._word
+    monkeypatch.setattr(columns, "_word", lambda line, word: asked.append(word) or plain(line, word))
+    texts = [f"First some Words, words! WORDS some{end}" for end in ("", ".", "?!", ",") * 50]
+    ids_of(columns, texts, 100)
+    assert sorted(asked) == ["some", "words"]
+
+
+def test_letters_of_words_fold_as_in_python():
+    letters = [c for c in map(chr, range(0x250)) if pc.match_substring_regex([f" {c}"], _BEHIND)[0].as_py()]
+    letters = [c for c in letters if c.isalpha()]
+    assert len(letters) > 400
+    assert pc.utf8_lower(pa.array(letters)).to_pylist() == [c.lower() for c in letters]
