@@ -10,8 +10,10 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edges import documents, no_documents
+from pyspark.sql import functions as F
 from test_quality import brute_counts
 from test_simhash import brute_components, brute_fingerprint
 from test_spaced_seeds import brute as brute_overlaps
@@ -71,6 +73,29 @@ def test_stages_bear_odd_rows(spark):
         assert found.count() <= docs.count()
 
 
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES])
+def test_stages_hand_workers_small_batches(spark, stage):
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", corpus_pipeline.BATCH_BYTES
+    before, size = spark.conf.get(key, None), 100_000
+    docs = spark.range(0, 100, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), size).alias("text"), F.lit(size).cast("long").alias("n_chars")
+    )
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    try:
+        for bound, largest in ((None, most + 2 * size), (5 * size, 7 * size)):
+            spark.conf.set(key, str(bound)) if bound else spark.conf.unset(key)
+            stage(spark, docs, SF_DIR)
+            found = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+            assert len(found) > 1 and max(found) <= largest and sum(found) > 100 * size
+            assert spark.conf.get(key) == str(bound or most)  # a session's own bound stays
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_the_queries_are_registered():
     names = entry_points.queries().keys()
     assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
