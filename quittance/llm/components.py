@@ -9,9 +9,14 @@ from quittance.llm.shared import stored
 from quittance.operators.spread import find_hot_keys, left_join
 
 
-#: Links that a stored file of a round holds about, and the files that there may be of fewer links.
+#: Links, or fingerprints, that a stored file holds about, and the files that there may be of fewer.
 LINKS_A_FILE = 100_000
-FEW_FILES = 16
+FEW_FILES = 8
+
+
+def files_for(rows: int) -> int:
+    """How many files a table of at most so many short rows asks for."""
+    return max(FEW_FILES, -(-rows // LINKS_A_FILE))
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
@@ -43,21 +48,23 @@ def _mark(links: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def components(links: DataFrame, purpose: str = "links") -> DataFrame:
+def components(links: DataFrame, purpose: str = "links", most: int | None = None) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); ``root`` is the least node reachable.
 
     Alternating stars: each round links nodes to smaller ones, which halves paths, until nothing
     changes. Links are never gathered: a round is a minimum per node, taken on every task first, and
     a join in which the links of a node that has a large part of them are dealt over as many tasks
     as they need. Its result is a stored table of no more files than its links ask for: each costs
-    its executor a few processes, so many tiny ones cost more than the links.
+    its executor a few processes, so many tiny ones cost more than the links. ``most`` is a number
+    of links that there are about at most, where one is known beforehand.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = stored(links.distinct(), purpose)
+    links = links.distinct()
+    links = stored(links if most is None else links.coalesce(files_for(most)), purpose)
     mark = _mark(links)
     while True:
         # Neither star makes more than twice as many links, however many partitions they lie in.
-        files = max(FEW_FILES, -(-mark[0] // LINKS_A_FILE))
+        files = files_for(mark[0])
         larger = stored(_large_star(links).coalesce(files), purpose)
         links = stored(_small_star(larger).distinct().coalesce(files), purpose)
         before, mark = mark, _mark(links)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quittance.llm.components import components
+from quittance.llm.components import components, files_for
 from quittance.llm.shared import fresh, ship, slices, stored
 
 #: A bucket with more fingerprints is compared block by block.
@@ -198,8 +198,12 @@ def near_duplicates(
     """
     rows = stored(fingerprints(docs, words, seed, id_column, text_column), "fingerprints")
     first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "text_hash"))
-    distinct = stored(rows.groupBy("fp").agg(first.alias("first")), "distinct-fingerprints")
-    joined = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    most = rows.count()  # from the footers of the stored files
+    distinct = rows.groupBy("fp").agg(first.alias("first")).coalesce(files_for(most))
+    distinct = stored(distinct, "distinct-fingerprints")
+    # A bucket's forest has fewer links than the bucket has fingerprints.
+    found = links(distinct.select("fp"), radius)
+    joined = components(found, most=most * len(covering_masks(radius))).withColumnRenamed("node", "fp")
     member = distinct.join(joined, "fp", "left")
     linked = member.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     least = (

@@ -185,3 +185,27 @@ def test_rounds_of_few_links_are_stored_in_few_files(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_fingerprints_and_their_links_are_stored_in_few_files(spark, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, stored = {k: spark.conf.get(k) for k in conf}, {}, components.__globals__["stored"]
+
+    def seen(df, purpose):
+        files.setdefault(purpose, []).append(len((kept := stored(df, purpose)).inputFiles()))
+        return kept
+
+    monkeypatch.setitem(components.__globals__, "stored", seen)
+    monkeypatch.setattr(simhash, "stored", seen)
+    texts = [f"words of {n // 2} alone that make text {n // 2} what it is" for n in range(300)]
+    texts += [f"{t} " + " ".join(f"w{k}" for k in range(400)) for t in texts[:100:2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == dict(enumerate(brute_components(range(len(texts)), [brute_fingerprint(t) for t in texts])))
+    assert max(files["distinct-fingerprints"] + files["links"]) <= components.__globals__["FEW_FILES"] < 40
